@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quernstone.llm.common import table
 from quernstone.llm.exact_dedup import exact_dedup
 from quernstone.llm.source_mix import mix_sources
+from quernstone.llm.token_output import token_output
 from quernstone.llm.url_filter import url_filter
 
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
@@ -26,8 +27,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_source_mix, op6_exact_dedup)}
+    return {f.__name__: f for f in (op3_url_filter, op4_source_mix, op6_exact_dedup, op7_token_output)}
 
 
 _OP3 = r"""
