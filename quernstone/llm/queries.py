@@ -10,6 +10,7 @@ from quernstone.llm.common import table
 from quernstone.llm.exact_dedup import exact_dedup
 from quernstone.llm.minhash_dedup import near_duplicates
 from quernstone.llm.source_mix import mix_sources
+from quernstone.llm.suffix_dedup import remove_repeats
 from quernstone.llm.token_output import token_output
 from quernstone.llm.url_filter import url_filter
 
@@ -38,12 +39,16 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_source_mix, op6_exact_dedup, op7_token_output, op9_minhash_dedup)}
+    return {f.__name__: f for f in (op3_url_filter, op4_source_mix, op6_exact_dedup, op7_token_output, op8_suffix_dedup, op9_minhash_dedup)}
 
 
 _OP3 = r"""
