@@ -5,17 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernstone.llm.common import table
 from quernstone.llm.exact_dedup import exact_dedup
 from quernstone.llm.minhash_dedup import near_duplicates
+from quernstone.llm.quality import fit_quality, quality_grade, score_quality
 from quernstone.llm.source_mix import mix_sources
 from quernstone.llm.suffix_dedup import remove_repeats
 from quernstone.llm.token_output import token_output
+from quernstone.llm.toxicity import fit_toxicity, toxicity
 from quernstone.llm.url_filter import url_filter
 
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
+ACCEPT = 0.5
+
+
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", quality_grade().alias("grade"))
+    return score_quality(docs, fit_quality(docs, labels))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return scored.select("doc_id", "expected_grade", "accept_probability", (F.col("accept_probability") >= ACCEPT).alias("kept"))
+
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
@@ -47,8 +62,14 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity(docs, fit_toxicity(docs, labels)).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_source_mix, op6_exact_dedup, op7_token_output, op8_suffix_dedup, op9_minhash_dedup)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_url_filter, op4_source_mix, op6_exact_dedup, op7_token_output, op8_suffix_dedup, op9_minhash_dedup, op10_toxicity)}
 
 
 _OP3 = r"""

@@ -25,21 +25,37 @@ with np.errstate(over="ignore"):
 SLICE = 1 << 21
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased: polynomials over random byte values."""
-    arr = np.frombuffer(data.translate(_LOWER_SPACED), np.uint8)
+def bytes_to_words(data: bytes, table: bytes, head: int = 0) -> tuple[np.ndarray, ...]:
+    """Hashes and starts of the words that ``table`` (bytes to bytes, separators to spaces) leaves: polynomials over
+    random byte values. With ``head``, also hashes of the words' first ``head`` bytes."""
+    arr = np.frombuffer(data.translate(table), np.uint8)
     space = arr == 32
     first = ~space
     first[1:] &= space[:-1]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, np.uint64), starts
+        return (np.zeros(0, np.uint64), starts, np.zeros(0, np.uint64))[: 3 if head else 2]
     sizes = np.diff(starts, append=len(arr))
     at = np.arange(starts[0], len(arr)) - np.repeat(starts, sizes)
     value = _TABLE[arr[starts[0] :]] * _POWERS[at & 0xFFF]
     if int(sizes.max()) > 1 << 12:
         value *= _BLOCK_POWERS[(at >> 12) & 0xFFFF]
-    return mix64(np.add.reduceat(value, starts - starts[0])), starts
+    out = mix64(np.add.reduceat(value, starts - starts[0])), starts
+    if not head:
+        return out
+    total = np.zeros(len(starts), np.uint64)
+    padded = np.concatenate([arr, np.full(head, 32, np.uint8)])
+    inside = np.ones(len(starts), bool)
+    for k in range(head):
+        b = padded[starts + k]
+        inside &= b != 32
+        total += np.where(inside, _TABLE[b] * _POWERS[k], np.uint64(0))
+    return *out, mix64(total)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased."""
+    return bytes_to_words(data, _LOWER_SPACED)
 
 
 def _slices(data: bytes) -> list[bytes]:
