@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import table
+from quernstone.llm.decontaminate import contaminated
 from quernstone.llm.exact_dedup import exact_dedup
+from quernstone.llm.license_scan import license_scan
 from quernstone.llm.minhash_dedup import near_duplicates
 from quernstone.llm.quality import fit_quality, quality_grade, score_quality
 from quernstone.llm.source_mix import mix_sources
@@ -22,6 +24,10 @@ URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow"
 ACCEPT = 0.5
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", quality_grade().alias("grade"))
     return score_quality(docs, fit_quality(docs, labels))
@@ -40,6 +46,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -69,7 +79,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_url_filter, op4_source_mix, op6_exact_dedup, op7_token_output, op8_suffix_dedup, op9_minhash_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_url_filter, op4_source_mix, op5_decontamination, op6_exact_dedup, op7_token_output, op8_suffix_dedup, op9_minhash_dedup, op10_toxicity)}
 
 
 _OP3 = r"""
