@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import ascii_lower, written
+from quernstone.llm.common import written
 
 WINDOW, LITERAL = 8, 4
 BROADCAST_WINDOWS = 1_000_000
@@ -36,7 +36,7 @@ def marked_tokens(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})", NAME)
     numbers = F.regexp_replace(F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", ""), r"(?<![\p{L}\d])(\d+)\s?(?:(" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\d]))?", f" {NUMBER}$1 {UNIT}$2 ")
     t = F.when(F.regexp_like(t, F.lit(r"\d")), numbers).otherwise(t)
-    return F.filter(F.split(ascii_lower(t), _SEPARATORS), lambda w: (w != "") & (w != UNIT))
+    return F.filter(F.split(F.lower(t), _SEPARATORS), lambda w: (w != "") & (w != UNIT))
 
 
 def template(tokens: Column) -> Column:
