@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ BLOCK_IDS = 1 << 16
 _SAFE = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ–—‘-„…]*")
 _LETTER, _DIGIT, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t\n\r "
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_SPACED = re.compile(r" [\t\n\r ]|[\t\n\r ]\Z")
+_SPACED = ("  ", " \n", " \t", " \r")  # a space that does not begin the next piece
 
 
 def byte_letters() -> list[str]:
@@ -72,19 +73,24 @@ class Encoder:
     neighbours; pieces, and stretches between single spaces, are remembered.
     """
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tok.model, byte_letters()
         self.pieces = Recent(self._piece, memo // 2)
         self.spaced = Recent(lambda s: self._cut(" " + s), memo)
 
     def _piece(self, piece: str) -> bytes:
-        letters = self.letters
-        return np.array([t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))], self.kind).tobytes()
+        if piece.isascii() and piece.isprintable():
+            piece = piece.replace(" ", self.letters[32])
+        else:
+            letters = self.letters
+            piece = "".join([letters[b] for b in piece.encode()])
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _cut(self, s: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, _PIECE.findall(s)))
@@ -95,7 +101,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not _SAFE.fullmatch(text) or any(s in text for s in self.specials):
             return self.whole(text)
-        if _SPACED.search(text):
+        if text[-1:] in ("\n", "\t", "\r", " ") or any(s in text for s in _SPACED):
             return self._cut(text)
         first, *rest = text.split(" ")
         return self._cut(first) + b"".join(map(self.spaced.__getitem__, rest))
