@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed text.
 
 Features are the frequencies of hashed byte trigrams of the whole text (square roots, so that rare and frequent ones
-count alike). One weight vector serves all grades; ordered thresholds t_1 < t_2 < ... turn the score s into
+count alike), and of words that repeat a word just before. One weight vector serves all grades; ordered thresholds t_1 < t_2 < ... turn the score s into
 P(grade >= j) = sigmoid(s - t_j). The expected grade and the tail probability of ``accept_grade`` come from these, and
 documents whose tail probability is under ``accept`` are rejected.
 
@@ -23,7 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.llm.shingles import text_slices, word_hashes
+
 BINS = 4096
+#: A word that equals the one 1, 2 or 3 words before it counts as one more kind of token.
+LAGS = (1, 2, 3)
+WIDTH = BINS + len(LAGS)
 CHUNK = 1 << 20
 
 
@@ -39,9 +44,18 @@ def trigram_counts(data: bytes) -> np.ndarray:
 
 
 def features(text: str | None) -> np.ndarray:
-    n = trigram_counts((text or "").encode("utf-8"))
-    total = n.sum()
-    return np.sqrt(n / total).astype(np.float32) if total else np.zeros(BINS, np.float32)
+    data = (text or "").encode("utf-8")
+    n, out = trigram_counts(data), np.zeros(WIDTH, np.float32)
+    if total := n.sum():
+        out[:BINS] = np.sqrt(n / total)
+    same, pairs = np.zeros(len(LAGS)), np.zeros(len(LAGS))
+    for part in text_slices(data):
+        h = word_hashes(part)[0]
+        for j, lag in enumerate(LAGS):
+            same[j] += np.count_nonzero(h[lag:] == h[:-lag])
+            pairs[j] += max(0, len(h) - lag)
+    out[BINS:] = np.sqrt(same / np.maximum(pairs, 1))
+    return out
 
 
 @dataclass
@@ -117,15 +131,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_
     # at most sample_rows rows, whatever the table
     ids = sampled_ids(labels.where("grade is not null"), ["grade"], sample_rows).collect()
     if not ids:
-        return Ordinal(np.zeros(BINS, np.float32), np.zeros(0))
+        return Ordinal(np.zeros(WIDTH, np.float32), np.zeros(0))
     sample = spark.createDataFrame(ids, "doc_id bigint, grade int")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
     rows = texts.select("grade", "text").mapInArrow(_sparse, "grade int, at binary, value binary").limit(2 * sample_rows).collect()
-    x = np.zeros((len(rows), BINS), np.float32)
+    x = np.zeros((len(rows), WIDTH), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
     y = np.array([r.grade for r in rows], np.int64)
-    order = np.lexsort((x @ np.random.Generator(np.random.PCG64(1)).random(BINS, np.float32), y))  # the same sums whatever order rows came in
+    order = np.lexsort((x @ np.random.Generator(np.random.PCG64(1)).random(WIDTH, np.float32), y))  # the same sums whatever order rows came in
     return fit_ordinal(x[order], y[order])
 
 

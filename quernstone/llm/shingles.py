@@ -58,7 +58,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return bytes_to_words(data, _LOWER_SPACED)
 
 
-def _slices(data: bytes) -> list[bytes]:
+def text_slices(data: bytes) -> list[bytes]:
     """Cut at white space, so that long texts take bounded memory."""
     out, at = [], 0
     while len(data) - at > SLICE:
@@ -91,7 +91,7 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
         data = text.encode("utf-8") if text else b""
         if len(data) > SLICE:
             flush()
-            out.append(_one(np.concatenate([word_hashes(x)[0] for x in _slices(data)]), width))
+            out.append(_one(np.concatenate([word_hashes(x)[0] for x in text_slices(data)]), width))
             continue
         group.append(data)
         held += len(data)

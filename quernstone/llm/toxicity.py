@@ -28,7 +28,7 @@ from quernstone.llm.shingles import bytes_to_words
 #: Common insults, and second-person pronouns of four languages.
 INSULTS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "bastard", "hate", "kill", "ugly", "filthy", "vermin", "retard", "shut")
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "te", "ton", "ta", "tes", "vous", "votre", "vos", "usted", "ustedes", "tú", "ti", "vosotros")
-STEM = 5
+STEM = 6
 NEAR = 6
 
 _words = bytearray(b" " * 256)
@@ -56,14 +56,16 @@ FEATURES = ("word_density", "word_count", "stem_density", "stem_count", "plain_d
 
 @dataclass
 class Lexicon:
+    """Words and stems as their UTF-8 bytes, one character a byte (a stem may end within a character)."""
+
     words: tuple[str, ...]
     stems: tuple[str, ...] = ()
     _made: dict = field(default_factory=dict, repr=False)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self._made:
-            of = lambda ws: np.sort(bytes_to_words(" ".join(ws).encode(), WORD_BYTES)[0]) if ws else np.zeros(0, np.uint64)
-            self._made["all"] = (of(self.words), of(self.stems), of(SECOND_PERSON))
+            of = lambda ws: np.sort(bytes_to_words(" ".join(ws).encode("latin-1"), WORD_BYTES)[0]) if ws else np.zeros(0, np.uint64)
+            self._made["all"] = (of(self.words), of(self.stems), of([w.encode().decode("latin-1") for w in SECOND_PERSON]))
         return self._made["all"]
 
 
@@ -192,7 +194,7 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = set((text or "").encode("utf-8").translate(WORD_BYTES).split())
-            rows = [w.decode("utf-8", "ignore") for w in words] + [">" + s.decode("utf-8", "ignore") for s in {w[:STEM] for w in words if len(w) > STEM}]
+            rows = [w.decode("latin-1") for w in words] + [">" + s.decode("latin-1") for s in {w[:STEM] for w in words if len(w) > STEM}]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array([label] * len(rows), pa.int32())], names=["kind", "label"])
 
 
@@ -218,7 +220,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000,
     n0 = max(1, len(ids) - n1)
     kinds = texts.select("label", "text").mapInArrow(_kinds, "kind string, label int").groupBy("kind").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     odds = F.log(((F.col("t") + 0.5) / n1) / ((F.col("c") + 0.5) / n0))
-    learned = kinds.where("t >= 4").withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc("t"), "kind").limit(lexicon_words).collect()
+    learned = kinds.where("t >= 4").withColumn("odds", odds).where("odds > 2.2").orderBy(F.desc("t"), "kind").limit(lexicon_words).collect()
     lexicon = Lexicon(tuple(sorted({*INSULTS, *(r.kind for r in learned if r.kind[0] != ">")})), tuple(sorted(r.kind[1:] for r in learned if r.kind[0] == ">")))
     rows = texts.select("doc_id", "label", "text").mapInArrow(_feature_rows(lexicon), "doc_id bigint, label int, x array<double>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.x))
