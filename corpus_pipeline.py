@@ -1,22 +1,66 @@
-"""A corpus pipeline of ``quernstone.llm`` operators over ``documents``."""
+"""A corpus pipeline of ``quernstone.llm`` operators over ``documents``: classify, deduplicate, decontaminate, mix, encode."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernstone.llm.common import table, written
+from quernstone.llm.decontaminate import clean_documents
+from quernstone.llm.minhash_dedup import near_duplicates
+from quernstone.llm.queries import ACCEPT, quality_scores, tokenizer_path
+from quernstone.llm.source_mix import mix_sources
+from quernstone.llm.token_output import token_output
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored = quality_scores(spark, docs, sf_dir)
+    return scored.where(F.col("accept_probability") >= ACCEPT).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it: repeats are further rows, and untaken documents go."""
+    taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    taken = written(taken.select(F.col("doc_id").alias("taken_id"), "copies"), "taken")
+    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]))
+    return both.select(*docs.columns, F.explode(F.expr("sequence(1, copies)")).alias("copy")).drop("copy")
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, and a row for each document row as read back from them."""
+    return token_output(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("token_output", token_files),
+]
 
 #: None: a trained classifier and seeded rounding are not SQL; tests hold the rows against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over ``documents``, each written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
