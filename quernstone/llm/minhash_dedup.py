@@ -135,17 +135,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 
 
 def _prefix_pairs(sets: DataFrame, comps: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs across components that share one of their rarest shingles. ``comps``: ``id, c`` of the unresolved ids."""
+    """Pairs across components that share one of their rarest shingles. ``comps``: ``id, c`` of the unresolved ids.
+
+    In two sets sorted by rarity, what is common begins at the first common shingle; so no more can be common than is
+    left from there on (``at`` counts what came before), and a pair whose rest is too short is out.
+    """
     postings = written(sets.join(comps.select("id"), "id", "left_semi").mapInArrow(_posting, "id bigint, shingle bigint"), "postings")
     often = postings.groupBy("shingle").agg(F.count("*").alias("df"))
     ranked = postings.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     size = F.size("s")
     prefix = F.slice("s", F.lit(1), (size - F.ceil(size * per_cent / F.lit(100)) + 1).cast("int"))
-    rare = ranked.select("id", size.alias("n"), F.explode(prefix).alias("x")).where("x.df > 1").select("id", "n", "x.shingle").join(comps, "id")
+    rare = ranked.select("id", size.alias("n"), F.posexplode(prefix).alias("at", "x")).where("x.df > 1").select("id", "n", "at", "x.shingle").join(comps, "id")
     several = rare.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
     rare = written(rare.join(several, "shingle"), "rare")
-    x, y = (rare.withColumnsRenamed({c: f"{c}{side}" for c in ("id", "n", "c")}) for side in "xy")
-    near = F.expr(f"cx < cy and 100 * least(nx, ny) >= {per_cent} * greatest(nx, ny)")
+    x, y = (rare.withColumnsRenamed({c: f"{c}{side}" for c in ("id", "n", "c", "at")}) for side in "xy")
+    near = F.expr(f"cx < cy and 100 * least(nx, ny) >= {per_cent} * greatest(nx, ny) and {100 + per_cent} * least(nx - atx, ny - aty) >= {per_cent} * (nx + ny)")
     return x.join(y, "shingle").where(near).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
 
 
