@@ -22,6 +22,7 @@ _TABLE[32] = 0  # a space adds nothing to the word before it
 with np.errstate(over="ignore"):
     _POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64))
     _BLOCK_POWERS = np.cumprod(np.full(1 << 16, 0xD6E8FEB86659FD93, np.uint64))
+_BLOCK_POWERS[1:], _BLOCK_POWERS[0] = _BLOCK_POWERS[:-1].copy(), 1  # words of one block hash alike with or without it
 SLICE = 1 << 21
 
 
