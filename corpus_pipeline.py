@@ -19,14 +19,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = quality_scores(spark, docs, sf_dir)
-    return scored.where(F.col("accept_probability") >= ACCEPT).select(*docs.columns)
+    scored = quality_scores(spark, docs, sf_dir, names=("__grade", "__accept"))
+    return scored.where(F.col("__accept") >= ACCEPT).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["__kept_id"], "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it: repeats are further rows, and untaken documents go."""
     taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = written(taken.select(F.col("doc_id").alias("taken_id"), "copies"), "taken")
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]))
-    return both.select(*docs.columns, F.explode(F.expr("sequence(1, copies)")).alias("copy")).drop("copy")
+    taken = written(taken.select(F.col("doc_id").alias("__taken_id"), F.col("copies").alias("__copies")), "taken")
+    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__taken_id"]))
+    return both.select(*docs.columns, F.explode(F.expr("sequence(1, __copies)")).alias("__copy")).drop("__copy")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_
     return fit_ordinal(x[order], y[order])
 
 
-def _score(model: Ordinal, text_at: int, accept_grade: int):
+def _score(model: Ordinal, text_at: int, accept_grade: int, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -154,13 +154,13 @@ def _score(model: Ordinal, text_at: int, accept_grade: int):
                     grade, tail = tails.sum(1), tails[:, min(accept_grade, tails.shape[1]) - 1]
                 else:
                     grade, tail = np.zeros(part.num_rows), np.ones(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(grade, pa.float64()), pa.array(tail, pa.float64())], names=[*part.schema.names, "expected_grade", "accept_probability"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(grade, pa.float64()), pa.array(tail, pa.float64())], names=[*part.schema.names, *names])
 
     return run
 
 
-def score_quality(docs: DataFrame, model: Ordinal, accept_grade: int = 1, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``expected_grade`` and ``accept_probability`` = P(grade >= ``accept_grade``)."""
-    schema = T.StructType([*docs.drop("expected_grade", "accept_probability").schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("accept_probability", T.DoubleType())])
-    docs = docs.drop("expected_grade", "accept_probability")
-    return docs.mapInArrow(_score(model, docs.columns.index(text_col), accept_grade), schema)
+def score_quality(docs: DataFrame, model: Ordinal, accept_grade: int = 1, text_col: str = "text", names: tuple[str, str] = ("expected_grade", "accept_probability")) -> DataFrame:
+    """``docs`` with the expected grade and P(grade >= ``accept_grade``) under ``names`` (replacing such columns)."""
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    return docs.mapInArrow(_score(model, docs.columns.index(text_col), accept_grade, names), schema)

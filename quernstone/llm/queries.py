@@ -28,9 +28,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str, **how) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", quality_grade().alias("grade"))
-    return score_quality(docs, fit_quality(docs, labels))
+    return score_quality(docs, fit_quality(docs, labels), **how)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
