@@ -27,6 +27,8 @@ def read_text_table(spark: SparkSession, path: str | list[str], columns: dict[st
 
     ``strict``: a value that doesn't fit its type fails; else it is null.
     """
+    if encoding.lower() not in ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", True)  # other charsets, such as windows-1252
     raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("mode", "FAILFAST").option("inferSchema", False).csv(path)
     if missing := [c for c in columns if c not in raw.columns]:
         raise ValueError(f"columns missing: {missing}")

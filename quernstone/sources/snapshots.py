@@ -71,7 +71,14 @@ def export(df: DataFrame, path: str, kind: str, keys: list[str]) -> None:
     """Sorted export as ``parquet``, ``csv`` or ``json`` (lines), in parallel files in order."""
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     w = ordered.write.mode("errorifexists")
-    {"parquet": w.option("compression", "zstd").parquet, "csv": w.option("header", True).csv, "json": w.json}[kind](path)
+    if kind == "parquet":
+        w.option("compression", "zstd").parquet(path)
+    elif kind == "csv":
+        w.option("header", True).csv(path)
+    elif kind == "json":
+        w.json(path)
+    else:
+        raise ValueError(f"unknown kind {kind}")
 
 
 def json_array(df: DataFrame) -> Iterator[str]:
