@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import table, written
+from quernstone.llm.common import Scratch, table, written
 from quernstone.llm.decontaminate import clean_documents
 from quernstone.llm.minhash_dedup import near_duplicates
 from quernstone.llm.queries import ACCEPT, quality_scores, tokenizer_path
@@ -25,7 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
+    with Scratch() as s:
+        kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
+        kept = s.keep(written(kept, "kept"))
     return docs.join(kept, docs["doc_id"] == kept["__kept_id"], "left_semi").unionByName(docs.where("doc_id is null"))
 
 
@@ -36,8 +38,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it: repeats are further rows, and untaken documents go."""
-    taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = written(taken.select(F.col("doc_id").alias("__taken_id"), F.col("copies").alias("__copies")), "taken")
+    with Scratch() as s:
+        taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+        taken = s.keep(written(taken.select(F.col("doc_id").alias("__taken_id"), F.col("copies").alias("__copies")), "taken"))
     both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__taken_id"]))
     return both.select(*docs.columns, F.explode(F.expr("sequence(1, __copies)")).alias("__copy")).drop("__copy")
 

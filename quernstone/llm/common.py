@@ -29,6 +29,28 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Deletes, at the end of a ``with`` block, the tables that ``written`` made in it, but for those given to ``keep``."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables = [x for x in self.tables if x is not df]
+        return df
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.remove(self)
+        for x in self.tables:
+            drop_written(x)
+
+
 def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -36,6 +58,8 @@ def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
+    for scratch in Scratch._open[-1:]:
+        scratch.tables.append(out)
     return out
 
 
