@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from quernstone.plans import domain_catalog  # noqa: F401
 from quernstone.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
