@@ -17,7 +17,7 @@ from quernstone.llm.source_mix import mix_sources
 from quernstone.llm.suffix_dedup import remove_repeats
 from quernstone.llm.token_output import token_output
 from quernstone.llm.toxicity import fit_toxicity, toxicity
-from quernstone.llm.url_filter import url_filter
+from quernstone.llm.url_filter import TWO_LABEL_SUFFIXES, url_filter
 
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
@@ -97,7 +97,8 @@ fit AS (
 j AS (SELECT u.*, fit.rule, fit.judged, CASE judged WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad FROM u LEFT JOIN fit USING (host, path)),
 named AS (SELECT *, regexp_replace(host, '^.*@|:\d*$', '', 'g') AS bare FROM (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM j GROUP BY host)),
 parts AS (SELECT *, string_split(bare, '.') AS w FROM named),
-hosts AS (SELECT host, n::DOUBLE AS n, b::DOUBLE AS b, array_to_string(w[-2:], '.') AS domain, w[-1] AS suffix FROM parts),
+hosts AS (SELECT host, n::DOUBLE AS n, b::DOUBLE AS b, CASE WHEN array_to_string(w[-2:], '.') IN (TWO_LABELS) THEN array_to_string(w[-3:], '.') ELSE array_to_string(w[-2:], '.') END AS domain,
+  CASE WHEN array_to_string(w[-2:], '.') IN (TWO_LABELS) THEN array_to_string(w[-2:], '.') ELSE w[-1] END AS suffix FROM parts),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY ALL),
 groups AS (
@@ -116,7 +117,7 @@ ph AS (SELECT host, n, b, coalesce(mh, 1000) AS mh, (b + coalesce(mh, 1000) * pd
 rep AS (SELECT host, n, b, host <> '' AND round(r - 1.645 * sqrt(r * (1 - r) / (n + mh + 1)), 9) > 0.5 AS blocked FROM ph)
 SELECT page_id, host, path, rule, coalesce(judged, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, n::BIGINT AS host_labelled, b::BIGINT AS host_bad
 FROM j LEFT JOIN rep USING (host)
-"""
+""".replace("TWO_LABELS", ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES))
 
 _OP6 = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
