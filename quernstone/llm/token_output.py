@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,13 +200,12 @@ def decode_blocks(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.n
     return found
 
 
-def _planes(ids: bytes, width: int) -> bytes:
-    """Low bytes first, then the higher ones: smaller when compressed."""
-    return np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes()
+def _packed(ids: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(ids)
 
 
-def _unplanes(data: bytes, width: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(f"<u{width}")
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), f"<u{width}")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -217,11 +217,10 @@ def _to_ids(path: str, end_id: int | None):
             _ENCODERS[path] = Encoder(path)
         encoder = _ENCODERS[path]
         end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
-        width = encoder.kind.itemsize
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                data = [_planes(encoder(t or "") + end, width) for t in part.column(1).to_pylist()]
+                data = [_packed(encoder(t or "") + end) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["doc_id", "ids"])
 
     return run
@@ -231,7 +230,7 @@ def _count(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            got = [_unplanes(x, width) for x in batch.column(0).to_pylist()]
+            got = [_unpacked(x, width) for x in batch.column(0).to_pylist()]
             if got:
                 n = np.bincount(np.concatenate(got))
                 total = np.pad(total, (0, max(0, len(n) - len(total))))
@@ -261,7 +260,7 @@ def _to_blocks(width: int, bits: np.ndarray, block_ids: int):
 
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = _unplanes(data, width)
+                x = _unpacked(data, width)
                 if held and held + len(x) > block_ids:
                     yield block()
                 docs.append(i)
@@ -307,7 +306,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = written(rows.mapInArrow(_to_ids(tokenizer_path, end_id), "doc_id bigint, ids binary"), "ids")
+    ids = written(rows.mapInArrow(_to_ids(tokenizer_path, end_id), "doc_id bigint, ids binary"), "ids", "none")
     # one row for each id of the vocabulary, however many documents
     counts = ids.select("ids").mapInArrow(_count(width), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(max([0, *(r.id for r in counts)]) + 1, np.int64)
