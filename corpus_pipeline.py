@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import Scratch, table, written
 from quernstone.llm.decontaminate import clean_documents
-from quernstone.llm.minhash_dedup import near_duplicates
+from quernstone.llm.minhash_dedup import BROADCAST_IDS, near_duplicates
 from quernstone.llm.queries import ACCEPT, quality_scores, tokenizer_path
 from quernstone.llm.source_mix import mix_sources
 from quernstone.llm.token_output import token_output
@@ -23,12 +23,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("__accept") >= ACCEPT).select(*docs.columns)
 
 
+def sized(small: DataFrame) -> DataFrame:
+    """To be broadcast up to ``BROADCAST_IDS`` rows of two numbers, to be shuffled beyond."""
+    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay."""
     with Scratch() as s:
-        kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
-        kept = s.keep(written(kept, "kept"))
-    return docs.join(kept, docs["doc_id"] == kept["__kept_id"], "left_semi").unionByName(docs.where("doc_id is null"))
+        gone = near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept and doc_id is not null")
+        gone = s.keep(written(gone.select(F.col("doc_id").alias("__gone_id")), "gone"))
+    return docs.join(sized(gone), docs["doc_id"] == gone["__gone_id"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with Scratch() as s:
         taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
         taken = s.keep(written(taken.select(F.col("doc_id").alias("__taken_id"), F.col("copies").alias("__copies")), "taken"))
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__taken_id"]))
+    both = docs.join(sized(taken), docs["doc_id"].eqNullSafe(taken["__taken_id"]))
     return both.select(*docs.columns, F.explode(F.expr("sequence(1, __copies)")).alias("__copy")).drop("__copy")
 
 
