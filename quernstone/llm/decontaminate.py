@@ -1,10 +1,12 @@
 """Benchmark decontamination by template canonicalisation. DataFrame operations only.
 
 Numbers, names (capitalised words within a sentence) and units after numbers become typed placeholders, so that a
-question with other parameters keeps its template. Windows of ``WINDOW`` template tokens of every document and of every
-benchmark item are joined by hash. Matches of an item at one place of a document (one offset between the two) count
-together; the place is contaminated if at least ``min_share`` of the item's windows match there and its slots are
-consistent: equal values in the item stand against equal values in the document, and the other way round.
+question with other parameters keeps its template. Names and units depend on the case of the text, so every text also has
+a second form, ``UNCASED``: words without case, and only numbers as placeholders. Windows of ``WINDOW`` tokens of
+either form of every document and of every benchmark item are joined by hash. Matches of an item at one place of a
+document (one offset between the two) in one form count together; the place is contaminated if at least ``min_share`` of
+the item's windows match there and its slots are consistent: equal values in the item stand against equal values in the
+document, and the other way round.
 
 Windows with fewer than ``LITERAL`` literal tokens say nothing and are left out; items shorter than a window are one
 window of their own length, items with fewer than ``LITERAL`` literal tokens can't be recognised. Benchmark windows are
@@ -24,6 +26,8 @@ from quernstone.llm.common import written
 WINDOW, LITERAL = 8, 4
 BROADCAST_WINDOWS = 1_000_000
 BROADCAST_IDS = 1_000_000
+#: Forms of a text: typed placeholders; words without case, where only numbers are placeholders.
+TYPED, UNCASED = 0, 1
 #: Units that become a placeholder behind a number (fixed values).
 UNITS = ("kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "inch", "inches", "yards", "l", "ml", "liters", "litres", "gallons", "s", "sec", "seconds", "min", "minutes", "h", "hours", "hour", "days", "day", "weeks", "months", "years", "mph", "kmh", "percent", "dollars", "euros", "pounds", "cents", "degrees", "meters", "metres", "grams", "kilograms", "kilometers")
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
@@ -44,18 +48,29 @@ def template(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.when(w < "\u0004", F.substring(w, 1, 1)).otherwise(w))
 
 
-def window_hashes(tokens: Column, width: int) -> Column:
+def uncased(tokens: Column) -> Column:
+    """Marked tokens as words without case (capitals, as these also join the two forms of letters like sharp s) and numbers as placeholders."""
+    return F.transform(tokens, lambda w: F.when(w > "\u0004", F.upper(w)).when(w.startswith(NUMBER), NUMBER).otherwise(F.upper(F.substring(w, 2, 1 << 30))))
+
+
+FORMS = {TYPED: template, UNCASED: uncased}
+
+
+def window_hashes(tokens: Column, form: int, width: int) -> Column:
+    """``pos`` (from 1) and ``h`` of the windows."""
     # tokens are bound once; named within the inner lambda, their expression would be evaluated for each window
-    one = lambda t: F.transform(F.when(F.size(t) >= width, F.sequence(F.lit(1), F.size(t) - (width - 1))), lambda i: F.xxhash64(F.slice(t, i, F.lit(width))))
-    return F.transform(F.array(tokens), one)[0]
+    window = lambda t, i: F.struct(i.alias("pos"), F.xxhash64(F.lit(form), F.slice(t, i, F.lit(width))).alias("h"))
+    one = lambda t: F.when(F.size(t) >= width, F.transform(F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: window(t, i))).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+    return F.transform(F.array(FORMS[form](tokens)), one)[0]
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
-    """``item_id, width, at, h`` of windows with enough literal tokens; ``items``: ``item_id, t`` (template)."""
-    width = F.least(F.lit(WINDOW), F.size("t"))
-    windows = items.select("item_id", width.alias("width"), "t").where("width > 0").select("item_id", "width", "t", F.explode(F.expr("sequence(1, size(t) - width + 1)")).alias("at"))
+    """``item_id, form, width, at, h`` of windows with enough literal tokens; ``items``: ``item_id, marked``."""
+    forms = F.array(*[F.struct(F.lit(k).alias("form"), make(F.col("marked")).alias("t")) for k, make in FORMS.items()])
+    windows = items.select("item_id", F.explode(forms).alias("f")).select("item_id", "f.form", F.least(F.lit(WINDOW), F.size("f.t")).alias("width"), "f.t").where("width > 0")
+    windows = windows.select("item_id", "form", "width", "t", F.explode(F.expr("sequence(1, size(t) - width + 1)")).alias("at"))
     part = F.slice("t", F.col("at"), F.col("width"))
-    return windows.where(F.size(F.filter(part, lambda w: w > "\u0004")) >= LITERAL).select("item_id", "width", "at", F.xxhash64(part).alias("h"))
+    return windows.where(F.size(F.filter(part, lambda w: w > "\u0004")) >= LITERAL).select("item_id", "form", "width", "at", F.xxhash64("form", part).alias("h"))
 
 
 def _consistent(pairs: Column) -> Column:
@@ -66,22 +81,20 @@ def _consistent(pairs: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.25, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document, item and place: ``doc_id, th, item_id, offset, matched, share`` (``th``: hash of the text)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
-    items = written(benchmark.select(F.col(item_col).alias("item_id"), marked_tokens(F.col(item_text_col)).alias("marked")).withColumn("t", template(F.col("marked"))), "items")
+    items = written(benchmark.select(F.col(item_col).alias("item_id"), marked_tokens(F.col(item_text_col)).alias("marked")), "items")
     windows = written(_item_windows(items), "item-windows")
-    widths = [r.width for r in windows.select("width").distinct().collect()]  # at most WINDOW values
-    if not widths:
+    kinds = sorted((r.form, r.width) for r in windows.select("form", "width").distinct().collect())  # at most WINDOW values a form
+    if not kinds:
         return rows.where("false").select("doc_id", "th", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("matched"), F.lit(0.0).alias("share"))
     fits = windows.count() <= BROADCAST_WINDOWS
-    hits = None
-    for width in sorted(widths):
-        own = windows.where(F.col("width") == width).select("h", "item_id", "at")
-        found = rows.select("doc_id", "th", template(marked_tokens(F.col("text"))).alias("t")).select("doc_id", "th", F.posexplode(window_hashes(F.col("t"), width)).alias("pos", "h"))
-        found = found.join(F.broadcast(own) if fits else own, "h").select("doc_id", "th", "item_id", (F.col("pos") + 1 - F.col("at")).alias("offset"), "at")
-        hits = found if hits is None else hits.unionByName(found)
+    found = rows.select("doc_id", "th", marked_tokens(F.col("text")).alias("m"))
+    found = found.select("doc_id", "th", F.explode(F.concat(*[window_hashes(F.col("m"), form, width) for form, width in kinds])).alias("w")).select("doc_id", "th", "w.pos", "w.h")
+    own = windows.select("h", "item_id", "form", "at")
+    hits = found.join(F.broadcast(own) if fits else own, "h").select("doc_id", "th", "item_id", "form", (F.col("pos") - F.col("at")).alias("offset"), "at")
     # rows that repeat a document match once each: distinct windows
-    total = windows.groupBy("item_id").agg(F.count("*").alias("windows"))
-    places = hits.groupBy("doc_id", "th", "item_id", "offset").agg(F.count_distinct("at").alias("matched"))
-    places = places.join(total, "item_id").withColumn("share", F.col("matched") / F.col("windows")).where(F.col("share") >= min_share)
+    total = windows.groupBy("item_id", "form").agg(F.count("*").alias("windows"))
+    places = hits.groupBy("doc_id", "th", "item_id", "form", "offset").agg(F.count_distinct("at").alias("matched"))
+    places = places.join(total, ["item_id", "form"]).withColumn("share", F.col("matched") / F.col("windows")).where(F.col("share") >= min_share)
     places = written(places, "places")
     # slots: the candidates' texts once more
     wanted = places.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")).distinct()
@@ -89,8 +102,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.25, id_col
     texts = rows.join(wanted, F.expr("th = w_th and doc_id <=> w_id"), "left_semi").groupBy("doc_id", "th").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("d_id"), F.col("th").alias("d_th"), marked_tokens(F.col("text")).alias("words"))
     both = places.join(texts, F.expr("th = d_th and doc_id <=> d_id")).join(items.select("item_id", "marked"), "item_id")
     pairs = F.expr("""transform(array(struct(marked as m, words as w)), z -> array_distinct(filter(transform(z.m, (x, i) -> struct(x as x, get(z.w, i + offset) as y)),
-        p -> p.x < '\u0004' and p.y < '\u0004' and left(p.x, 1) = left(p.y, 1))))[0]""")
-    return both.withColumn("pairs", pairs).where(_consistent(F.col("pairs"))).select("doc_id", "th", "item_id", "offset", "matched", "share")
+        p -> p.x < '\u0004' and p.y < '\u0004' and left(p.x, 1) = left(p.y, 1) and (form = 0 or left(p.x, 1) = '\u0002'))))[0]""")
+    both = both.withColumn("pairs", pairs).where(_consistent(F.col("pairs")))
+    # one row for a place: the form with the greater share, the typed one if they are equal
+    best = both.groupBy("doc_id", "th", "item_id", "offset").agg(F.max(F.struct("share", -F.col("form"), "matched")).alias("best"))
+    return best.select("doc_id", "th", "item_id", "offset", "best.matched", "best.share")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

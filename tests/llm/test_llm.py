@@ -160,6 +160,16 @@ def test_contaminated(spark):
     assert contaminated(f, bench.where("false")).count() == 0 and contaminated(f.where("false"), bench).count() == 0
 
 
+def test_contaminated_in_other_case(spark):
+    item = "A train of 12 wagons leaves Paris at 7 and carries 40 kg of fresh apples while Marie waits with 12 friends near the old station"
+    german = "Der alte Bauer verkauft am Markt der Stadt 12 Körbe mit Äpfeln und die Frau kauft für ihre Straße 12 Flaschen Saft mit Zucker"
+    other = item.replace("12", "15").lower()
+    texts = [item.lower(), item.upper(), item.title(), german.lower(), german.upper(), other, other.replace("15", "16", 1), german]
+    bench = spark.createDataFrame([(7, item), (8, german)], "item_id bigint, text string")
+    got = {r.doc_id: (r.item_ids, r.best_share) for r in contaminated(frame(spark, texts), bench).collect()}
+    assert got == {k: ([7], 1.0) for k in (0, 1, 2, 5)} | {k: ([8], 1.0) for k in (3, 4, 7)}
+
+
 # 7
 
 
