@@ -5,8 +5,8 @@ question with other parameters keeps its template. Names and units depend on the
 a second form, ``UNCASED``: words without case, and only numbers as placeholders. Windows of ``WINDOW`` tokens of
 either form of every document and of every benchmark item are joined by hash. Matches of an item at one place of a
 document (one offset between the two) in one form count together; the place is contaminated if at least ``min_share`` of
-the item's windows match there and its slots are consistent: equal values in the item stand against equal values in the
-document, and the other way round.
+the item's windows match there and its slots are consistent: within the matched windows, equal values in the item stand
+against equal values in the document, and the other way round. What stands between or after them is the document's own.
 
 Windows with fewer than ``LITERAL`` literal tokens say nothing and are left out; items shorter than a window are one
 window of their own length, items with fewer than ``LITERAL`` literal tokens can't be recognised. Benchmark windows are
@@ -89,11 +89,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.25, id_col
     fits = windows.count() <= BROADCAST_WINDOWS
     found = rows.select("doc_id", "th", marked_tokens(F.col("text")).alias("m"))
     found = found.select("doc_id", "th", F.explode(F.concat(*[window_hashes(F.col("m"), form, width) for form, width in kinds])).alias("w")).select("doc_id", "th", "w.pos", "w.h")
-    own = windows.select("h", "item_id", "form", "at")
-    hits = found.join(F.broadcast(own) if fits else own, "h").select("doc_id", "th", "item_id", "form", (F.col("pos") - F.col("at")).alias("offset"), "at")
+    own = windows.select("h", "item_id", "form", "width", "at")
+    hits = found.join(F.broadcast(own) if fits else own, "h").select("doc_id", "th", "item_id", "form", "width", (F.col("pos") - F.col("at")).alias("offset"), "at")
     # rows that repeat a document match once each: distinct windows
     total = windows.groupBy("item_id", "form").agg(F.count("*").alias("windows"))
-    places = hits.groupBy("doc_id", "th", "item_id", "form", "offset").agg(F.count_distinct("at").alias("matched"))
+    places = hits.groupBy("doc_id", "th", "item_id", "form", "width", "offset").agg(F.collect_set("at").alias("ats")).withColumn("matched", F.size("ats").cast("long"))
     places = places.join(total, ["item_id", "form"]).withColumn("share", F.col("matched") / F.col("windows")).where(F.col("share") >= min_share)
     places = written(places, "places")
     # slots: the candidates' texts once more
@@ -101,9 +101,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.25, id_col
     wanted = F.broadcast(wanted) if places.count() <= BROADCAST_IDS else wanted
     texts = rows.join(wanted, F.expr("th = w_th and doc_id <=> w_id"), "left_semi").groupBy("doc_id", "th").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("d_id"), F.col("th").alias("d_th"), marked_tokens(F.col("text")).alias("words"))
     both = places.join(texts, F.expr("th = d_th and doc_id <=> d_id")).join(items.select("item_id", "marked"), "item_id")
-    pairs = F.expr("""transform(array(struct(marked as m, words as w)), z -> array_distinct(filter(transform(z.m, (x, i) -> struct(x as x, get(z.w, i + offset) as y)),
+    # only positions within matched windows
+    covered = F.expr("array_distinct(flatten(transform(ats, a -> sequence(a, a + width - 1))))")
+    pairs = F.expr("""transform(array(struct(marked as m, words as w)), z -> array_distinct(filter(transform(covered, i -> struct(get(z.m, i - 1) as x, get(z.w, i - 1 + offset) as y)),
         p -> p.x < '\u0004' and p.y < '\u0004' and left(p.x, 1) = left(p.y, 1) and (form = 0 or left(p.x, 1) = '\u0002'))))[0]""")
-    both = both.withColumn("pairs", pairs).where(_consistent(F.col("pairs")))
+    both = both.withColumn("covered", covered).withColumn("pairs", pairs).where(_consistent(F.col("pairs")))
     # one row for a place: the form with the greater share, the typed one if they are equal
     best = both.groupBy("doc_id", "th", "item_id", "offset").agg(F.max(F.struct("share", -F.col("form"), "matched")).alias("best"))
     return best.select("doc_id", "th", "item_id", "offset", "best.matched", "best.share")

@@ -170,6 +170,21 @@ def test_contaminated_in_other_case(spark):
     assert got == {k: ([7], 1.0) for k in (0, 1, 2, 5)} | {k: ([8], 1.0) for k in (3, 4, 7)}
 
 
+def test_contaminated_in_part(spark):
+    item = "A farmer sells 12 apples and 30 pears at the market and then buys 12 plums and 7 cherries from a trader who sells 30 melons"
+    head = " ".join(item.split()[:15])
+    german = "Der alte Bauer verkauft am Markt der Stadt seine Körbe mit Äpfeln und die Frau kauft dort am Markt viele Flaschen Saft mit Zucker"
+    start = " ".join(german.split()[:16])
+    own = head + " 45 figs or 99 nuts of 12 kinds while 30 others look at 81 cups"
+    inserted = item.replace("at the market", "at the big market")
+    deleted = german.replace("und die Frau", "und Frau")
+    torn = item.replace("12 apples", "15 apples")
+    texts = [own, start + " keine Brote vom Bäcker im Dorf", inserted, deleted, head, torn, item.replace("12", "15")]
+    bench = spark.createDataFrame([(7, item), (8, german)], "item_id bigint, text string")
+    got = {r.doc_id: r.item_ids for r in contaminated(frame(spark, texts), bench).collect()}
+    assert got == {0: [7], 1: [8], 2: [7], 3: [8], 4: [7], 6: [7]}
+
+
 # 7
 
 
