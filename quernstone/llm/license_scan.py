@@ -1,7 +1,7 @@
 """License scans: base phrases, and licence templates through a positional rare-token index. DataFrame operations only.
 
 The index maps each licence word (a longer word of a template) to its templates and positions. A file's licence words
-are weighed by inverse document frequency over all files; its ``RARE`` words of highest weight are looked up, and
+are weighed by inverse document frequency over all files; all of them are looked up (at most the index's words), and
 postings of a template that agree on the relative position (file position less template position) count together. A
 template is a candidate from ``COVER`` of the weight of its own words, and a match if its mandatory key phrases stand
 in the file.
@@ -9,7 +9,7 @@ in the file.
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Base phrases count at all places where
 their words stand consecutively.
 
-Defined cases: null and empty texts have no words and no labels; ties in weight go by word; rows that repeat a document
+Defined cases: null and empty texts have no words and no labels; rows that repeat a document
 give equal rows; null ids are files too; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -41,7 +41,7 @@ TEMPLATES: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = {
 }
 #: Words that alone say nothing of a licence.
 COMMON = frozenset("this that with from under the and any are terms version work file following source code form subject copy person free you may can use provided permitted published charge files international binary program without all".split())
-RARE, COVER = 12, 0.6
+COVER = 0.6
 
 
 def words_of(text: Column) -> Column:
@@ -65,7 +65,7 @@ def _places(phrase: str) -> str:
     return f"filter(sequence(0, size(words) - 1), i -> {same})"
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, cover: float = COVER) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
     """One row per file: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
     spark = docs.sparkSession
     index = postings()
@@ -89,8 +89,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the index has a row for each licence word of the fixed templates: a bounded table
     weight_of = F.create_map(*[F.lit(x) for kv in weights for x in kv])
     index_df = F.broadcast(spark.createDataFrame([(w, k, label, i, per_template[k], sizes[k]) for w, k, label, i in index], "word string, template int, label string, at int, whole double, size int"))
-    rarest = F.slice(F.sort_array(F.transform(F.array_intersect("words", listed), lambda w: F.named_struct(F.lit("less"), -weight_of[w], F.lit("word"), w))), 1, rare)
-    bound = F.array(F.struct("words", F.transform(rarest, lambda r: r["word"]).alias("looked")))
+    bound = F.array(F.struct("words", F.array_intersect("words", listed).alias("looked")))
     hits = F.transform(bound, lambda z: F.filter(F.transform(z["words"], lambda w, i: F.named_struct(F.lit("pos"), i, F.lit("word"), w)), lambda p: F.array_contains(z["looked"], p["word"])))[0]
     looked = files.select("doc_id", "th", F.explode(hits).alias("p")).select("doc_id", "th", "p.pos", "p.word").withColumn("weight", weight_of[F.col("word")])
     votes = looked.join(index_df, "word").groupBy("doc_id", "th", "template", "label", (F.col("pos") - F.col("at")).alias("place")).agg(F.sum("weight").alias("got"), F.first("whole").alias("whole"), F.first("size").alias("size"), F.count("*").alias("n"))

@@ -1,6 +1,7 @@
 """Each operator against brute force on small fixtures with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -143,6 +144,18 @@ def test_licenses(spark):
     assert license_scan(frame(spark, texts).where("false")).count() == 0
 
 
+def test_licenses_many_notices(spark):
+    from quernstone.llm.license_scan import TEMPLATES
+
+    one = {label: templates[0][0] for label, templates in TEMPLATES.items()}
+    combos = [list(c) for n in (1, 2, 3) for c in itertools.combinations(sorted(one), n)] + [sorted(one)]
+    texts = [" ... ".join(one[label] for label in c) for c in combos]
+    texts += [" ... ".join(wording for templates in TEMPLATES.values() for wording, _ in templates)]
+    combos += [sorted(one)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan(frame(spark, texts + [prose(k, 30) for k in range(300)])).collect()}
+    assert {k: set(c) - got[k] for k, c in enumerate(combos) if set(c) - got[k]} == {}
+
+
 # 5
 
 
