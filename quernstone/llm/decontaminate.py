@@ -9,7 +9,9 @@ the item's windows match there and its slots are consistent: within the matched
 against equal values in the document, and the other way round. What stands between or after them is the document's own.
 
 Windows with fewer than ``LITERAL`` literal tokens say nothing and are left out; items shorter than a window are one
-window of their own length, items with fewer than ``LITERAL`` literal tokens can't be recognised. Benchmark windows are
+window of their own length. Items that have no window left in one of the two forms (short questions, rows of numbers) are
+also found verbatim, by all of their words, numbers and names in sequence (third form, ``PLAIN``, case aside); an item of
+one word only in a document that is that word. Benchmark windows are
 broadcast up to ``BROADCAST_WINDOWS`` rows (16 bytes each), joined by a shuffle beyond.
 
 Defined cases: null and empty texts match nothing; null ids are documents too; repeated rows each count; an empty
@@ -26,8 +28,8 @@ from quernstone.llm.common import written
 WINDOW, LITERAL = 8, 4
 BROADCAST_WINDOWS = 1_000_000
 BROADCAST_IDS = 1_000_000
-#: Forms of a text: typed placeholders; words without case, where only numbers are placeholders.
-TYPED, UNCASED = 0, 1
+#: Forms of a text: typed placeholders; words without case, where only numbers are placeholders; words and numbers.
+TYPED, UNCASED, PLAIN = 0, 1, 2
 #: Units that become a placeholder behind a number (fixed values).
 UNITS = ("kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "inch", "inches", "yards", "l", "ml", "liters", "litres", "gallons", "s", "sec", "seconds", "min", "minutes", "h", "hours", "hour", "days", "day", "weeks", "months", "years", "mph", "kmh", "percent", "dollars", "euros", "pounds", "cents", "degrees", "meters", "metres", "grams", "kilograms", "kilometers")
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
@@ -53,24 +55,33 @@ def uncased(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.when(w > "\u0004", F.upper(w)).when(w.startswith(NUMBER), NUMBER).otherwise(F.upper(F.substring(w, 2, 1 << 30))))
 
 
-FORMS = {TYPED: template, UNCASED: uncased}
+def plain(tokens: Column) -> Column:
+    """Marked tokens as words without case, numbers as they are."""
+    return F.transform(tokens, lambda w: F.upper(F.when(w > "\u0004", w).otherwise(F.substring(w, 2, 1 << 30))))
+
+
+FORMS = {TYPED: template, UNCASED: uncased, PLAIN: plain}
 
 
 def window_hashes(tokens: Column, form: int, width: int) -> Column:
     """``pos`` (from 1) and ``h`` of the windows."""
     # tokens are bound once; named within the inner lambda, their expression would be evaluated for each window
     window = lambda t, i: F.struct(i.alias("pos"), F.xxhash64(F.lit(form), F.slice(t, i, F.lit(width))).alias("h"))
-    one = lambda t: F.when(F.size(t) >= width, F.transform(F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: window(t, i))).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+    fits = lambda t: F.size(t) == 1 if width == 1 else F.size(t) >= width
+    one = lambda t: F.when(fits(t), F.transform(F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: window(t, i))).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
     return F.transform(F.array(FORMS[form](tokens)), one)[0]
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
-    """``item_id, form, width, at, h`` of windows with enough literal tokens; ``items``: ``item_id, marked``."""
+    """``item_id, form, width, at, h`` of windows with enough literal tokens, and of all windows of the items that have none in a form; ``items``: ``item_id, marked``."""
     forms = F.array(*[F.struct(F.lit(k).alias("form"), make(F.col("marked")).alias("t")) for k, make in FORMS.items()])
     windows = items.select("item_id", F.explode(forms).alias("f")).select("item_id", "f.form", F.least(F.lit(WINDOW), F.size("f.t")).alias("width"), "f.t").where("width > 0")
     windows = windows.select("item_id", "form", "width", "t", F.explode(F.expr("sequence(1, size(t) - width + 1)")).alias("at"))
     part = F.slice("t", F.col("at"), F.col("width"))
-    return windows.where(F.size(F.filter(part, lambda w: w > "\u0004")) >= LITERAL).select("item_id", "form", "width", "at", F.xxhash64("form", part).alias("h"))
+    windows = windows.withColumn("telling", (F.col("form") == PLAIN) | (F.size(F.filter(part, lambda w: w > "\u0004")) >= LITERAL)).select("item_id", "form", "width", "at", F.xxhash64("form", part).alias("h"), "telling")
+    both = windows.where("telling").groupBy("item_id").agg(F.count_distinct(F.when(F.col("form") != PLAIN, F.col("form"))).alias("forms")).where("forms < 2").select(F.col("item_id").alias("few_id"))
+    few = windows.where(F.col("form") == PLAIN).join(both, F.col("item_id").eqNullSafe(F.col("few_id")), "left_semi")
+    return windows.where("telling").where(F.col("form") != PLAIN).unionByName(few).drop("telling")
 
 
 def _consistent(pairs: Column) -> Column:
@@ -94,7 +105,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.25, id_col
     # rows that repeat a document match once each: distinct windows
     total = windows.groupBy("item_id", "form").agg(F.count("*").alias("windows"))
     places = hits.groupBy("doc_id", "th", "item_id", "form", "width", "offset").agg(F.collect_set("at").alias("ats")).withColumn("matched", F.size("ats").cast("long"))
-    places = places.join(total, ["item_id", "form"]).withColumn("share", F.col("matched") / F.col("windows")).where(F.col("share") >= min_share)
+    places = places.join(total, ["item_id", "form"]).withColumn("share", F.col("matched") / F.col("windows")).where(F.when(F.col("form") == PLAIN, F.col("matched") == F.col("windows")).otherwise(F.col("share") >= min_share))
     places = written(places, "places")
     # slots: the candidates' texts once more
     wanted = places.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")).distinct()
@@ -104,7 +115,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.25, id_col
     # only positions within matched windows
     covered = F.expr("array_distinct(flatten(transform(ats, a -> sequence(a, a + width - 1))))")
     pairs = F.expr("""transform(array(struct(marked as m, words as w)), z -> array_distinct(filter(transform(covered, i -> struct(get(z.m, i - 1) as x, get(z.w, i - 1 + offset) as y)),
-        p -> p.x < '\u0004' and p.y < '\u0004' and left(p.x, 1) = left(p.y, 1) and (form = 0 or left(p.x, 1) = '\u0002'))))[0]""")
+        p -> p.x < '\u0004' and p.y < '\u0004' and left(p.x, 1) = left(p.y, 1) and (form = 0 or form = 1 and left(p.x, 1) = '\u0002'))))[0]""")
     both = both.withColumn("covered", covered).withColumn("pairs", pairs).where(_consistent(F.col("pairs")))
     # one row for a place: the form with the greater share, the typed one if they are equal
     best = both.groupBy("doc_id", "th", "item_id", "offset").agg(F.max(F.struct("share", -F.col("form"), "matched")).alias("best"))

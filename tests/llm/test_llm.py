@@ -198,6 +198,14 @@ def test_contaminated_in_part(spark):
     assert got == {0: [7], 1: [8], 2: [7], 3: [8], 4: [7], 6: [7]}
 
 
+def test_contaminated_by_short_items(spark):
+    items = ["What is 7 times 8?", "Who wrote Hamlet?", "12 15 18 21 24 27 30 33 36 39", "Paris"]
+    texts = ["And then: " + items[0] + " Nobody knew.", "what is 7 TIMES 8", "What is 7 times 9?", "we ask who wrote hamlet today", "who wrote", "12 15 18 21 24 27 30 33 36 39 42", "12 15 18 21 24 27 30 33 36", "a week in Paris with friends", "paris!"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r.doc_id: r.item_ids for r in contaminated(frame(spark, texts), bench).collect()}
+    assert got == {0: [0], 1: [0], 3: [1], 5: [2], 8: [3]}
+
+
 # 7
 
 
