@@ -122,6 +122,17 @@ def hazard_row_aggregates(spark, d):
     return e.select("user_id", r6(S.spectral(v), "spectral"), r6(S.worst_mean(v), "worst"), r6(S.power_mean(v), "power"))
 
 
+@query("""WITH o AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY v DESC) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n
+  FROM (SELECT user_id, 100 * value / (SELECT max(value) FROM events) AS v FROM events WHERE value IS NOT NULL))
+SELECT user_id, round(sum(v * exp(-0.45 * i)) / sum(exp(-0.45 * i)), 6) AS spectral,
+  round(sum(CASE WHEN i < ceil(n * 0.25) THEN v END) / max(ceil(n * 0.25)), 6) AS worst, round(100 * pow(avg(pow(v / 100, 4)), 0.25), 6) AS power FROM o GROUP BY user_id""")
+def hazard_row_aggregates_scaled(spark, d):
+    events, v = t(spark, d, "events").where("value is not null"), F.col("v")
+    most = F.broadcast(events.agg(F.max("value").alias("most")))
+    e = events.crossJoin(most).groupBy("user_id").agg(F.collect_list(F.lit(100) * F.col("value") / F.col("most")).alias("v"))
+    return e.select("user_id", r6(S.spectral(v), "spectral"), r6(S.worst_mean(v), "worst"), r6(S.power_mean(v), "power"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, CASE
   WHEN rating IS NULL THEN CASE WHEN raw IS NULL THEN 'missing' WHEN raw >= 0 THEN 'valid' ELSE 'invalid' END
   WHEN rating = 'Not Applicable' THEN CASE WHEN raw IS NULL THEN 'not_applicable' ELSE 'invalid' END
@@ -287,6 +298,15 @@ def code_reconciliation(spark, d):
     return E.reconcile_codes(s, t(spark, d, "customer").select("c_custkey", "c_name"), F.right("s_name", F.lit(6)), F.right("c_name", F.lit(6)))[0].select("s_suppkey", "c_custkey")
 
 
+@query("""SELECT s_suppkey, c_custkey, CASE WHEN c_custkey IS NULL THEN 'unmatched' ELSE 'matched' END AS status
+FROM supplier LEFT JOIN customer ON right(s_name, 6) = right(c_name, 6)""")
+def code_reconciliation_status(spark, d):
+    s, c = t(spark, d, "supplier").select("s_suppkey", "s_name"), t(spark, d, "customer").select("c_custkey", "c_name")
+    matched, gone = E.reconcile_codes(s, c, F.right("s_name", F.lit(6)), F.right("c_name", F.lit(6)))
+    gone = gone.select("s_suppkey", F.lit(None).cast("bigint").alias("c_custkey"), F.lit("unmatched").alias("status"))
+    return matched.select("s_suppkey", "c_custkey", F.lit("matched").alias("status")).unionByName(gone)
+
+
 @query("""WITH local AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 6) AS v FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1),
 wide AS (SELECT n_regionkey AS k, round(avg(c_acctbal), 6) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
 SELECT s_suppkey, round(coalesce(local.v, wide.v), 4) AS value, CASE WHEN local.v IS NOT NULL THEN 'local' WHEN wide.v IS NOT NULL THEN 'wider' END AS source

@@ -38,6 +38,12 @@ def test_same_as_sql(spark, duck, name):
     assert got == sorted([canon(row[k]) for k in at] for row in r.fetchall())
 
 
+def test_whole_tables(spark):
+    rows = lambda table, key: spark.read.parquet(f"{SF}/{table}.parquet").select(key).distinct().count()
+    assert QUERIES["code_reconciliation_status"](spark, SF).select("s_suppkey").distinct().count() == rows("supplier", "s_suppkey")
+    assert QUERIES["hazard_row_aggregates_scaled"](spark, SF).count() == rows("events", "user_id")
+
+
 def test_entry(spark):
     import __spark_entry__
 
