@@ -188,7 +188,7 @@ def test_contaminated_in_part(spark):
     head = " ".join(item.split()[:15])
     german = "Der alte Bauer verkauft am Markt der Stadt seine Körbe mit Äpfeln und die Frau kauft dort am Markt viele Flaschen Saft mit Zucker"
     start = " ".join(german.split()[:16])
-    own = head + " 45 figs or 99 nuts of 12 kinds while 30 others look at 81 cups"
+    own = head + " figs or 8 nuts yet they would like some 31 cups"  # 31 stands where the item has its second 30
     inserted = item.replace("at the market", "at the big market")
     deleted = german.replace("und die Frau", "und Frau")
     torn = item.replace("12 apples", "15 apples")
