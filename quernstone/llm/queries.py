@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import table
+from quernstone.llm.common import Scratch, table, written
 from quernstone.llm.decontaminate import contaminated
 from quernstone.llm.exact_dedup import exact_dedup
 from quernstone.llm.license_scan import license_scan
@@ -78,8 +79,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit_toxicity(docs, labels)).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def settled(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its result written, and its intermediate tables deleted."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with Scratch() as s:
+            return s.keep(written(query(spark, sf_dir), query.__name__))
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_url_filter, op4_source_mix, op5_decontamination, op6_exact_dedup, op7_token_output, op8_suffix_dedup, op9_minhash_dedup, op10_toxicity)}
+    return {f.__name__: settled(f) for f in (op1_license_scan, op2_quality_classifier, op3_url_filter, op4_source_mix, op5_decontamination, op6_exact_dedup, op7_token_output, op8_suffix_dedup, op9_minhash_dedup, op10_toxicity)}
 
 
 _OP3 = r"""
