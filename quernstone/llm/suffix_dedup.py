@@ -12,6 +12,14 @@ digit tells them apart. Each pass cuts records into narrower ranges of offsets,
 - a core that no other record has: no window is; done;
 - otherwise the range is cut into ``CUTS[k]``-wide ones for the next pass, until ranges are single windows.
 
+In the terms of a most-significant-digit sort: read the bytes of a window outward from its anchor. The first digit is the
+anchor's ``GRAM`` bytes with its offset's place; pass k (``CUTS[k]``) takes as its digit the bytes that come newly into the
+core when ranges narrow from ``CUTS[k - 1]`` to ``CUTS[k]`` offsets, on either side of it; the last, of width 1, has the
+whole 400 bytes in the core. A core's digest names a group of equal leading digits, so the groups of a pass are those of
+the pass before cut by one more digit, the sort stops at ``WIDTH`` bytes, and groups of one member (or of unions that are
+equal throughout) are left out of later passes as in any radix sort. Which order groups of different digits have among each
+other plays no part in which windows are equal, so digests stand for digits and groups are not put in order.
+
 Of equal unions one record goes on as a partner of the others. Groups are only counted, never gathered, so a passage in
 a third of all documents takes no task more. Long texts are read in slices; a record cut by a slice is settled by later
 passes.
@@ -226,10 +234,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (starts and ends of removed runs)."""
+    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats, removed_share, spans``.
+
+    ``has_repeats``: some byte is removed; ``removed_share``: removed bytes over all (0 for empty texts); ``spans``: starts and
+    ends of removed runs.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     spans = repeated_spans(rows).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     spans = written(spans.select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), "spans"), "spans")
     both = rows.join(spans, F.expr("th = s_th and doc_id <=> s_id"), "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_lose, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>")
+    out = both.mapInArrow(_lose, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>")
+    share = F.col("n_removed") / F.greatest("n_bytes", F.lit(1))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"), share.alias("removed_share"), "spans")
