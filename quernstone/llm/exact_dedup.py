@@ -1,14 +1,16 @@
 """Exact deduplication with Patricia-trie owners.
 
-A text's key is its 64-bit content hash, its length and then all its bytes. Every task first inserts its own
-rows into a compressed radix trie and hands on terminals only (bytes once, smallest id, count): a group of copies
-leaves a task as one row, so no hot group travels. Terminals are dealt by (hash, length), sorted, and inserted into
-tries again; the subtree of a (hash, length) is complete as soon as the next one begins, is spilled to the output and
-freed. Full bytes decide equality, never the hash.
+Texts fall into parts by 16 bits of their content hash and by their length; within a part a compressed radix trie holds
+their full bytes, so texts with common beginnings share edges and a terminal is a text. Every task first inserts its own
+rows (keys: part, then bytes) and hands on terminals only (bytes once, smallest id, count): a group of copies leaves a
+task as one row, so no hot group travels. Terminals are dealt by part, sorted by it, and inserted into tries again; the
+subtree of a part is complete as soon as the next one begins, is spilled to the output and freed. Bytes decide equality,
+never the hash. A part's distinct texts are what a task holds at once: those of one length that agree in 16 bits.
 
 Defined cases: null text counts as empty; a null id never owns a text unless all ids of the group are null, in which
 case ``keep_id`` is null and ``kept`` false; rows that repeat the smallest id are all kept (ids are meant to be
-unique); an empty table gives an empty result; other columns are ignored.
+unique); ids are 64-bit numbers below 2^63 - 1, which stands for "no id"; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +39,13 @@ def normalise(text: str | None) -> bytes:
     return _RUNS.sub(b" ", b) if b"  " in b else b
 
 
+#: Bytes of a part's name, and of terminals in one batch.
+HEAD, BATCH_BYTES = 10, 8 << 20
+
+
 def head(b: bytes) -> bytes:
-    """The leading digits of a key: content hash, then length."""
-    return xxhash.xxh3_64_digest(b) + len(b).to_bytes(8, "big")
+    """A text's part, the leading digits of its key: 16 bits of the content hash, then the length."""
+    return xxhash.xxh3_64_digest(b)[:2] + len(b).to_bytes(8, "big")
 
 
 class Node:
@@ -133,11 +139,25 @@ _MEMBERS = "doc_id bigint, text_sha256 string"
 
 def _terminal_batch(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([k[:16] for k, _, _ in rows], pa.binary()), pa.array([k[16:] for k, _, _ in rows], pa.binary()), pa.array([x for _, x, _ in rows], pa.int64()), pa.array([x for _, _, x in rows], pa.int64())],
+        [pa.array([k[:HEAD] for k, _, _ in rows], pa.binary()), pa.array([k[HEAD:] for k, _, _ in rows], pa.binary()), pa.array([x for _, x, _ in rows], pa.int64()), pa.array([x for _, _, x in rows], pa.int64())],
         names=["head", "body", "low", "n"],
     )
 
 
+def _batches_of(rows: Iterator[tuple[bytes, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Terminals in batches of bounded bytes."""
+    held: list[tuple[bytes, int, int]] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[0])
+        if len(held) == 512 or size > BATCH_BYTES:
+            yield _terminal_batch(held)
+            held, size = [], 0
+    if held:
+        yield _terminal_batch(held)
+
+
 def _local_tries(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(limit)
@@ -145,40 +165,34 @@ def _local_tries(limit: int):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 b = normalise(text)
                 if out := trie.insert(head(b) + b, NONE if i is None else i):
-                    for k in range(0, len(out), 512):
-                        yield _terminal_batch(out[k : k + 512])
-        rows: list = []
-        for row in trie.drain():
-            rows.append(row)
-            if len(rows) == 512:
-                yield _terminal_batch(rows)
-                rows = []
-        if rows:
-            yield _terminal_batch(rows)
+                    yield from _batches_of(out)
+        yield from _batches_of(trie.drain())
 
     return run
 
 
-def _owner_batch(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+def _owner_batch(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([hashlib.sha256(k[16:]).hexdigest() for k, _, _ in rows], pa.string()), pa.array([None if x == NONE else x for _, x, _ in rows], pa.int64()), pa.array([x for _, _, x in rows], pa.int64())],
+        [pa.array([h for h, _, _ in rows], pa.string()), pa.array([None if x == NONE else x for _, x, _ in rows], pa.int64()), pa.array([x for _, _, x in rows], pa.int64())],
         names=["text_sha256", "keep_id", "group_size"],
     )
 
 
 def _merge_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input sorted by head: each head's subtree is whole when the next head begins."""
+    """Input sorted by head: each head's subtree is whole when the next head begins. Only hashes of texts leave it."""
     trie, now, rows = PatriciaTrie(), None, []
+    hashed = lambda: ((hashlib.sha256(memoryview(k)[HEAD:]).hexdigest(), low, n) for k, low, n in trie.drain())
     for batch in batches:
-        for h, body, low, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for h, body, low, n in zip(*batch.columns, strict=True):
+            h = h.as_py()
             if h != now:
-                rows.extend(trie.drain())
+                rows.extend(hashed())
                 now = h
                 if len(rows) >= 512:
                     yield _owner_batch(rows)
                     rows = []
-            trie.insert(h + body, low, n)
-    rows.extend(trie.drain())
+            trie.insert(h + body.as_py(), low.as_py(), n.as_py())
+    rows.extend(hashed())
     if rows:
         yield _owner_batch(rows)
 
