@@ -5,11 +5,12 @@ count alike), and of words that repeat a word just before. One weight vector ser
 P(grade >= j) = sigmoid(s - t_j). The expected grade and the tail probability of ``accept_grade`` come from these, and
 documents whose tail probability is under ``accept`` are rejected.
 
-Fitted on at most ``sample_rows`` labelled rows, taken in order of hashed ids (a documented bound); scored on every row.
+Fitted on at most ``sample_rows`` labelled rows, taken in order of hashed ids (a documented bound); of rows that repeat an
+id, the text that is least in byte order stands for it. Scored on every row.
 
 Defined cases: null and empty texts have no features and get the thresholds' prior; rows without a grade are not
 learned from; with fewer than two grades among the labels everything is accepted at grade probability 1; a repeated
-row scores alike; other columns are passed through or ignored.
+row scores alike; an empty table gives an empty result; other columns are passed through or ignored.
 """
 
 from __future__ import annotations
@@ -120,6 +121,13 @@ def sampled_ids(labels: DataFrame, columns: list[str], rows: int) -> DataFrame:
     return labels.where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(3)), *columns).limit(rows).select("doc_id", *columns)
 
 
+def sample_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row for each row of ``sample`` (``doc_id`` and a label) that has a document, with its ``text``."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return sample.join(texts, "doc_id")
+
+
 def quality_grade(quality: str = "quality", toxic: str = "toxic"):
     """Grades 0 (poor), 1 (good text, but toxic), 2 (good)."""
     return F.when(F.col(quality) == 0, 0).when((F.col(quality) == 1) & (F.col(toxic) == 1), 1).when(F.col(quality) == 1, 2)
@@ -133,8 +141,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_
     if not ids:
         return Ordinal(np.zeros(WIDTH, np.float32), np.zeros(0))
     sample = spark.createDataFrame(ids, "doc_id bigint, grade int")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = texts.select("grade", "text").mapInArrow(_sparse, "grade int, at binary, value binary").limit(2 * sample_rows).collect()
+    texts = sample_texts(docs, sample, id_col, text_col)
+    rows = texts.select("grade", "text").mapInArrow(_sparse, "grade int, at binary, value binary").collect()
     x = np.zeros((len(rows), WIDTH), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
