@@ -3,13 +3,15 @@
 Features: densities of lexicon words, of lexicon stems and of lexicon words behind obfuscation, their counts, closeness of such words
 to second-person pronouns, shares of capitals, punctuation and symbols, obfuscation rates. The lexicon holds fixed
 insults and the words and stems that training documents labelled toxic have far more often than others. Trees
-are fitted on second-order logistic gradients over binned features; raw scores of two folds, each predicted by trees
-fitted on the other, give the isotonic map to probabilities.
+are fitted on second-order logistic gradients over binned features. Raw scores of two folds, each predicted with the
+lexicon and the trees that were learned from the other fold alone, give the isotonic map to probabilities.
 
-Fitted on at most ``sample_rows`` labelled training rows (a documented bound); every row is scored on its whole text.
+Fitted on at most ``sample_rows`` labelled training rows (a documented bound; of rows that repeat an id, the text that is
+least in byte order stands for it); every row is scored on its whole text.
 
 Defined cases: null and empty texts have zero features and a score like any other; with one label value only, scores are that value's
-share; rows without a label are not learned from; other columns are ignored.
+share (0 without any); rows without a label are not learned from; null ids are scored; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.quality import sampled_ids
+from quernstone.llm.common import written
+from quernstone.llm.quality import sample_texts, sampled_ids
 from quernstone.llm.shingles import bytes_to_words
 
 #: Common insults, and second-person pronouns of four languages.
@@ -190,23 +193,34 @@ class ToxicityModel:
 
 
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's distinct words and stems (marked) with its label."""
+    """Each document's distinct words and stems (marked) with its fold and label."""
     for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for fold, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = set((text or "").encode("utf-8").translate(WORD_BYTES).split())
             rows = [w.decode("latin-1") for w in words] + [">" + s.decode("latin-1") for s in {w[:STEM] for w in words if len(w) > STEM}]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array([label] * len(rows), pa.int32())], names=["kind", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array([fold] * len(rows), pa.int32()), pa.array([label] * len(rows), pa.int32())], names=["kind", "fold", "label"])
 
 
-def _feature_rows(lexicon: Lexicon):
+def _feature_rows(lexicons: list[Lexicon]):
+    """Features under each lexicon, one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [text_features(t, lexicon).tolist() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+            x = [np.concatenate([text_features(t, lexicon) for lexicon in lexicons]).tolist() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "fold", "label", "x"])
 
     return run
 
 
+def _learned(kinds: DataFrame, folds: tuple[int, ...], counts: dict[tuple[int, int], int], lexicon_words: int) -> Lexicon:
+    """The fixed insults, and the kinds that toxic documents of ``folds`` have far more often. ``kinds``: ``kind, fold, t, c``."""
+    n1, n0 = (max(1, sum(counts.get((f, label), 0) for f in folds)) for label in (1, 0))
+    odds = F.log(((F.col("t") + 0.5) / n1) / ((F.col("c") + 0.5) / n0))
+    sums = kinds.where(F.col("fold").isin(*folds)).groupBy("kind").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    best = sums.where("t >= 4").withColumn("odds", odds).where("odds > 2.2").orderBy(F.desc("t"), "kind").limit(lexicon_words).collect()
+    return Lexicon(tuple(sorted({*INSULTS, *(r.kind for r in best if r.kind[0] != ">")})), tuple(sorted(r.kind[1:] for r in best if r.kind[0] == ">")))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, lexicon_words: int = 300, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """``labels``: ``doc_id, label`` (0 or 1) of training rows."""
     spark = docs.sparkSession
@@ -214,22 +228,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000,
     share = float(np.mean([r.label for r in ids])) if ids else 0.0
     if len({r.label for r in ids}) < 2:
         return ToxicityModel(Lexicon(INSULTS), None, (np.zeros(1), np.zeros(1)), share)
-    sample = spark.createDataFrame(ids, "doc_id bigint, label int")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    n1 = max(1, sum(r.label for r in ids))
-    n0 = max(1, len(ids) - n1)
-    kinds = texts.select("label", "text").mapInArrow(_kinds, "kind string, label int").groupBy("kind").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    odds = F.log(((F.col("t") + 0.5) / n1) / ((F.col("c") + 0.5) / n0))
-    learned = kinds.where("t >= 4").withColumn("odds", odds).where("odds > 2.2").orderBy(F.desc("t"), "kind").limit(lexicon_words).collect()
-    lexicon = Lexicon(tuple(sorted({*INSULTS, *(r.kind for r in learned if r.kind[0] != ">")})), tuple(sorted(r.kind[1:] for r in learned if r.kind[0] == ">")))
-    rows = texts.select("doc_id", "label", "text").mapInArrow(_feature_rows(lexicon), "doc_id bigint, label int, x array<double>").collect()
+    # an id's rows are in one fold
+    place = {i: k % 2 for k, i in enumerate(dict.fromkeys(r.doc_id for r in ids))}
+    sample = spark.createDataFrame([(r.doc_id, place[r.doc_id], r.label) for r in ids], "doc_id bigint, fold int, label int")
+    texts = written(sample_texts(docs, sample, id_col, text_col).select("doc_id", "fold", "label", "text"), "toxicity-sample")
+    counts: dict[tuple[int, int], int] = {}
+    for r in ids:
+        counts[place[r.doc_id], r.label] = counts.get((place[r.doc_id], r.label), 0) + 1
+    kinds = texts.select("fold", "label", "text").mapInArrow(_kinds, "kind string, fold int, label int")
+    kinds = written(kinds.groupBy("kind", "fold").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")), "toxicity-kinds")
+    lexicons = [_learned(kinds, folds, counts, lexicon_words) for folds in ((0,), (1,), (0, 1))]
+    rows = texts.mapInArrow(_feature_rows(lexicons), "doc_id bigint, fold int, label int, x array<double>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.x))
-    x, y = np.array([r.x for r in rows]), np.array([r.label for r in rows], float)
-    fold = np.arange(len(rows)) % 2
+    x, y, fold = np.array([r.x for r in rows]).reshape(len(rows), 3, len(FEATURES)), np.array([r.label for r in rows], float), np.array([r.fold for r in rows])
+    if len(set(zip(fold.tolist(), y.tolist(), strict=True))) < 4:  # a fold of one label calibrates nothing: the trees' own probabilities
+        even = np.linspace(-8, 8, 65)
+        return ToxicityModel(lexicons[2], fit_trees(x[:, 2], y), (even, 1 / (1 + np.exp(-even))), share)
     raw = np.zeros(len(rows))
     for k in (0, 1):
-        raw[fold == k] = fit_trees(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return ToxicityModel(lexicon, fit_trees(x, y), isotonic(raw, y), share)
+        raw[fold == k] = fit_trees(x[fold != k, 1 - k], y[fold != k]).raw(x[fold == k, 1 - k])
+    return ToxicityModel(lexicons[2], fit_trees(x[:, 2], y), isotonic(raw, y), share)
 
 
 def _scores(model: ToxicityModel):
