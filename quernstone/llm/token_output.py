@@ -11,11 +11,13 @@ Reading: a lookup table over ``limit`` bits gives a code's id and length; all ch
 side by side, one id a step.
 
 Defined cases: null text is empty and yields the end id alone; null ``doc_id`` sorts first; rows with equal ids are
-ordered by their token ids; an empty table gives an empty result; other columns are ignored.
+ordered by a hash of their token ids (equal rows follow each other); an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -67,11 +69,21 @@ class Recent(dict):
         return got
 
 
+def _cuts_pieces(spec: dict) -> bool:
+    """Byte-level BPE with the pattern of ``_PIECE``: no normaliser, no space put in front, plain merges."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    odd = any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return bool(level and plain and not odd and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding"))
+
+
 class Encoder:
     """Whole texts to ids with the ``tokenizers`` library, special tokens not added.
 
     Byte-level BPE merges within the pieces of its split pattern only, so a piece's ids never depend on its
-    neighbours; pieces, and stretches between single spaces, are remembered.
+    neighbours; pieces, and stretches between single spaces, are remembered. That holds for files of the form
+    ``_cuts_pieces`` tells; with any other file the library encodes whole texts.
     """
 
     def __init__(self, path: str, memo: int = 700_000):
@@ -82,6 +94,7 @@ class Encoder:
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tok.model, byte_letters()
+        self.cuts = _cuts_pieces(json.loads(self.tok.to_str()))
         self.pieces = Recent(self._piece, memo // 2)
         self.spaced = Recent(lambda s: self._cut(" " + s), memo)
 
@@ -100,7 +113,7 @@ class Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not _SAFE.fullmatch(text) or any(s in text for s in self.specials):
+        if not self.cuts or not _SAFE.fullmatch(text) or any(s in text for s in self.specials):
             return self.whole(text)
         if text[-1:] in ("\n", "\t", "\r", " ") or any(s in text for s in _SPACED):
             return self._cut(text)
