@@ -5,6 +5,10 @@ through beta-binomial priors: suffix towards all pages, registered domain toward
 Each level's prior strength comes from the data (moment estimator of the intra-class correlation). A host is blocked
 if the lower posterior bound of its rate of bad pages is above ``threshold``.
 
+Rules are a table of any size. A page's host gives its suffixes; each suffix that has rules gives the lengths their paths
+have, and the page's path cut to these lengths gives the keys that rules are joined by, so a page meets the rules that fit
+and no others. Up to ``INLINE_RULES`` rules are one expression instead.
+
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed; hosts without
 labels are judged by their domain's and suffix's prior alone; an empty table gives an empty result; other columns are
 ignored; repeated rows each give a row.
@@ -17,9 +21,11 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import ascii_lower, written
 
-#: Suffixes of two labels under which names are registered (fixed values).
+#: Suffixes of two labels under which names are registered (fixed values; ``url_filter`` takes others).
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ne.jp", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "co.za", "com.tr")
-MAX_RULES = 500
+INLINE_RULES = 64
+#: Rules and their hosts are broadcast up to this many rows, joined by a shuffle beyond.
+BROADCAST_RULES = 100_000
 STRENGTHS = (1.0, 1000.0)
 
 
@@ -32,9 +38,7 @@ def url_path(url: Column) -> Column:
 
 
 def longest_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
-    """The longest rule ``host/path`` that fits, or null. A rule fits its host and all subdomains."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
+    """The longest rule ``host/path`` that fits, or null. A rule fits its host and all subdomains. For few rules."""
     out = F.lit(None).cast("string")
     for rule in sorted(rules, key=lambda r: (len(r), r)):
         h, _, p = rule.partition("/")
@@ -43,12 +47,28 @@ def longest_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def _domain(host: Column) -> tuple[Column, Column]:
+def longest_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct ``host, path`` that a rule fits, with the longest ``rule`` and its ``judged``. ``rules``: ``rule, verdict``."""
+    parts = rules.select("rule", F.col("verdict").alias("judged"), F.substring_index("rule", "/", 1).alias("at"), F.expr("if(locate('/', rule) > 0, substr(rule, locate('/', rule)), '/')").alias("head"))
+    parts = parts.dropDuplicates(["rule"]).withColumn("size", F.length("head"))
+    fits = rules.count() <= BROADCAST_RULES
+    small = F.broadcast if fits else (lambda df: df)
+    sizes = parts.groupBy("at").agg(F.collect_set("size").alias("sizes"))
+    pairs = pages.select("host", "path").distinct()
+    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), k -> substring_index(host, '.', -k))")
+    keys = pairs.select("host", "path", F.explode(suffixes).alias("at")).join(small(sizes), "at")
+    keys = keys.select("host", "path", "at", F.explode(F.expr("filter(sizes, n -> n <= length(path))")).alias("size")).withColumn("head", F.expr("left(path, size)"))
+    found = keys.join(small(parts.drop("size")), ["at", "head"])
+    best = found.groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), "rule", "judged")).alias("m"))
+    return best.select("host", "path", "m.rule", "m.judged")
+
+
+def _domain(host: Column, two_label_suffixes: tuple[str, ...]) -> tuple[Column, Column]:
     """Suffix and registered domain."""
     bare = F.regexp_replace(host, r"^.*@|:\d*$", "")
     two = F.substring_index(bare, ".", -2)
-    suffix = F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
-    domain = F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
+    suffix = F.when(two.isin(*two_label_suffixes), two).otherwise(F.substring_index(bare, ".", -1))
+    domain = F.when(two.isin(*two_label_suffixes), F.substring_index(bare, ".", -3)).otherwise(two)
     return suffix, domain
 
 
@@ -76,13 +96,13 @@ def strength(ssb: float | None, ssw: float | None, dfb: float | None, dfw: float
     return high if rho <= 0 else min(high, max(low, (1 - rho) / rho))
 
 
-def host_reputation(pages: DataFrame, host_col: str, outcome_col: str, threshold: float = 0.5, z: float = 1.645) -> DataFrame:
+def host_reputation(pages: DataFrame, host_col: str, outcome_col: str, threshold: float = 0.5, z: float = 1.645, two_label_suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """One row per host: ``host, host_labelled, host_bad, bad_rate, bad_low, host_blocked``.
 
     ``outcome_col``: 1 bad, 0 good, null unlabelled.
     """
     host = F.col("host")
-    suffix, domain = _domain(host)
+    suffix, domain = _domain(host, two_label_suffixes)
     hosts = pages.groupBy(F.col(host_col).alias("host")).agg(F.count(outcome_col).alias("n"), F.coalesce(F.sum(F.col(outcome_col).cast("long")), F.lit(0)).alias("b"))
     hosts = written(hosts.withColumns({"suffix": suffix, "domain": domain, "every": F.lit(1)}), "hosts")
     sums = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
@@ -104,17 +124,23 @@ def host_reputation(pages: DataFrame, host_col: str, outcome_col: str, threshold
     )
 
 
-def url_filter(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", outcome_col: str | None = None, threshold: float = 0.5, z: float = 1.645) -> DataFrame:
+def url_filter(
+    pages: DataFrame, rules: dict[str, str] | DataFrame, id_col: str = "page_id", url_col: str = "url", outcome_col: str | None = None, threshold: float = 0.5, z: float = 1.645, two_label_suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES
+) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, host_labelled, host_bad``.
 
-    ``rules`` maps ``host/path`` to ``allow`` or ``block``.
+    ``rules`` maps ``host/path`` to ``allow`` or ``block``, or is a table ``rule, verdict`` of any size.
     """
-    url = F.col(url_col)
-    judged = F.create_map(*[F.lit(x) for kv in sorted(rules.items()) for x in kv])[F.col("rule")] if rules else F.lit(None).cast("string")
+    url, spark = F.col(url_col), pages.sparkSession
     rows = pages.select(F.col(id_col).alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"), *([F.col(outcome_col).alias("given")] if outcome_col else []))
-    rows = rows.withColumn("rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("judged", judged)
+    if isinstance(rules, dict) and len(rules) <= INLINE_RULES:
+        judged = F.create_map(*[F.lit(x) for kv in sorted(rules.items()) for x in kv])[F.col("rule")] if rules else F.lit(None).cast("string")
+        rows = rows.withColumn("rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("judged", judged)
+    else:
+        listed = spark.createDataFrame(sorted(rules.items()), "rule string, verdict string") if isinstance(rules, dict) else rules
+        rows = rows.join(written(longest_rules(rows, listed), "judged"), ["host", "path"], "left")
     by_rule = F.when(F.col("judged") == "block", 1).when(F.col("judged") == "allow", 0)
     rows = rows.withColumn("outcome", F.coalesce(F.col("given"), by_rule) if outcome_col else by_rule)
-    reputation = written(host_reputation(rows, "host", "outcome", threshold, z), "reputation")
+    reputation = written(host_reputation(rows, "host", "outcome", threshold, z, two_label_suffixes), "reputation")
     verdict = F.coalesce(F.col("judged"), F.when(F.col("host_blocked"), "block").otherwise("allow"))
     return rows.join(reputation, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "host_labelled", "host_bad")
