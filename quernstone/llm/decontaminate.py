@@ -11,11 +11,14 @@ against equal values in the document, and the other way round. What stands betwe
 Windows with fewer than ``LITERAL`` literal tokens say nothing and are left out; items shorter than a window are one
 window of their own length. Items that have no window left in one of the two forms (short questions, rows of numbers) are
 also found verbatim, by all of their words, numbers and names in sequence (third form, ``PLAIN``, case aside); an item of
-one word only in a document that is that word. Benchmark windows are
-broadcast up to ``BROADCAST_WINDOWS`` rows (16 bytes each), joined by a shuffle beyond.
-
-Defined cases: null and empty texts match nothing; null ids are documents too; repeated rows each count; an empty
-benchmark leaves all documents clean; other columns are ignored (or kept, in ``clean_documents``).
+one word only in a document that is that word. Items that are alike in a form (same template, and values that are equal
+at the same slots) are one class of it: it is matched once and reported by its smallest item id, so a template with
+very many fillings costs no more than one. Benchmark windows are broadcast up to ``BROADCAST_WINDOWS`` rows (16 bytes
+each), joined by a shuffle beyond.
+
+Defined cases: null and empty texts match nothing; null ids are documents too; repeated rows each count; an item without
+an id makes documents contaminated, but is not named; an empty benchmark leaves all documents clean, an empty table gives
+an empty result; other columns are ignored (or kept, in ``clean_documents``).
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import written
+from quernstone.llm.common import Scratch, written
 
 WINDOW, LITERAL = 8, 4
 BROADCAST_WINDOWS = 1_000_000
@@ -72,16 +75,26 @@ def window_hashes(tokens: Column, form: int, width: int) -> Column:
     return F.transform(F.array(FORMS[form](tokens)), one)[0]
 
 
-def _item_windows(items: DataFrame) -> DataFrame:
-    """``item_id, form, width, at, h`` of windows with enough literal tokens, and of all windows of the items that have none in a form; ``items``: ``item_id, marked``."""
-    forms = F.array(*[F.struct(F.lit(k).alias("form"), make(F.col("marked")).alias("t")) for k, make in FORMS.items()])
-    windows = items.select("item_id", F.explode(forms).alias("f")).select("item_id", "f.form", F.least(F.lit(WINDOW), F.size("f.t")).alias("width"), "f.t").where("width > 0")
-    windows = windows.select("item_id", "form", "width", "t", F.explode(F.expr("sequence(1, size(t) - width + 1)")).alias("at"))
+def _classes(items: DataFrame) -> DataFrame:
+    """``cid, item_id, form, marked, t`` of the items' classes in each form; ``items``: ``item_id, marked``."""
+    # a form tells if some window has enough literal tokens; PLAIN is for items that have none in one of the two others
+    tells = lambda t: F.exists(F.sequence(F.lit(1), F.greatest(F.size(t) - WINDOW + 1, F.lit(1))), lambda i: F.size(F.filter(F.slice(t, i, F.lit(WINDOW)), lambda w: w > "\u0004")) >= LITERAL)
+    both = tells(template(F.col("marked"))) & tells(uncased(F.col("marked")))
+    slot = {TYPED: lambda w: w < "\u0004", UNCASED: lambda w: w.startswith(NUMBER), PLAIN: lambda w: F.lit(False)}
+    values = lambda k: F.transform("marked", lambda w: F.when(slot[k](w), w).otherwise(""))
+    forms = F.array(*[F.struct(F.lit(k).alias("form"), make(F.col("marked")).alias("t"), values(k).alias("values")) for k, make in FORMS.items()])
+    every = items.where(F.size("marked") > 0).select("item_id", "marked", both.alias("both"), F.explode(forms).alias("f")).select("item_id", "marked", "both", "f.*").where((F.col("form") != PLAIN) | ~F.col("both"))
+    every = every.withColumn("cid", F.xxhash64("form", "t", F.expr("transform(values, v -> if(v = '', 0, array_position(values, v)))")))
+    first = F.min(F.struct(F.col("item_id").isNull(), "item_id", "marked", "t")).alias("m")
+    return every.groupBy("cid", "form").agg(first).select("cid", "m.item_id", "form", "m.marked", "m.t")
+
+
+def _class_windows(classes: DataFrame) -> DataFrame:
+    """``cid, form, width, at, h`` of windows with enough literal tokens, and of all windows of ``PLAIN``."""
+    windows = classes.select("cid", "form", F.least(F.lit(WINDOW), F.size("t")).alias("width"), "t")
+    windows = windows.select("cid", "form", "width", "t", F.explode(F.expr("sequence(1, size(t) - width + 1)")).alias("at"))
     part = F.slice("t", F.col("at"), F.col("width"))
-    windows = windows.withColumn("telling", (F.col("form") == PLAIN) | (F.size(F.filter(part, lambda w: w > "\u0004")) >= LITERAL)).select("item_id", "form", "width", "at", F.xxhash64("form", part).alias("h"), "telling")
-    both = windows.where("telling").groupBy("item_id").agg(F.count_distinct(F.when(F.col("form") != PLAIN, F.col("form"))).alias("forms")).where("forms < 2").select(F.col("item_id").alias("few_id"))
-    few = windows.where(F.col("form") == PLAIN).join(both, F.col("item_id").eqNullSafe(F.col("few_id")), "left_semi")
-    return windows.where("telling").where(F.col("form") != PLAIN).unionByName(few).drop("telling")
+    return windows.where((F.col("form") == PLAIN) | (F.size(F.filter(part, lambda w: w > "\u0004")) >= LITERAL)).select("cid", "form", "width", "at", F.xxhash64("form", part).alias("h"))
 
 
 def _consistent(pairs: Column) -> Column:
@@ -93,25 +106,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.25, id_col
     """One row per document, item and place: ``doc_id, th, item_id, offset, matched, share`` (``th``: hash of the text)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     items = written(benchmark.select(F.col(item_col).alias("item_id"), marked_tokens(F.col(item_text_col)).alias("marked")), "items")
-    windows = written(_item_windows(items), "item-windows")
+    classes = written(_classes(items), "item-classes")
+    windows = written(_class_windows(classes), "item-windows")
     kinds = sorted((r.form, r.width) for r in windows.select("form", "width").distinct().collect())  # at most WINDOW values a form
     if not kinds:
-        return rows.where("false").select("doc_id", "th", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("matched"), F.lit(0.0).alias("share"))
+        return rows.where("false").select("doc_id", "th", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("matched"), F.lit(0.0).alias("share"))
     fits = windows.count() <= BROADCAST_WINDOWS
     found = rows.select("doc_id", "th", marked_tokens(F.col("text")).alias("m"))
     found = found.select("doc_id", "th", F.explode(F.concat(*[window_hashes(F.col("m"), form, width) for form, width in kinds])).alias("w")).select("doc_id", "th", "w.pos", "w.h")
-    own = windows.select("h", "item_id", "form", "width", "at")
-    hits = found.join(F.broadcast(own) if fits else own, "h").select("doc_id", "th", "item_id", "form", "width", (F.col("pos") - F.col("at")).alias("offset"), "at")
+    own = windows.select("h", "cid", "form", "width", "at")
+    hits = found.join(F.broadcast(own) if fits else own, "h").select("doc_id", "th", "cid", "form", "width", (F.col("pos") - F.col("at")).alias("offset"), "at")
     # rows that repeat a document match once each: distinct windows
-    total = windows.groupBy("item_id", "form").agg(F.count("*").alias("windows"))
-    places = hits.groupBy("doc_id", "th", "item_id", "form", "width", "offset").agg(F.collect_set("at").alias("ats")).withColumn("matched", F.size("ats").cast("long"))
-    places = places.join(total, ["item_id", "form"]).withColumn("share", F.col("matched") / F.col("windows")).where(F.when(F.col("form") == PLAIN, F.col("matched") == F.col("windows")).otherwise(F.col("share") >= min_share))
+    total = windows.groupBy("cid").agg(F.count("*").alias("windows"))
+    places = hits.groupBy("doc_id", "th", "cid", "form", "width", "offset").agg(F.collect_set("at").alias("ats")).withColumn("matched", F.size("ats").cast("long"))
+    places = places.join(total, "cid").withColumn("share", F.col("matched") / F.col("windows")).where(F.when(F.col("form") == PLAIN, F.col("matched") == F.col("windows")).otherwise(F.col("share") >= min_share))
     places = written(places, "places")
     # slots: the candidates' texts once more
     wanted = places.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")).distinct()
     wanted = F.broadcast(wanted) if places.count() <= BROADCAST_IDS else wanted
     texts = rows.join(wanted, F.expr("th = w_th and doc_id <=> w_id"), "left_semi").groupBy("doc_id", "th").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("d_id"), F.col("th").alias("d_th"), marked_tokens(F.col("text")).alias("words"))
-    both = places.join(texts, F.expr("th = d_th and doc_id <=> d_id")).join(items.select("item_id", "marked"), "item_id")
+    both = places.join(texts, F.expr("th = d_th and doc_id <=> d_id")).join(classes.select("cid", "item_id", "marked"), "cid")
     # only positions within matched windows
     covered = F.expr("array_distinct(flatten(transform(ats, a -> sequence(a, a + width - 1))))")
     pairs = F.expr("""transform(array(struct(marked as m, words as w)), z -> array_distinct(filter(transform(covered, i -> struct(get(z.m, i - 1) as x, get(z.w, i - 1 + offset) as y)),
@@ -129,6 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the contaminated ones, columns as they are."""
-    bad = written(contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th")), "contaminated")
+    with Scratch() as s:
+        bad = s.keep(written(contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th")), "contaminated"))
     same = F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).eqNullSafe(F.col("bad_th")) & docs[id_col].eqNullSafe(F.col("bad_id"))
     return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, same, "left_anti")
