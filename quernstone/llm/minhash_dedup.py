@@ -6,18 +6,23 @@ so indexing each chunk with each of its symbols left out brings every such pair
 of the symbols differ on average; the bound lies over five standard deviations above. Pairs further apart than
 ``FAR`` of all symbols (six deviations) are dropped, and the rest are confirmed on whole sets.
 
-Nothing is quadratic in a group. Documents with equal sets are one class. Buckets of at most ``SMALL`` classes give
-their pairs. In larger ones every class is paired with the smallest; if confirmed links leave such a bucket in several
-components, its classes are joined again by their rarest shingles (two sets of similarity t share one of their n - ceil(t n) + 1
-rarest), where only pairs across components count. So no partner is lost and no bucket is enumerated.
+Documents with equal sets are one class. Buckets of at most ``SMALL`` classes give their pairs. In larger ones every class
+is paired with the smallest; if confirmed links leave such a bucket in several components, its classes are joined again by
+their rarest shingles (two sets of similarity t share one of their n - ceil(t n) + 1 rarest), where only pairs across
+components and of sizes within a step of 1 / t count. So no partner is lost, and no bucket is enumerated but what its
+links leave unresolved: texts that share just under t of their shingles with very many others. Their pairs by a common
+rare shingle are dealt in blocks of ``BLOCK`` classes, each block against the others in a task of its own, so that no task
+holds such a group; the pairs themselves are as many as the sets make necessary.
 
 Defined cases: null or empty texts (or only white space) have no shingles, are linked with nothing and kept; fewer
-words than ``width`` make one shingle; a null id takes its component's id and is not kept; rows repeating an id are the
-same document; an empty table gives an empty result; other columns are ignored.
+words than ``width`` make one shingle; a null id takes its component's id (null if no row of the component has one) and
+is not kept; rows repeating an id are the same document; ids are numbers below 2^62; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +37,10 @@ from quernstone.llm.shingles import minhash, multipliers, shingle_sets
 
 SYMBOLS, KEYED, CHUNK, SMALL = 128, 42, 3, 48
 FAR = 61
-NONE = (1 << 63) - 1
+#: Rows without an id go by a hash of their text from here on; ids lie below.
+UNNAMED = 1 << 62
+#: Classes of a group of pairs that go to a task together.
+BLOCK = 512
 #: Documents whose texts are needed again are found by a broadcast up to this many ids (16 MB), by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -138,7 +146,8 @@ def _prefix_pairs(sets: DataFrame, comps: DataFrame, per_cent: int) -> DataFrame
     """Pairs across components that share one of their rarest shingles. ``comps``: ``id, c`` of the unresolved ids.
 
     In two sets sorted by rarity, what is common begins at the first common shingle; so no more can be common than is
-    left from there on (``at`` counts what came before), and a pair whose rest is too short is out.
+    left from there on (``at`` counts what came before), and a pair whose rest is too short is out. Sizes are classed by
+    powers of 100 / ``per_cent``; pairs lie in one class or in two that follow each other.
     """
     postings = written(sets.join(comps.select("id"), "id", "left_semi").mapInArrow(_posting, "id bigint, shingle bigint"), "postings")
     often = postings.groupBy("shingle").agg(F.count("*").alias("df"))
@@ -146,11 +155,14 @@ def _prefix_pairs(sets: DataFrame, comps: DataFrame, per_cent: int) -> DataFrame
     size = F.size("s")
     prefix = F.slice("s", F.lit(1), (size - F.ceil(size * per_cent / F.lit(100)) + 1).cast("int"))
     rare = ranked.select("id", size.alias("n"), F.posexplode(prefix).alias("at", "x")).where("x.df > 1").select("id", "n", "at", "x.shingle").join(comps, "id")
-    several = rare.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
-    rare = written(rare.join(several, "shingle"), "rare")
-    x, y = (rare.withColumnsRenamed({c: f"{c}{side}" for c in ("id", "n", "c", "at")}) for side in "xy")
-    near = F.expr(f"cx < cy and 100 * least(nx, ny) >= {per_cent} * greatest(nx, ny) and {100 + per_cent} * least(nx - atx, ny - aty) >= {per_cent} * (nx + ny)")
-    return x.join(y, "shingle").where(near).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+    rare = rare.withColumn("step", F.floor(F.log("n") / math.log(100 / per_cent) + 1e-9).cast("int") if per_cent < 100 else F.lit(0))
+    groups = rare.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low < high")
+    rare = rare.join(groups.select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "shingle")
+    rare = written(rare.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "rare")
+    x = rare.select("shingle", "block", F.col("step").alias("own"), F.explode(F.expr("array(step, step - 1)")).alias("step"), *[F.col(c).alias(f"{c}x") for c in ("id", "n", "c", "at")])
+    y = rare.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "step", *[F.col(c).alias(f"{c}y") for c in ("id", "n", "c", "at")])
+    near = F.expr(f"cx <> cy and (own > step or idx < idy) and 100 * least(nx, ny) >= {per_cent} * greatest(nx, ny) and {100 + per_cent} * least(nx - atx, ny - aty) >= {per_cent} * (nx + ny)")
+    return x.join(y, ["shingle", "block", "step"]).where(near).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, per_cent: int = 75) -> DataFrame:
@@ -160,10 +172,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if per_cent < 75:
         raise ValueError("the index guarantees pairs from 75 per cent on")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    unnamed = F.xxhash64(text).bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("doc_id"), text.alias("text"))
     sketches = written(rows.mapInArrow(_sketch(width, multipliers(SYMBOLS)), "doc_id bigint, n bigint, digest binary, sig binary"), "sketches")
-    own = F.coalesce("doc_id", F.lit(NONE))
-    classes = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct(own.alias("id"), "n", "sig")).alias("r"))
+    classes = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("id"), "n", "sig")).alias("r"))
     reps = written(classes.select("digest", "r.id", "r.n", "r.sig"), "classes")
 
     keys = reps.select("id", "n", "sig").mapInArrow(_keys, "key bigint, id bigint, n bigint")
@@ -181,9 +194,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(_confirmed(pairs, sets, per_cent), "links")
     comps = written(components(links), "components")
 
-    # large buckets that confirmed links leave in several components
-    at = large.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    open_keys = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    # large buckets that confirmed links leave in several components; read from tables, so that no bucket is dealt whole
+    at = written(large.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "at")
+    open_keys = written(at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "open-keys")
+    open_keys = F.broadcast(open_keys) if open_keys.count() <= BROADCAST_IDS else open_keys
     unresolved = written(at.join(open_keys, "key").select("id", "c").distinct(), "unresolved")
     if unresolved.limit(1).count():
         across = written(_near(_prefix_pairs(sets, unresolved, per_cent), reps), "across")
@@ -193,6 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for done in (members, shared, pairs, sets):
         drop_written(done)
     linked = reps.select("digest", "id").join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("c"))
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.nullif("c", F.lit(NONE)))
+    named = lambda c: F.when(F.col(c) < UNNAMED, F.col(c))
     out = sketches.select("doc_id", "n", "digest").join(written(linked, "class-components"), "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("digest").isNull()).alias("kept"))
+    own, component = named("doc_id"), F.when(F.col("digest").isNull(), named("doc_id")).otherwise(named("c"))
+    return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(own == component, F.col("digest").isNull()).alias("kept"))
