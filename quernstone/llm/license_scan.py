@@ -1,10 +1,11 @@
 """License scans: base phrases, and licence templates through a positional rare-token index. DataFrame operations only.
 
-The index maps each licence word (a longer word of a template) to its templates and positions. A file's licence words
-are weighed by inverse document frequency over all files; all of them are looked up (at most the index's words), and
-postings of a template that agree on the relative position (file position less template position) count together. A
-template is a candidate from ``COVER`` of the weight of its own words, and a match if its mandatory key phrases stand
-in the file.
+Templates are the wordings of public licences and notices in ``license_texts``. Their longer words are counted over all
+files; of each template the ``RAREST`` words of highest inverse document frequency make the index, which maps a word to its
+templates and positions. All index words of a file are looked up, at all their places (the bound is on the index, per
+template, never on a file), and postings of a template that agree on the relative position (file position less template
+position) count together. A template is a candidate from ``COVER`` of the weight of its index words, and a match if its
+mandatory key phrases stand in the file.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Base phrases count at all places where
 their words stand consecutively.
@@ -16,48 +17,49 @@ give equal rows; null ids are files too; an empty table gives an empty result; o
 from __future__ import annotations
 
 import functools
+import itertools
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import ascii_lower, written
+from quernstone.llm.license_texts import TEMPLATES
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Templates and mandatory key phrases by label (fixed wording of public licences and their notices).
-TEMPLATES: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = {
-    "apache": (("licensed under the apache license version 2 0", ("apache license",)), ("you may not use this file except in compliance with the license", ("in compliance with the license",))),
-    "gpl": (
-        ("this work is licensed under the gnu general public license version 3", ("general public license",)),
-        ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("general public license",)),
-    ),
-    "mit": (("released under the mit license", ("mit license",)), ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",))),
-    "bsd": (("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),),
-    "mpl": (("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),),
-    "cc-by": (("this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)), ("licensed under cc by 4 0", ("cc by 4 0",))),
-    "cc-by-nc": (("licensed under cc by nc 4 0", ("cc by nc",)), ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",))),
-    "cc-by-sa": (("licensed under cc by sa 4 0", ("cc by sa",)),),
-    "proprietary": (("copyright all rights reserved unauthorized copying of this file is strictly prohibited", ("all rights reserved",)),),
-}
 #: Words that alone say nothing of a licence.
-COMMON = frozenset("this that with from under the and any are terms version work file following source code form subject copy person free you may can use provided permitted published charge files international binary program without all".split())
-COVER = 0.6
+COMMON = frozenset("this that with from under the and any are terms version work file following source code form subject copy person free you may can use provided permitted published charge files international binary program without all which have been will would should their these those each even hope part whole only being such other".split())
+COVER, RAREST = 0.6, 24
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def postings() -> list[tuple[str, int, str, int]]:
-    """(word, template, label, position) of licence words."""
+def template_words() -> list[tuple[str, int, str, int]]:
+    """(word, template, label, position) of the templates' longer words."""
     out, k = [], 0
     for label, templates in TEMPLATES.items():
         for wording, _ in templates:
-            out += [(w, k, label, i) for i, w in enumerate(wording.split()) if w not in COMMON and len(w) > 3]
+            words = re.findall("[0-9a-z]+", wording.lower())
+            out += [(w, k, label, i) for i, w in enumerate(words) if w not in COMMON and len(w) > 3]
             k += 1
     return out
 
 
+def positional_index(idf: dict[str, float], rarest: int = RAREST) -> list[tuple[str, int, str, int, float, float, int]]:
+    """(word, template, label, position, weight, weight of the template, places of the template) of each template's ``rarest`` words."""
+    out = []
+    for k, group in itertools.groupby(template_words(), lambda r: r[1]):
+        own = list(group)
+        kept = set(sorted({w for w, *_ in own}, key=lambda w: (-idf[w], w))[:rarest])
+        own = [r for r in own if r[0] in kept]
+        whole = sum(idf[w] for w, *_ in own)
+        out += [(w, k, label, i, idf[w], whole, len(own)) for w, _, label, i in own]
+    return out
+
+
 def _places(phrase: str) -> str:
     """SQL for the starts, from 0, of the phrase in ``words``."""
     parts = phrase.split()
@@ -68,8 +70,7 @@ def _places(phrase: str) -> str:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
     """One row per file: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
     spark = docs.sparkSession
-    index = postings()
-    vocabulary = sorted({w for w, *_ in index})
+    vocabulary = sorted({w for w, *_ in template_words()})
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), words_of(text).alias("words"))
     listed = F.array(*map(F.lit, vocabulary))
@@ -78,20 +79,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = rows.count()
     files = rows.where("words is not null").groupBy("doc_id", "th").agg(F.first("words").alias("words"), F.count("*").alias("copies"))
     files = written(files, "license-files")
-    # document frequencies of the index's own words, over all rows
+    # document frequencies of the templates' words, over all rows; the index has a row for each of their places: fixed tables
     own = files.select("copies", F.explode(F.array_intersect(F.col("words"), listed)).alias("word")).groupBy("word").agg(F.sum("copies").alias("df")).collect()
-    idf = {r.word: math.log((total + 1) / (r.df + 0.5)) for r in own}
-    weights = [(w, float(idf.get(w, math.log(total + 1)))) for w in vocabulary]
-    per_template, sizes = {}, {}
-    for w, k, _, _ in index:
-        per_template[k] = per_template.get(k, 0.0) + dict(weights)[w]
-        sizes[k] = sizes.get(k, 0) + 1
-    # the index has a row for each licence word of the fixed templates: a bounded table
-    weight_of = F.create_map(*[F.lit(x) for kv in weights for x in kv])
-    index_df = F.broadcast(spark.createDataFrame([(w, k, label, i, per_template[k], sizes[k]) for w, k, label, i in index], "word string, template int, label string, at int, whole double, size int"))
-    bound = F.array(F.struct("words", F.array_intersect("words", listed).alias("looked")))
+    df = {r.word: r.df for r in own}
+    index = positional_index({w: math.log((total + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary})
+    index_df = F.broadcast(spark.createDataFrame(index, "word string, template int, label string, at int, weight double, whole double, size int"))
+    words = F.array(*map(F.lit, sorted({w for w, *_ in index})))
+    bound = F.array(F.struct("words", F.array_intersect("words", words).alias("looked")))
     hits = F.transform(bound, lambda z: F.filter(F.transform(z["words"], lambda w, i: F.named_struct(F.lit("pos"), i, F.lit("word"), w)), lambda p: F.array_contains(z["looked"], p["word"])))[0]
-    looked = files.select("doc_id", "th", F.explode(hits).alias("p")).select("doc_id", "th", "p.pos", "p.word").withColumn("weight", weight_of[F.col("word")])
+    looked = files.select("doc_id", "th", F.explode(hits).alias("p")).select("doc_id", "th", "p.pos", "p.word")
     votes = looked.join(index_df, "word").groupBy("doc_id", "th", "template", "label", (F.col("pos") - F.col("at")).alias("place")).agg(F.sum("weight").alias("got"), F.first("whole").alias("whole"), F.first("size").alias("size"), F.count("*").alias("n"))
     best = votes.where("n >= least(2, size)").groupBy("doc_id", "th", "template", "label").agg(F.max(F.col("got") / F.col("whole")).alias("cover")).where(F.col("cover") >= cover)
     keys = [(k, p) for k, (_, ps) in enumerate((t for ts in TEMPLATES.values() for t in ts)) for p in ps]
