@@ -95,6 +95,21 @@ def test_urls(spark):
     assert all((r.verdict == "block") == r.host.startswith("bad") for r in got)
 
 
+def test_rules_as_a_table(spark):
+    rng = random.Random(8)
+    hosts = ["com", "x.com", "a.x.com", "b.a.x.com", "y.net", "net", "x.com:80", "co", "", "a..b"]
+    paths = ["/", "/e", "/en/", "/en/7", "/en/7/long", "/é", ""]
+    rules = {f"{rng.choice(hosts[:8])}{rng.choice(paths[:6])}": rng.choice(["allow", "block"]) for _ in range(40)}
+    urls = [f"http://{rng.choice(['', 'w.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', 'x', '?q'])}" for _ in range(500)] + [None, "x"]
+    f = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    table = spark.createDataFrame(list(rules.items()), "rule string, verdict string")
+    few, many = (sorted(map(repr, map(tuple, url_filter(f, r).collect()))) for r in (rules, table))
+    assert few == many
+    lots = rules | {f"h{k}.example/p{k % 7}": "block" for k in range(3000)}
+    got = {r.page_id: r for r in url_filter(f.unionByName(spark.createDataFrame([(1000, "http://w.h2999.example/p3/x")], f.schema)), lots).collect()}
+    assert got[1000].rule == "h2999.example/p3" and [got[k].rule for k in range(502)] == [r.rule for r in sorted(url_filter(f, rules).collect())]
+
+
 @pytest.mark.parametrize("name", ["op3_url_filter", "op6_exact_dedup"])
 def test_sql(spark, name):
     c = duckdb.connect()
@@ -133,6 +148,21 @@ def test_mix(spark):
     assert mix_sources(f.where("false")).count() == 0
 
 
+def test_mix_of_repeats(spark):
+    # a third of all rows without id and of one size, and rows that repeat
+    texts = ["w " * 7] * 3000 + [prose(k, 1 + k % 40) for k in range(3000)] + ["one two three"] * 500
+    ids = [None] * 3000 + list(range(3000)) + [5] * 500
+    f = frame(spark, texts, ["a" if k % 4 else "b" for k in range(len(texts))], ids)
+    rows = mix_sources(f).collect()
+    assert len(rows) == len(texts) and sorted(map(repr, rows)) == sorted(map(repr, mix_sources(f.repartition(5)).collect()))
+    by = defaultdict(list)
+    for r in rows:
+        by[r.target].append(r)
+    assert len(by) == 2 and all(abs(sum(r.taken for r in rs) - t) <= max(r["size"] for r in rs) for t, rs in by.items())
+    named = f.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert sum(r.taken for r in mix_sources(named).collect()) == pytest.approx(sum(by), rel=0.001)
+
+
 # 1
 
 
@@ -144,11 +174,53 @@ def test_licenses(spark):
     assert license_scan(frame(spark, texts).where("false")).count() == 0
 
 
+def brute_base(text):
+    low = {c: c + 32 for c in range(65, 91)}
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(low))
+    places = [(i, label) for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    at = [i for i, _ in places]
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({label for _, label in places}))
+
+
+def test_license_base_equals_brute_force(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = [*texts, "mit license " * 400, "MIT\x00LICENSE mit_license mit-licensé", "apache license general public license mit license"]
+    f = docs.unionByName(spark.createDataFrame([(100_000 + k, t) for k, t in enumerate(more)] + [(None, "MIT license"), (None, "MIT license"), (None, None), (100_000, texts[0])], "doc_id bigint, text string"))
+    want = sorted((repr((r.doc_id, *brute_base(r.text))) for r in f.collect()))
+    got = sorted(repr((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in license_scan(f).collect())
+    assert got == want
+
+
+def test_license_recall(spark):
+    from quernstone.llm.license_texts import TEMPLATES
+
+    rng, cases = random.Random(4), []
+    for label, templates in TEMPLATES.items():
+        for wording, _ in templates:
+            words = wording.split()
+            for kind in ("whole", "upper", "cut", "typo"):
+                w = list(words)
+                if kind == "cut" and len(w) > 40:
+                    w = w[: len(w) * 4 // 5]
+                if kind == "typo" and len(w) > 40:
+                    for _ in range(len(w) // 20):
+                        w[rng.randrange(12, len(w))] = "xyzzy"
+                t = " ".join(w).upper() if kind == "upper" else " ".join(w)
+                cases.append((label, kind, prose(len(cases), 40) + "\n * " + t + "\n" + prose(len(cases) + 7, 300)))
+    clean = [prose(1000 + k, 300) + " the software and license of any person" for k in range(100)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan(frame(spark, [t for *_, t in cases] + clean)).collect()}
+    found = defaultdict(list)
+    for k, (label, kind, _) in enumerate(cases):
+        found[kind].append(label in got[k])
+    assert np.mean(found["whole"]) == np.mean(found["upper"]) == 1 and np.mean(found["cut"]) >= 0.9 and np.mean(found["typo"]) >= 0.9, {k: np.mean(v) for k, v in found.items()}
+    assert all(got[len(cases) + k] == {""} for k in range(100))
+
+
 def test_licenses_many_notices(spark):
-    from quernstone.llm.license_scan import TEMPLATES
+    from quernstone.llm.license_texts import TEMPLATES
 
-    one = {label: templates[0][0] for label, templates in TEMPLATES.items()}
-    combos = [list(c) for n in (1, 2, 3) for c in itertools.combinations(sorted(one), n)] + [sorted(one)]
+    one = {label: templates[-1][0] for label, templates in TEMPLATES.items()}
+    combos = [list(c) for n in (1, 2) for c in itertools.combinations(sorted(one), n)] + [sorted(one)]
     texts = [" ... ".join(one[label] for label in c) for c in combos]
     texts += [" ... ".join(wording for templates in TEMPLATES.values() for wording, _ in templates)]
     combos += [sorted(one)]
@@ -167,7 +239,7 @@ def test_contaminated(spark):
     bench = spark.createDataFrame([(7, item, "x"), (8, None, "x"), (9, "short", "x"), (10, "we five or six words here", "x")], "item_id bigint, text string, doc_id string")
     f = frame(spark, texts)
     got = {r.doc_id: r.item_ids for r in contaminated(f, bench).collect()}
-    assert got == {0: [7], 1: [7], 8: [7], 9: [7]} | ({6: [7]} if 6 in got else {})
+    assert got == {k: [7] for k in (0, 1, 6, 8, 9)}
     clean = clean_documents(f, bench)
     assert clean.columns == f.columns and {r.doc_id for r in clean.collect()} == set(range(10)) - set(got)
     assert contaminated(f, bench.where("false")).count() == 0 and contaminated(f.where("false"), bench).count() == 0
@@ -198,6 +270,88 @@ def test_contaminated_in_part(spark):
     assert got == {0: [7], 1: [8], 2: [7], 3: [8], 4: [7], 6: [7]}
 
 
+def brute_leaks(texts, items, min_share=0.25):
+    """Contaminated texts by the rules of the operator, window by window."""
+    import regex
+
+    from quernstone.llm import decontaminate as C
+
+    units = "|".join(sorted(C.UNITS, key=lambda u: -len(u)))
+
+    def marked(t):
+        t = regex.sub("[\x01\x02\x03]", " ", t or "")
+        t = regex.sub(r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})", "\x01", t)
+        t = regex.sub(r"(?<=[0-9])[.,](?=[0-9])", "", t)
+        t = regex.sub(rf"(?<![\p{{L}}0-9])([0-9]+)[ \t\n\x0b\f\r]?(?:({units})(?![\p{{L}}0-9]))?", lambda m: f" \x02{m[1]} \x03{m[2] or ''} ", t)
+        return [w for w in regex.split(r"[\x00\x04-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower()) if w not in ("", "\x03")]
+
+    def forms(m):
+        bare = [w[1:] if w < "\x04" else w for w in m]
+        return [w[0] if w < "\x04" else w for w in m], ["\x02" if w[0] == "\x02" else b.upper() for w, b in zip(m, bare, strict=True)], [b.upper() for b in bare]
+
+    out = defaultdict(set)
+    made = [(marked(t), forms(marked(t))) for t in texts]
+    for item, text in items:
+        m = marked(text)
+        both = forms(m)
+        telling = []
+        for form in (0, 1):
+            w = min(8, len(m))
+            telling.append([a for a in range(len(m) - w + 1) if m and sum(x > "\x04" for x in both[form][a : a + w]) >= 4])
+        use = [0, 1] if all(telling) else [0, 1, 2]
+        for form in use:
+            t = both[form]
+            w = min(8, len(t))
+            ats = list(range(len(t) - w + 1)) if form == 2 else telling[form]
+            if not t or not ats:
+                continue
+            for i, (dm, df) in enumerate(made):
+                d = df[form]
+                starts = [0] if w == 1 and len(d) == 1 else range(len(d) - w + 1) if w > 1 else []
+                where = defaultdict(list)
+                for p in starts:
+                    where[tuple(d[p : p + w])].append(p)
+                places = defaultdict(set)
+                for a in ats:
+                    for p in where.get(tuple(t[a : a + w]), ()):
+                        places[p - a].add(a)
+                for offset, got in places.items():
+                    if len(got) < (len(ats) if form == 2 else min_share * len(ats)):
+                        continue
+                    slots = {(m[j], dm[j + offset]) for a in got for j in range(a, a + w) if m[j] < "\x04" and dm[j + offset][0] == m[j][0] and (form == 0 or form == 1 and m[j][0] == "\x02")}
+                    if len({x for x, _ in slots}) == len({y for _, y in slots}) == len(slots):
+                        out[i].add(item)
+    return dict(out)
+
+
+def test_contaminated_equals_brute_force(spark):
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    rng = random.Random(6)
+    kinds = {
+        "upper": str.upper, "lower": str.lower, "numbers": lambda t: re.sub(r"[0-9]+", lambda m: str(int(m[0]) * 7 + 3), t), "half": lambda t: " ".join(t.split()[: len(t.split()) * 6 // 10]) + " " + prose(5, 30),
+        "word": lambda t: " ".join(w if k != len(t.split()) // 2 else "other" for k, w in enumerate(t.split())),
+    }
+    edits = [(k, item, prose(rng.randrange(999), 60) + ". " + edit(text) + ". " + prose(rng.randrange(999), 60)) for k, edit in kinds.items() for item, text in bench]
+    texts = [*docs, *[t for *_, t in edits], None, "", *[prose(3000 + k, 80) for k in range(50)]]
+    b = spark.createDataFrame(bench, "item_id bigint, text string")
+    got = {r.doc_id: set(r.item_ids) for r in contaminated(frame(spark, texts), b).collect()}
+    assert got == brute_leaks(texts, bench)
+    recall = {k: np.mean([item in got.get(len(docs) + i, ()) for i, (kind, item, _) in enumerate(edits) if kind == k]) for k in kinds}
+    assert min(recall.values()) >= 0.9, recall
+    assert not [i for i in got if i >= len(docs) + len(edits)]
+
+
+def test_contaminated_classes_and_nulls(spark):
+    """A template with many fillings is one class; rows and items without ids."""
+    say = "A farmer sells {} apples and {} pears at the market and then buys {} plums from a trader there"
+    bench = [(k, say.format(k + 10, 2 * k + 11, 3 * k + 500)) for k in range(300)] + [(None, "Which of the old stone bridges over the river was built by monks")]
+    texts = [say.format(5, 6, 9), say.format(5, 5, 9), "which of the old stone bridges over the river was built by monks", None, say.format(5, 6, 9)]
+    f = frame(spark, texts, ids=[1, 2, 3, None, None])
+    got = sorted((r.doc_id or -1, r.item_ids, r.best_share) for r in contaminated(f, spark.createDataFrame(bench, "item_id bigint, text string")).collect())
+    assert got == [(-1, [0], 1.0), (1, [0], 1.0), (3, [], 1.0)]
+
+
 def test_contaminated_by_short_items(spark):
     items = ["What is 7 times 8?", "Who wrote Hamlet?", "12 15 18 21 24 27 30 33 36 39", "Paris"]
     texts = ["And then: " + items[0] + " Nobody knew.", "what is 7 TIMES 8", "What is 7 times 9?", "we ask who wrote hamlet today", "who wrote", "12 15 18 21 24 27 30 33 36 39 42", "12 15 18 21 24 27 30 33 36", "a week in Paris with friends", "paris!"]
@@ -235,6 +389,20 @@ def test_tokens(spark, texts, tokenizer):
     assert H.token_output(frame(spark, texts).where("false"), tokenizer).count() == 0
 
 
+def test_tokens_of_other_files_and_ids(spark, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert not H.Encoder(path, 50).cuts and H.Encoder(Q.tokenizer_path(), 50).cuts
+    tok = Tokenizer.from_file(path)
+    texts = [t for t in texts if t is None or len(t) < 5000]
+    ids = [None, None, 7, 7, *range(20, 16 + len(texts))]
+    got = sorted(map(repr, ((r.doc_id, r.n_tokens, r.ids_crc32) for r in H.token_output(frame(spark, texts, ids=ids), path).collect())))
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert got == sorted(repr((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes()))) for i, x in zip(ids, want, strict=True))
+
+
 def test_codes():
     rng = np.random.default_rng(0)
     for n, limit in ((1, 4), (2, 4), (16, 4), (3000, 12), (3000, 16)):
@@ -277,6 +445,14 @@ def test_repeats(spark, texts, monkeypatch):
     assert D.remove_repeats(frame(spark, texts).where("false")).count() == 0
 
 
+def test_repeats_without_ids(spark):
+    a, b = prose(41, 200), prose(42, 100)
+    f = frame(spark, [a, a, b, prose(43, 90) + "|" + a[100:700], None], ids=[None, None, None, 4, 4])
+    got = sorted((r.doc_id or -1, r.n_removed, r.has_repeats, round(r.removed_share, 6)) for r in D.remove_repeats(f).collect())
+    n, whole = len(prose(43, 90)) + 601, len(a)
+    assert got == [(-1, 0, False, 0.0), (-1, whole, True, 1.0), (-1, whole, True, 1.0), (4, 0, False, 0.0), (4, 600, True, round(600 / n, 6))]
+
+
 # 9
 
 
@@ -324,6 +500,34 @@ def test_near_null_ids(spark):
     assert got == [(-1, -1, False), (-1, -1, True), (-1, 5, False), (5, 5, True)]
 
 
+def test_near_copies_without_ids(spark):
+    w = prose(51, 60).split()
+    near = " ".join([*w[:30], "x", *w[31:]])
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in M.near_duplicates(frame(spark, [" ".join(w), near, near + " y", prose(52, 60)], ids=[None, None, 9, None])).collect())
+    assert got == [(-1, -1, False), (-1, 9, False), (-1, 9, False), (9, 9, True)]
+
+
+def test_near_in_a_hot_group(spark, monkeypatch):
+    """Texts that share most, but not enough, of their shingles with all others, and copies among them."""
+    shared, rng = prose(60, 70), random.Random(1)
+    texts = [shared + " " + prose(200 + k, 14) for k in range(70)]
+    texts += [t.replace(t.split()[rng.randrange(70, 80)], "edit") for t in texts[:25]]
+    rng.shuffle(texts)
+    monkeypatch.setattr(M, "SMALL", 4)
+    monkeypatch.setattr(M, "BLOCK", 8)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_components(texts)))
+
+
+def test_a_word_longer_than_a_slice(monkeypatch):
+    from quernstone.llm import shingles as S
+
+    texts = ["a b " + "x" * 9000 + " c d e f " + prose(1, 300), "y" * 5000, prose(2, 900)]
+    whole = S.shingle_sets(texts)
+    monkeypatch.setattr(S, "SLICE", 1000)
+    assert all((a == b).all() for a, b in zip(whole, S.shingle_sets(texts), strict=True))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(200)] + [(500, 700), (700, 600), (900, 900)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
@@ -356,8 +560,17 @@ def test_quality(spark, texts):
     none = fit_quality(docs, labels.where("false").select("doc_id", F.lit(1).alias("grade")))
     assert isinstance(none, Ordinal) and all(r.accept_probability == 1 for r in score_quality(f, none).collect())
     kept = [r for r in Q.op2_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()]
-    good = [r.kept for r in kept if r.quality == 1]
-    assert np.mean(good) > 0.97
+    good, bad = ([r.kept for r in kept if r.quality == q] for q in (1, 0))
+    assert np.mean(good) > 0.97 and len(bad) > 30 and np.mean(bad) < 0.1
+    assert score_quality(f.where("false"), model).count() == 0
+
+
+def test_quality_of_repeated_ids(spark):
+    from quernstone.llm.quality import sample_texts
+
+    docs = spark.createDataFrame([(1, "b", "x"), (1, "a", "x"), (2, None, "x"), (None, "c", "x"), (3, "d", "x")], "doc_id bigint, text string, grade string")
+    sample = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (9, 1)], "doc_id bigint, grade int")
+    assert sorted(map(tuple, sample_texts(docs, sample, "doc_id", "text").collect())) == [(1, 0, "a"), (1, 1, "a"), (2, 1, "")]
 
 
 def test_isotonic_and_trees():
@@ -382,6 +595,37 @@ def test_toxicity(spark, texts):
     assert len(out) == len(texts) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out)
     none = fit_toxicity(docs, spark.createDataFrame([], T.StructType.fromDDL("doc_id bigint, label int")))
     assert {r.score for r in toxicity(frame(spark, texts), none).collect()} == {0.0}
+    assert toxicity(frame(spark, texts).where("false"), model).count() == 0
+    assert toxicity(frame(spark, texts[:3], ids=[None, None, 1]), model).count() == 3
+    few = fit_toxicity(docs, spark.createDataFrame([(k, v) for k, v in list(labels.items())[:12]] + [(None, 1)], "doc_id bigint, label int"))
+    assert all(0 <= r.score <= 1 for r in toxicity(frame(spark, texts), few).collect())
+
+
+def test_shared_folder():
+    from types import SimpleNamespace as N
+
+    from quernstone.llm import common
+
+    jsc = N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))
+    fake = N(conf=N(get=lambda *_: None), sparkContext=N(_jsc=jsc, master="spark://host:7077", applicationId="fake"))
+    with pytest.raises(ValueError):
+        common.shared_dir(fake)
+
+
+def test_scratch_per_thread(spark):
+    import threading
+
+    from quernstone.llm.common import Scratch, written
+
+    with Scratch() as s:
+        t = threading.Thread(target=lambda: seen.append(written(spark.range(3), "other")))
+        seen = []
+        t.start()
+        t.join()
+        own, kept = written(spark.range(4), "own"), s.keep(written(spark.range(5), "kept"))
+    assert seen[0].count() == 3 and kept.count() == 5
+    with pytest.raises(Exception):
+        own.count()
 
 
 # the pipeline
@@ -389,21 +633,75 @@ def test_toxicity(spark, texts):
 
 def test_pipeline(spark, tokenizer):
     import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
     from quernstone.llm.common import table
+    from quernstone.llm.quality import features
 
     d = "/root/testdata/sf0.001"
     docs = table(spark, d, "documents")
-    sizes = [docs.count()]
+    after = {}
     for name, stage in P.STAGES[:-1]:
-        out = stage(spark, docs, d).persist()
+        out = stage(spark, docs, d)
         assert out.schema.names == docs.schema.names, name
-        if name == "minhash_near_dedup":
-            rows = {r.doc_id: r.text for r in docs.collect()}
-            ids = sorted(rows)
-            want = {ids[k] for k, (_, _, kept) in enumerate(brute_components([rows[i] for i in ids])) if kept}
-            assert {r.doc_id for r in out.collect()} == want
-        docs = out
-        sizes.append(out.count())
-    assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] > 0
+        before = sorted(docs.collect())
+        docs = P.written(out, "test-stage")
+        after[name] = (before, sorted(docs.collect()))
+    # every stage by brute force on what it was given
+    from quernstone.llm.quality import quality_grade
+
+    model = fit_quality(table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", quality_grade().alias("grade")))
+    given, got = after["quality_classifier"]
+    tails = [model.tails(features(r.text)[None, :].astype(np.float64))[0, 0] for r in given]
+    assert got == [r for r, t in zip(given, tails, strict=True) if t >= Q.ACCEPT] and 0 < len(got) < len(given)
+    given, got = after["minhash_near_dedup"]
+    assert got == [r for r, (_, _, kept) in zip(given, brute_components([r.text for r in given]), strict=True) if kept] and len(got) < len(given)
+    given, got = after["benchmark_decontamination"]
+    bad = brute_leaks([r.text for r in given], [(r.item_id, r.text) for r in table(spark, d, "benchmark").collect()])
+    assert got == [r for k, r in enumerate(given) if k not in bad] and bad
+    given, got = after["source_mix"]
+    size, source, want = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), sorted({r.source for r in given}), {}
+    totals = [sum(size(r) for r in given if r.source == s) for s in source]
+    for s, target in zip(source, water_fill(totals, [(5, 2, 1)[i % 3] for i in range(len(source))], 1.5, 2), strict=True):
+        assert abs(sum(size(r) for r in got if r.source == s) - target) <= max(size(r) for r in given if r.source == s)
+    assert set(got) <= set(given) and max(got.count(r) for r in got) <= 2
+    tok, at = Tokenizer.from_file(tokenizer), 0
+    for r in got:
+        want.setdefault(r.doc_id, []).append([*tok.encode(r.text or "", add_special_tokens=False).ids, 2])
     last = P.run(spark, d)
-    assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and last.count() == sizes[-1]
+    assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    rows = sorted(last.collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [r.doc_id for r in got]
+    for r in rows:
+        ids = want[r.doc_id].pop()
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_pipeline_edges(spark):
+    """Null, empty, repeated ids and rows, clashing columns; empty tables; every stage keeps the columns."""
+    import corpus_pipeline as P
+
+    d = "/root/testdata/sf0.001"
+    good = [r.text for r in P.table(spark, d, "documents").where("lang = 'en' and n_chars between 500 and 3000").limit(12).collect()]
+    texts = [*good, good[0], good[1], None, "", "  ", good[2], None]
+    ids = [*range(9), 3, 3, None, 7, None, 20, 21, 22, 2, None]
+    f = frame(spark, texts, ids=ids)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, f, d)
+        assert out.columns == f.columns and stage(spark, f.where("false"), d).count() == 0, name
+        rows = out.select("doc_id", "text").collect()
+        assert set(map(tuple, rows)) <= set(zip(ids, texts, strict=True))
+        if name == "minhash_near_dedup":  # one row for each distinct text with words, whatever the ids; rows without words stay
+            want, n, low = brute_components(texts), 0, {}
+            for k, (size, c, _) in enumerate(want):
+                if size:
+                    low[c] = min(low.get(c, (True, 0)), (ids[k] is None, ids[k] or 0))
+                else:
+                    n += 1
+            assert len(rows) == len(low) + n
+            assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows if r.text and r.text.strip()) == sorted(low.values())
+        if name == "source_mix":
+            words = sum(len((t or "").split()) for t in texts)
+            assert abs(sum(len((r.text or "").split()) for r in rows) - 1.5 * words) <= max(len(t.split()) for t in good)
+    assert P.STAGES[-1][1](spark, f, d).count() == len(texts) and P.STAGES[-1][1](spark, f.where("false"), d).count() == 0
