@@ -1,19 +1,35 @@
-"""Exact ranks and percentiles that never sort a whole table into one partition.
+"""Exact ranks and percentiles that never sort a whole table, or a whole group, into one partition.
 
 Every rank here depends on a value only through sums over smaller (or larger) distinct values. So rows are first reduced
-to distinct values (with map-side combining), the distinct values are cut into buckets at approximate quantiles, running sums
-are taken inside each bucket and shifted by the buckets before, and the result is joined back by value. Bucket bounds
-affect balance only.
+to distinct values (with map-side combining), the distinct values of each group are cut into buckets at approximate
+quantiles, running sums are taken inside each bucket and shifted by the buckets before, and the result is joined back by
+value. Bucket bounds affect balance only. The distinct values are written to the shared folder once, as they are read
+several times; so a chain of ranks is a plan that grows by one join a rank. ``ecdfs`` and ``weighted_lower_percentiles`` rank
+several columns in one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.sources.shared import written
+
 BUCKETS = 64
+#: Points that are compared with each other at a time.
+BLOCK = 2048
+
+
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+    """Equal in ``names``, nulls too; ``right`` has them with an underscore in front."""
+    out = F.lit(True)
+    for c in names:
+        out &= left[c].eqNullSafe(right[f"_{c}"])
+    return out
 
 
 def running_sums(distinct: DataFrame, value: str, sums: dict[str, str], by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
@@ -21,27 +37,27 @@ def running_sums(distinct: DataFrame, value: str, sums: dict[str, str], by: Sequ
 
     Also ``<output>_all``: the sum over all values. Values must be numeric, distinct within ``by`` and not null.
     """
-    if by:
-        w = Window.partitionBy(*by)
-        upto = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        return distinct.withColumns({o: F.sum(i).over(upto) for o, i in sums.items()} | {f"{o}_all": F.sum(i).over(w) for o, i in sums.items()})
-    distinct = distinct.persist()  # small beside the rows, and read three times; lost blocks are recomputed
-    bounds = sorted(set(distinct.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.005)))
-    marks = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    cut = distinct.withColumn("_b", F.size(F.filter(marks, lambda m: m < F.col(value).cast("double"))))
-    totals = cut.groupBy("_b").agg(*[F.sum(i).alias(f"_{o}") for o, i in sums.items()])
-    # at most `buckets` rows
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(1))
-    totals = totals.select("_b", *[F.coalesce(F.sum(f"_{o}").over(before), F.lit(0)).alias(f"_{o}_before") for o in sums], *[F.sum(f"_{o}").over(every).alias(f"{o}_all") for o in sums])
-    inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(F.broadcast(totals), "_b").withColumns({o: F.sum(i).over(inside) + F.col(f"_{o}_before") for o, i in sums.items()})
-    return out.drop("_b", *[f"_{o}_before" for o in sums])
+    by, v = list(by), F.col(value).cast("double")
+    cuts = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    marks = distinct.groupBy(*by).agg(F.percentile_approx(v, cuts, F.lit(1000)).alias("_marks")).withColumnsRenamed({c: f"_{c}" for c in by})
+    # a row for each group; without groups one row
+    cut = distinct.join(marks, _same(distinct, marks, by)) if by else distinct.crossJoin(F.broadcast(marks))
+    cut = cut.select(*distinct.columns, F.size(F.filter("_marks", lambda m: m < v)).alias("_b"))
+    totals = cut.groupBy(*by, "_b").agg(*[F.sum(i).alias(f"_{o}") for o, i in sums.items()])
+    # at most `buckets` rows a group
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = [F.coalesce(F.sum(f"_{o}").over(before), F.lit(0)).alias(f"_{o}_before") for o in sums]
+    totals = totals.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_b").alias("_bucket"), *shifts, *[F.sum(f"_{o}").over(group).alias(f"{o}_all") for o in sums])
+    totals = totals if by else F.broadcast(totals)
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(totals, _same(cut, totals, by) & (cut["_b"] == totals["_bucket"])).withColumns({o: F.sum(i).over(inside) + F.col(f"_{o}_before") for o, i in sums.items()})
+    return out.select(*distinct.columns, *sums, *[f"{o}_all" for o in sums])
 
 
 def _distinct(df: DataFrame, value: str, by: Sequence[str], weight: Column | None = None) -> DataFrame:
     aggs = [F.count("*").alias("n")] + ([F.sum(weight).alias("w")] if weight is not None else [])
-    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggs)
+    return written(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggs), "distinct")
 
 
 def _back(df: DataFrame, ranked: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
@@ -66,13 +82,54 @@ def average_tie_percentile(df: DataFrame, value: str, out: str, by: Sequence[str
 
 
 def ecdf(df: DataFrame, value: str, out: str, by: Sequence[str] = (), invert: bool = False) -> DataFrame:
-    """Average-tie position in [0, 1]; one value alone gets 1; ``invert`` ranks descending; null stays null."""
+    """Average-tie position in [0, 1] among finite values; one value alone gets 1; ``invert`` ranks descending; others are null."""
+    if dict(df.dtypes)[value] in ("double", "float"):
+        raw = F.col(value)
+        named = df.withColumn("_finite", F.when(~F.isnan(raw) & (F.abs(raw) != float("inf")), raw))
+        return _ecdf(named, "_finite", out, by, invert).drop("_finite")
+    return _ecdf(df, value, out, by, invert)
+
+
+def _ecdf(df: DataFrame, value: str, out: str, by: Sequence[str], invert: bool) -> DataFrame:
     r = running_sums(_distinct(df, value, by), value, {"le": "n"}, by)
     n, rank = F.col("le_all"), (F.col("le") - F.col("n")) + (F.col("n") - 1) / 2
     at = F.when(n > 1, ((n - 1 - rank) if invert else rank) / (n - 1)).otherwise(1.0)
     return _back(df, r.withColumn(out, at), value, by, out)
 
 
+def _unpivot(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``key, name, v``, finite values only."""
+    double = lambda c: F.col(c).cast("double")
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.when(~F.isnan(double(c)) & (F.abs(double(c)) != float("inf")), double(c)).alias("v")) for c in columns])
+    return df.select(key, F.explode(cells).alias("x")).select(key, "x.name", "x.v").where("v is not null")
+
+
+def ecdfs(df: DataFrame, key: str, measures: dict[str, tuple[str, bool]]) -> DataFrame:
+    """``ecdf`` of several measures in one pass: output to (measure, invert). Rows have unique keys."""
+    long = _unpivot(df, key, sorted({m for m, _ in measures.values()}))
+    r = running_sums(written(long.groupBy("name", "v").agg(F.count("*").alias("n")), "distinct"), "v", {"le": "n"}, ["name"])
+    n, rank = F.col("le_all"), (F.col("le") - F.col("n")) + (F.col("n") - 1) / 2
+    r = r.withColumns({"_up": F.when(n > 1, rank / (n - 1)).otherwise(1.0), "_down": F.when(n > 1, (n - 1 - rank) / (n - 1)).otherwise(1.0)})
+    ranked = long.join(r.select("name", "v", "_up", "_down"), ["name", "v"])
+    pick = lambda o, m, inv: F.max(F.when(F.col("name") == m, F.col("_down" if inv else "_up"))).alias(o)
+    wide = ranked.groupBy(F.col(key).alias("_key")).agg(*[pick(o, m, inv) for o, (m, inv) in measures.items()])
+    return df.join(wide, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def weighted_lower_percentiles(df: DataFrame, key: str, weight: str, columns: dict[str, str], digits: int = 2) -> DataFrame:
+    """``weighted_lower_percentile`` of several columns in one pass: output to column. Rows have unique keys."""
+    w = F.when(F.col(weight) > 0, F.col(weight).cast("decimal(28,6)")).otherwise(F.lit(0).cast("decimal(28,6)")).alias("w")
+    double = lambda c: F.col(c).cast("double")
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), double(c).alias("v")) for c in sorted(set(columns.values()))])
+    long = df.select(F.col(key).alias("_key"), w, F.explode(cells).alias("x")).select("_key", "w", "x.name", "x.v").where("v is not null")
+    r = running_sums(written(long.groupBy("name", "v").agg(F.sum("w").alias("w")), "distinct"), "v", {"le": "w"}, ["name"])
+    share = 100.0 * (F.col("le") - F.col("w")).cast("double") / F.col("le_all").cast("double")
+    r = r.select("name", "v", F.when(F.col("le_all") > 0, F.rint(share * 10.0**digits) / 10.0**digits).alias("_p"))
+    ranked = long.drop("w").join(r, ["name", "v"])
+    wide = ranked.groupBy("_key").agg(*[F.max(F.when(F.col("name") == c, F.col("_p"))).alias(o) for o, c in columns.items()])
+    return df.join(wide, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
 def max_rank_percentile(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """100 * share of non-null values <= this one."""
     r = running_sums(_distinct(df, value, by), value, {"le": "n"}, by)
@@ -83,6 +140,7 @@ def weighted_lower_percentile(df: DataFrame, value: str, weight: str, out: str,
     """100 * weight of smaller values / all weight, half-even to ``digits``. Rows of weight 0 or null don't calibrate,
     but get a rank (above all calibrating values: 100)."""
     w = F.when(F.col(weight) > 0, F.col(weight).cast("decimal(28,6)")).otherwise(F.lit(0).cast("decimal(28,6)"))
+    # where no row calibrates, there are no percentiles: `must_calibrate` of the block scores fails on that
     r = running_sums(_distinct(df, value, by, w), value, {"le": "w"}, by)
     share = 100.0 * (F.col("le") - F.col("w")).cast("double") / F.col("le_all").cast("double")
     return _back(df, r.withColumn(out, F.when(F.col("le_all") > 0, F.rint(share * 10.0**digits) / 10.0**digits)), value, by, out)
@@ -101,28 +159,71 @@ def competition_rank(df: DataFrame, score: str, out: str, by: Sequence[str] = ()
     return _back(df, r.withColumn(out, (F.col("le_all") - F.col("le") + 1).cast("long")), score, by, out)
 
 
+def _front(points: np.ndarray) -> np.ndarray:
+    """Which points no other one dominates (at least as high everywhere, higher somewhere), in blocks."""
+    order = np.argsort(-points.sum(1), kind="stable")  # what dominates a point comes before it
+    kept = np.zeros((0, points.shape[1]))
+    alive = np.zeros(len(points), bool)
+    for at in range(0, len(order), BLOCK):
+        idx = order[at : at + BLOCK]
+        idx = idx[~_dominated(points[idx], kept)]
+        idx = idx[~_dominated(points[idx], points[idx])]
+        alive[idx] = True
+        kept = np.concatenate([kept, points[idx]])
+    return alive
+
+
+def _dominated(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(points), bool)
+    for at in range(0, len(others), BLOCK):
+        q = others[at : at + BLOCK]
+        left = np.flatnonzero(~out)
+        if len(left):
+            p = points[left][:, None, :]
+            out[left] = ((q[None] >= p).all(2) & (q[None] > p).any(2)).any(1)
+    return out
+
+
 def pareto_flags(df: DataFrame, key: str, dimensions: Sequence[str], out: str = "pareto") -> DataFrame:
     """True for rows that no other row dominates (at least as high everywhere, higher somewhere); equals both stay.
 
-    Rows are first reduced to distinct points and to local fronts of hashed parts (a point dominated anywhere is
-    dominated in the whole), so the final comparison is between fronts, not between all rows.
+    Rows are reduced to distinct points and to the front of each partition (a point dominated anywhere is dominated in the
+    whole). The fronts, cut into blocks of ``BLOCK`` points, are compared block with block, each pair in a task's batch,
+    and only pairs whose bounds allow dominance: no task holds all fronts, also where every row is in one.
     """
-    points = df.select(*dimensions).dropna().distinct()
-
-    def front(p: DataFrame, part: Sequence[str]) -> DataFrame:
-        q = p.select(*[F.col(c).alias(f"_{c}") for c in (*part, *dimensions)])
-        same = [p[c] == q[f"_{c}"] for c in part]
-        ge = [q[f"_{d}"] >= p[d] for d in dimensions]
-        gt = [q[f"_{d}"] > p[d] for d in dimensions]
-        cond = ge[0]
-        for c in (*ge[1:], *same):
-            cond &= c
-        some = gt[0]
-        for c in gt[1:]:
-            some |= c
-        return p.join(q, cond & some, "left_anti")
-
-    salted = points.withColumn("_part", F.pmod(F.xxhash64(*dimensions), F.lit(64)))
-    local = front(salted, ["_part"]).drop("_part")
-    best = front(local, []).withColumn(out, F.lit(True))
-    return df.join(best, list(dimensions), "left").select(*df.columns, F.coalesce(out, F.lit(False)).alias(out))
+    dims = list(dimensions)
+    points = df.select(*[F.col(c).cast("double").alias(c) for c in dims]).dropna().distinct()
+    kind = ", ".join(f"{c} double" for c in dims)
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        front = np.zeros((0, len(dims)))
+        for pdf in batches:
+            both = np.concatenate([front, pdf.to_numpy(float)])
+            front = both[_front(both)]
+        yield pd.DataFrame(front, columns=dims)
+
+    def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), BLOCK):
+                x = np.ascontiguousarray(pdf.iloc[at : at + BLOCK].to_numpy(float))
+                yield pd.DataFrame({"points": [x.tobytes()], "low": [x.min(0).tolist()], "high": [x.max(0).tolist()]})
+
+    def losers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b in zip(pdf.points, pdf.others, strict=True):
+                x, y = (np.frombuffer(v).reshape(-1, len(dims)) for v in (a, b))
+                yield pd.DataFrame(x[_dominated(x, y)], columns=dims)
+
+    # in order of sums, blocks at the top dominate many of those below and few above
+    fronts = written(points.mapInPandas(local, kind), "fronts")
+    ordered = fronts.repartitionByRange(sum((F.col(c) for c in dims[1:]), F.col(dims[0])).desc())
+    blocks = ordered.mapInPandas(blocked, "points binary, low array<double>, high array<double>").withColumn("id", F.xxhash64("points"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    may = F.expr("x.id <> y.id and forall(arrays_zip(x.low, y.high), p -> p.high >= p.low)")
+    pairs = x.join(y, may).select(F.col("x.points").alias("points"), F.col("y.points").alias("others"))
+    gone = pairs.repartition("points").mapInPandas(losers, kind).distinct()
+    best = fronts.join(gone.withColumnsRenamed({c: f"_{c}" for c in dims}), F.expr(" and ".join(f"{c} = _{c}" for c in dims)), "left_anti")
+    # two fronts may hold no equal points: points are distinct
+    best = best.withColumnsRenamed({c: f"_{c}" for c in dims}).withColumn("_best", F.lit(True))
+    same = F.expr(" and ".join(f"cast(`{c}` as double) = `_{c}`" for c in dims))
+    return df.join(best, same, "left").select(*df.columns, F.coalesce("_best", F.lit(False)).alias(out))
