@@ -71,7 +71,7 @@ def knot_utility(v: Column, knots: Sequence[tuple[float, float]]) -> Column:
 
 
 def linear_clamp(v: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - low) / (high - low)))
+    return F.when(v.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - low) / (high - low))))
 
 
 def weighted_utility(parts: Sequence[tuple[Column, float]]) -> Column:

@@ -25,9 +25,18 @@ def weighted_means(df: DataFrame, by: Sequence[str], weight: str, columns: dict[
     return out.select(*by, *[v.alias(k) for k, v in {**mean, **cover}.items()])
 
 
-def coverage_status(ratio: Column) -> Column:
-    """complete from 1 - 1e-9, partial from 0.9, insufficient above 0, none at 0, unknown for null."""
-    return F.when(ratio.isNull(), "unknown").when(ratio >= 1 - 1e-9, "complete").when(ratio >= 0.9, "partial").when(ratio > 0, "insufficient").otherwise("none")
+def coverage_status(in_scope: Column, total: Column, ratio: Column) -> Column:
+    """outside_scope, zero_population, complete (from 1 - 1e-9), partial (from 0.9) or insufficient_coverage, in this order.
+
+    ``total`` is the weight of all rows, ``ratio`` the share of it that is covered (0 without any).
+    """
+    return (
+        F.when(~in_scope, "outside_scope")
+        .when(total == 0, "zero_population")
+        .when(ratio >= 1 - 1e-9, "complete")
+        .when(ratio >= 0.9, "partial")
+        .otherwise("insufficient_coverage")
+    )
 
 
 def half_even_quotient(top: Column, below: Column) -> Column:
@@ -57,8 +66,12 @@ def status_histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+def calendar_window(df: DataFrame, month: str, months: int = 12) -> DataFrame:
+    """Rows of the ``months`` calendar months (text yyyy-MM) that end with the latest month of the table."""
+    last = df.agg(F.max(month).alias("last")).select(F.col("last"), F.date_format(F.add_months(F.to_date(F.concat("last", F.lit("-01"))), 1 - months), "yyyy-MM").alias("first"))
+    return df.join(F.broadcast(last), F.col(month).between(F.col("first"), F.col("last"))).select(*df.columns)  # one row
+
+
 def trailing_medians(df: DataFrame, key: str, month: str, value: str, months: int = 12) -> DataFrame:
     """Per key over the ``months`` calendar months that end with the latest month of the table: median and months seen."""
-    last = df.agg(F.max(month).alias("last")).select(F.col("last"), F.date_format(F.add_months(F.to_date(F.concat("last", F.lit("-01"))), 1 - months), "yyyy-MM").alias("first"))
-    inside = df.join(F.broadcast(last), F.col(month).between(F.col("first"), F.col("last")))  # one row
-    return inside.groupBy(key).agg(F.median(value).alias("median"), F.count_distinct(month).alias("months"))
+    return calendar_window(df, month, months).groupBy(key).agg(F.median(value).alias("median"), F.count_distinct(month).alias("months"))

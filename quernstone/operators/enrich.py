@@ -33,9 +33,11 @@ def reconcile_codes(old: DataFrame, new: DataFrame, old_key: Column, new_key: Co
     assert_unique(a, ["_k"])
     assert_unique(b, ["_k"])
     gone = a.join(b, "_k", "left_anti")
-    surplus = gone.where(~F.col("_k").isin(*allowed_missing)) if allowed_missing else gone
-    if allowed_missing and (bad := surplus.first()) is not None:
-        raise ContractError(f"no match for {bad['_k']}")
+    if allowed_missing:
+        # the gaps must be exactly the allowed ones (a fixed list)
+        found = {r["_k"] for r in gone.select("_k").limit(len(set(allowed_missing)) + 1).collect()}
+        if found != set(allowed_missing):
+            raise ContractError(f"keys without a match: {sorted(map(str, found))}, expected {sorted(map(str, set(allowed_missing)))}")
     return a.join(b, "_k").drop("_k"), gone.drop("_k")
 
 

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.scalars import window_cells
 
-OUTPUTS = ("relief", "slope", "rugged", "open_near", "open_far")
+RADII = (5, 10, 20, 40)
+#: Access classes of land, and the weights of rings (fixed values).
+OPEN, RESTRICTED, CLOSED, UNKNOWN = 1, 2, 3, 4
+RING_WEIGHTS, TRAIL_WEIGHT, TRAIL_FAR_KM = (1.0, 0.75, 0.40), 0.40, 100.0
+OUTPUTS = (
+    *(f"relief_{r}km" for r in RADII), "slope", "mountain", "rugged", "open_5", "open_15", "open_30", "restricted_30", "closed_30", "unknown_30", "access_raw",
+    "nearest_trail_km", "trail_10", "trail_25", "trail_raw",
+)
 
 
 def box_sum(a: np.ndarray, size: int) -> np.ndarray:
@@ -48,24 +56,39 @@ def relief(elevation: np.ndarray, size: int) -> np.ndarray:
     return np.where(np.isfinite(out), out, np.nan)
 
 
+def nearest_valid(valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squared Euclidean distance (in cells) to the nearest valid cell, and its row and column; infinite without any.
+
+    Exact, in two passes: the nearest valid cell of each column, then the best of the row's columns, nearest columns first
+    until none further away can be better.
+    """
+    h, w = valid.shape
+    rows = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(valid, rows, -1), 0)
+    below = np.minimum.accumulate(np.where(valid, rows, 2 * h)[::-1], 0)[::-1]
+    up, down = np.where(above >= 0, rows - above, np.inf), np.where(below < h, below - rows, np.inf)
+    source = np.where(up <= down, above, below)
+    column = np.minimum(up, down) ** 2
+    best, row, col = column.copy(), source.copy(), np.broadcast_to(np.arange(w), (h, w)).copy()
+    for d in range(1, w):
+        if d * d >= best.max():
+            break
+        for there, here in ((slice(d, None), slice(None, -d)), (slice(None, -d), slice(d, None))):
+            far = column[:, there] + d * d
+            take = far < best[:, here]
+            best[:, here][take] = far[take]
+            row[:, here][take] = source[:, there][take]
+            col[:, here][take] = np.broadcast_to(np.arange(w)[there], far.shape)[take]
+    return best, row, col
+
+
 def fill_nearest(a: np.ndarray) -> np.ndarray:
-    """Invalid cells take the value of the nearest valid cell (city-block distance, spreading ring by ring)."""
-    out, known = a.copy(), np.isfinite(a)
-    if not known.any():
-        return out
-    while not known.all():
-        grown = known.copy()
-        for axis in (0, 1):
-            for step in (1, -1):
-                src, k = np.roll(out, step, axis), np.roll(known, step, axis)
-                edge = [slice(None)] * 2
-                edge[axis] = 0 if step == 1 else -1
-                k[tuple(edge)] = False
-                take = k & ~grown
-                out[take] = src[take]
-                grown |= take
-        known = grown
-    return out
+    """Invalid cells take the value of the nearest valid cell (Euclidean distance)."""
+    valid = np.isfinite(a)
+    if not valid.any() or valid.all():
+        return a.copy()
+    _, row, col = nearest_valid(valid)
+    return a[row, col]
 
 
 def slope_degrees(elevation: np.ndarray, cell: float) -> np.ndarray:
@@ -73,23 +96,52 @@ def slope_degrees(elevation: np.ndarray, cell: float) -> np.ndarray:
     return np.degrees(np.arctan(np.hypot(gx, gy)))
 
 
-def terrain(elevation: np.ndarray, access: np.ndarray, cell: float) -> dict[str, np.ndarray]:
-    """Relief over 5 km, slope, share of rugged cells over 20 km, open land within 5 and 5 to 15 km."""
+def terrain(elevation: np.ndarray, cell: float, radii: Sequence[int] = RADII) -> dict[str, np.ndarray]:
+    """Relief over ``radii`` km, slope, mountain cells (steep or of high relief over 5 km) and their share over 20 km.
+
+    The share is of valid cells, NaN where the window has none.
+    """
     valid = np.isfinite(elevation)
-    near = relief(elevation, window_cells(5000, cell))
+    if elevation.ndim != 2 or cell <= 0 or not valid.any():
+        raise ValueError("a grid needs two dimensions, a cell size and a valid cell")
+    out = {f"relief_{r}km": relief(elevation, window_cells(1000 * r, cell)) for r in radii}
+    near = out.get("relief_5km")
+    near = relief(elevation, window_cells(5000, cell)) if near is None else near
     slope = np.where(valid, slope_degrees(elevation, cell), np.nan)
-    rugged = valid & ((slope >= 15) | (near >= 300))
+    mountain = valid & ((slope >= 15) | (near >= 300))
     wide = window_cells(20000, cell)
     count = box_sum(valid.astype(float), wide)
-    open_land = (access == 1).astype(float)
-    inner, outer = box_sum(open_land, window_cells(5000, cell)), box_sum(open_land, window_cells(15000, cell))
-    return {"relief": near, "slope": slope, "rugged": np.divide(box_sum(rugged.astype(float), wide), count, out=np.zeros_like(count), where=count > 0), "open_near": inner, "open_far": np.maximum(outer - inner, 0)}
+    rugged = np.divide(box_sum(mountain.astype(float), wide), count, out=np.full(count.shape, np.nan), where=count > 0)
+    return out | {"slope": slope, "mountain": mountain.astype(float), "rugged": rugged}
+
+
+def access(mountain: np.ndarray, land: np.ndarray, trails: np.ndarray, cell: float) -> dict[str, np.ndarray]:
+    """Mountain land by access class in rings (km2), length of mountain trails in rings and distance to the nearest (km).
+
+    Rings are what an outer window has beyond the inner one, never negative. Trails further than 100 km are unknown.
+    """
+    if land.shape != mountain.shape or trails.shape != mountain.shape or np.any(np.isfinite(trails) & (trails < 0)):
+        raise ValueError("grids must be aligned, and trails not negative")
+    mask = mountain.astype(bool)
+    window = lambda a, km: box_sum(a.astype(float), window_cells(1000 * km, cell))
+    area = lambda code, km: window(mask & (land == code), km) * (cell / 1000) ** 2
+    o5, o15, o30 = (area(OPEN, km) for km in (5, 15, 30))
+    rings = (o5, np.maximum(o15 - o5, 0), np.maximum(o30 - o15, 0))
+    length = np.where(mask & np.isfinite(trails), trails, 0.0)
+    t10, t25 = window(length, 10), window(length, 25)
+    far = np.sqrt(nearest_valid(length > 0)[0]) * cell / 1000
+    return {
+        "open_5": rings[0], "open_15": rings[1], "open_30": rings[2], "restricted_30": area(RESTRICTED, 30), "closed_30": area(CLOSED, 30), "unknown_30": area(UNKNOWN, 30),
+        "access_raw": sum(w * r for w, r in zip(RING_WEIGHTS, rings, strict=True)), "nearest_trail_km": np.where(far <= TRAIL_FAR_KM, far, np.nan),
+        "trail_10": t10, "trail_25": t25, "trail_raw": t10 + TRAIL_WEIGHT * np.maximum(t25 - t10, 0),
+    }
 
 
 def sample_tiles(tiles: DataFrame, blocks: DataFrame, cell: float = 250.0) -> DataFrame:
-    """``tiles``: ``tile, rows, cols, elevation, access`` (row-major arrays); ``blocks``: ``tile, block, row, col``.
+    """``tiles``: ``tile, rows, cols, elevation, access, trails`` (row-major arrays); ``blocks``: ``tile, block, row, col, people``.
 
-    Returns ``block`` and the terrain values of its cell. A tile meets its blocks in one task; tiles have a fixed size.
+    Returns ``block`` and the values of its cell, NaN as null. A tile meets its blocks in one task; tiles have a fixed size.
+    A tile without any elevation gives nulls, and may have blocks without people only.
     """
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -97,13 +149,69 @@ def sample_tiles(tiles: DataFrame, blocks: DataFrame, cell: float = 250.0) -> Da
             return pd.DataFrame({"block": [], **{o: [] for o in OUTPUTS}})
         t = left.iloc[0]
         shape = (int(t.rows), int(t.cols))
-        got = terrain(np.array(t.elevation, float).reshape(shape), np.array(t.access).reshape(shape), cell)
+        grid = lambda v: np.array(v, float).reshape(shape)
+        elevation = grid(t.elevation)
+        if not np.isfinite(elevation).any():
+            if (right.people > 0).any():
+                raise ValueError(f"tile {key[0]} has people but no elevation")
+            got = {o: np.full(shape, np.nan) for o in OUTPUTS}
+        else:
+            got = terrain(elevation, cell)
+            got |= access(got["mountain"], grid(t.access), grid(t.trails), cell)
         r, c = right.row.to_numpy(), right.col.to_numpy()
-        return pd.DataFrame({"block": right.block.to_numpy(), **{o: got[o][r, c] for o in OUTPUTS}})
+        return pd.DataFrame({"block": right.block.to_numpy(), **{o: pd.Series(got[o][r, c], dtype="Float64").mask(np.isnan(got[o][r, c])) for o in OUTPUTS}})
 
     return tiles.groupBy("tile").cogroup(blocks.groupBy("tile")).applyInPandas(run, "block bigint, " + ", ".join(f"{o} double" for o in OUTPUTS))
 
 
+def mosaic(layers: Sequence[Column]) -> Column:
+    """Arrays of one grid laid over each other: the first that is valid wins, cell by cell."""
+    valid = [F.transform(a, lambda v: F.when(~F.isnan(v), v)) for a in layers]
+    return functools.reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, y)), valid)
+
+
+def halo_tiles(x: Column, y: Column, size: float, halo: float) -> Column:
+    """Tiles (structs ``tx, ty``) that need a position: its own, and those whose border is within ``halo`` of it."""
+    span = lambda v: F.sequence(F.floor((v - halo) / size), F.floor((v + halo) / size))
+    return F.flatten(F.transform(span(x), lambda i: F.transform(span(y), lambda j: F.struct(i.cast("int").alias("tx"), j.cast("int").alias("ty")))))
+
+
+def rasterise(polygons: Sequence[tuple[np.ndarray, np.ndarray, float]], shape: tuple[int, int], cell: float, empty: float = 0.0) -> np.ndarray:
+    """Rings ``(x, y, value)`` burnt in order, the last one wins: a cell is inside by the even-odd rule at its centre.
+
+    Row 0 is at y = 0. One scanline at a time: the ring's crossings of the row's centre line, in pairs.
+    """
+    out = np.full(shape, empty)
+    centres = (np.arange(shape[1]) + 0.5) * cell
+    for x, y, value in polygons:
+        bx, by = np.roll(x, -1), np.roll(y, -1)
+        for row in range(max(0, int(np.min(y) / cell)), min(shape[0], int(np.max(y) / cell) + 1)):
+            at = (row + 0.5) * cell
+            hit = (y > at) != (by > at)
+            if hit.any():
+                cross = np.sort((bx[hit] - x[hit]) * (at - y[hit]) / (by[hit] - y[hit]) + x[hit])
+                out[row, np.searchsorted(cross, centres, "right") % 2 == 1] = value
+    return out
+
+
+def rasterise_lines(lines: Sequence[tuple[np.ndarray, np.ndarray]], shape: tuple[int, int], cell: float) -> np.ndarray:
+    """Length of the lines in each cell, added up: segments are cut at every border of a cell."""
+    out = np.zeros(shape)
+    for x, y in lines:
+        for xa, ya, xb, yb in zip(x[:-1], y[:-1], x[1:], y[1:], strict=True):
+            cuts = [np.array([0.0, 1.0])]
+            for a, b in ((xa, xb), (ya, yb)):
+                if a != b:
+                    k = np.arange(np.ceil(min(a, b) / cell), np.floor(max(a, b) / cell) + 1) * cell
+                    cuts.append((k - a) / (b - a))
+            t = np.unique(np.clip(np.concatenate(cuts), 0, 1))
+            mid, step = (t[1:] + t[:-1]) / 2, np.diff(t) * np.hypot(xb - xa, yb - ya)
+            r, c = np.floor((ya + mid * (yb - ya)) / cell).astype(int), np.floor((xa + mid * (xb - xa)) / cell).astype(int)
+            ok = (r >= 0) & (r < shape[0]) & (c >= 0) & (c < shape[1])
+            np.add.at(out, (r[ok], c[ok]), step[ok])
+    return out
+
+
 def tile_of(x, y, size: float = 100_000.0):
     """Tile column and row of a position."""
     return F.floor(x / size).cast("int"), F.floor(y / size).cast("int")
@@ -112,3 +220,10 @@ def tile_of(x, y, size: float = 100_000.0):
 def finished_tiles(tiles: DataFrame, done: DataFrame, on: Sequence[str] = ("tile",)) -> DataFrame:
     """Tiles still to do, for a resumed build."""
     return tiles.join(done, list(on), "left_anti")
+
+
+def tile_digests(blocks: DataFrame, tile: Sequence[str], block: str, values: Sequence[str]) -> DataFrame:
+    """Per tile: blocks, a digest of their sorted ids, and one of their ids with sampled values (nulls kept)."""
+    line = F.concat_ws("|", F.col(block).cast("string"), *[F.coalesce(F.col(v).cast("string"), F.lit("")) for v in values])
+    lines = lambda c: F.sha2(F.concat(F.array_join(F.sort_array(F.collect_list(c)), "\n"), F.lit("\n")), 256)  # noqa: E731  a tile's blocks are bounded
+    return blocks.groupBy(*tile).agg(F.count("*").alias("n"), lines(F.col(block).cast("string")).alias("ids_sha256"), lines(line).alias("samples_sha256"))

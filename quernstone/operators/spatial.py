@@ -7,6 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.operators.contracts import ContractError
+
+
+#: Corners of polygons that are broadcast (16 bytes each).
+BROADCAST_POINTS = 1_000_000
+
 
 def _cells(low: Column, high: Column, cell: float) -> Column:
     return F.sequence(F.floor(low / cell), F.floor(high / cell))
@@ -25,7 +31,12 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
 
 
 def inside(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
-    """Even-odd rule for points against one polygon ring; points on lower or left edges are inside."""
+    """Even-odd rule for points against a polygon's rings (NaN between them, so holes count); points on lower or left edges are inside."""
+    cut = np.flatnonzero(np.isnan(px))
+    if len(cut):
+        edges = np.concatenate([[-1], cut, [len(px)]])
+        parts = [inside(x, y, px[a + 1 : b], py[a + 1 : b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return np.logical_xor.reduce(parts)
     ax, ay, bx, by = px, py, np.roll(px, -1), np.roll(py, -1)
     out = np.zeros(len(x), bool)
     for k in range(len(ax)):
@@ -36,10 +47,15 @@ def inside(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.n
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """``points``: ``point, x, y``; ``polygons``: ``polygon, px, py`` (arrays). Returns ``point, polygon``."""
-    boxes = polygons.select("polygon", "px", "py", F.array_min("px").alias("r_x0"), F.array_max("px").alias("r_x1"), F.array_min("py").alias("r_y0"), F.array_max("py").alias("r_y1"))
+    """``points``: ``point, x, y``; ``polygons``: ``polygon, px, py`` (arrays; a polygon's rings follow each other, NaN between them). Returns ``point, polygon``."""
+    corner = lambda f, c: f(F.filter(c, lambda v: ~F.isnan(v)))
+    boxes = polygons.select("polygon", "px", "py", *[corner(f, c).alias(f"r_{c[1]}{k}") for c in ("px", "py") for k, f in ((0, F.array_min), (1, F.array_max))])
     spots = points.select("point", "x", "y", F.col("x").alias("l_x0"), F.col("x").alias("l_x1"), F.col("y").alias("l_y0"), F.col("y").alias("l_y1"))
-    near = bbox_join(spots, boxes, cell).select("point", "polygon", "x", "y", "px", "py")
+    # geometry joins the pairs afterwards: by a broadcast up to BROADCAST_POINTS corners, by a shuffle beyond
+    near = bbox_join(spots, boxes.drop("px", "py"), cell).select("point", "polygon", "x", "y")
+    corners = polygons.agg(F.sum(F.size("px"))).first()[0] or 0
+    rings = polygons.select("polygon", "px", "py")
+    near = near.join(F.broadcast(rings) if corners <= BROADCAST_POINTS else rings, "polygon").select("point", "polygon", "x", "y", "px", "py")
 
     def run(batches):
         for pdf in batches:
@@ -51,3 +67,27 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> D
 
     kinds = dict(near.dtypes)
     return near.mapInPandas(run, f"point {kinds['point']}, polygon {kinds['polygon']}")
+
+
+def logical_features(fragments: DataFrame, key: str, order: list[str], attributes: list[str], x: str, y: str) -> DataFrame:
+    """Fragments of one feature together: its attributes (which must agree), parts in order, bounds and a digest of the parts.
+
+    ``x`` and ``y`` are arrays of a fragment's coordinates. A feature's fragments are few.
+    """
+    part = F.struct(*order, F.col(x).alias("x"), F.col(y).alias("y"))
+    kinds = [F.count_distinct(F.coalesce(F.col(a).cast("string"), F.lit("\u0000"))).alias(f"_{a}") for a in attributes]
+    g = fragments.groupBy(key).agg(*[F.first(a).alias(a) for a in attributes], *kinds, F.sort_array(F.collect_list(part)).alias("parts"))
+    bad = g.where(" or ".join(f"`_{a}` > 1" for a in attributes)).first() if attributes else None
+    if bad is not None:
+        raise ContractError(f"{bad[key]} has conflicting attributes")
+    every = lambda c: F.flatten(F.transform("parts", lambda p: p[c]))
+    bounds = [f(every(c)).alias(f"r_{c}{k}") for c in ("x", "y") for k, f in ((0, F.array_min), (1, F.array_max))]
+    digest = F.sha2(F.to_json(F.transform("parts", lambda p: F.struct(p["x"], p["y"]))), 256).alias("parts_sha256")
+    return g.select(key, *attributes, F.size("parts").alias("fragments"), *bounds, digest, "parts")
+
+
+def features_in(features: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Features whose bounds meet a box, edges included; a box across the antimeridian (x0 > x1) is two."""
+    rows = (F.col("r_y0") <= y1) & (F.col("r_y1") >= y0)
+    east, west = F.col("r_x1") >= x0, F.col("r_x0") <= x1
+    return features.where(rows & ((east & west) if x0 <= x1 else (east | west)))

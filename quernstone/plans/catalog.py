@@ -133,20 +133,40 @@ def hazard_row_aggregates_scaled(spark, d):
     return e.select("user_id", r6(S.spectral(v), "spectral"), r6(S.worst_mean(v), "worst"), r6(S.power_mean(v), "power"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE
-  WHEN rating IS NULL THEN CASE WHEN raw IS NULL THEN 'missing' WHEN raw >= 0 THEN 'valid' ELSE 'invalid' END
-  WHEN rating = 'Not Applicable' THEN CASE WHEN raw IS NULL THEN 'not_applicable' ELSE 'invalid' END
-  WHEN rating = 'Insufficient Data' THEN CASE WHEN raw IS NULL THEN 'missing' ELSE 'invalid' END
-  WHEN rating = 'No Expected Annual Losses' THEN CASE WHEN raw = 0 THEN 'valid' ELSE 'invalid' END
-  WHEN rating IN ('Very Low', 'Relatively Low', 'Relatively Moderate', 'Relatively High', 'Very High') THEN CASE WHEN raw IS NULL THEN 'missing' WHEN raw >= 0 THEN 'valid' ELSE 'invalid' END
-  ELSE 'invalid' END AS state
-FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.06 THEN NULL ELSE l_tax - 0.01 * (l_linenumber = 7)::INT END AS raw,
-  CASE l_linenumber WHEN 1 THEN 'Very Low' WHEN 2 THEN 'Not Applicable' WHEN 3 THEN 'No Expected Annual Losses' WHEN 4 THEN 'Insufficient Data' WHEN 5 THEN 'odd' WHEN 6 THEN 'Very High' END AS rating FROM lineitem)""")
-def hazard_availability(spark, d):
-    li, n = t(spark, d, "lineitem"), F.col("l_linenumber")
-    raw = F.when(F.col("l_tax") > 0.06, None).otherwise(F.col("l_tax") - 0.01 * (n == 7).cast("int"))
+_PAIRS = """(SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.07 THEN NULL WHEN l_tax > 0.06 THEN 'NaN'::DOUBLE WHEN l_tax > 0.055 THEN 'Infinity'::DOUBLE ELSE l_tax - 0.01 * (l_linenumber = 7)::INT END AS raw,
+  CASE l_linenumber WHEN 1 THEN 'Very Low' WHEN 2 THEN 'Not Applicable' WHEN 3 THEN 'No Expected Annual Losses' WHEN 4 THEN 'Insufficient Data' WHEN 5 THEN 'odd' WHEN 6 THEN 'Very High' END AS rating FROM lineitem)"""
+#: State of every combination, as a table: what is there (null, not finite, negative, zero, positive) by rating.
+_STATES = """(VALUES ('Very Low', 'invalid', 'invalid', 'invalid', 'valid', 'valid'), ('Very High', 'invalid', 'invalid', 'invalid', 'valid', 'valid'), ('No Expected Annual Losses', 'invalid', 'invalid', 'invalid', 'valid', 'invalid'),
+  ('Not Applicable', 'not_applicable', 'invalid', 'invalid', 'invalid', 'invalid'), ('Insufficient Data', 'missing', 'invalid', 'invalid', 'invalid', 'invalid'), ('odd', 'invalid', 'invalid', 'invalid', 'invalid', 'invalid'),
+  (NULL, 'missing', 'invalid', 'invalid', 'valid', 'valid')) AS s(named, none, odd, below, zero, above)"""
+_STATE = "CASE WHEN raw IS NULL THEN none WHEN NOT isfinite(raw) THEN odd WHEN raw < 0 THEN below WHEN raw = 0 THEN zero ELSE above END"
+
+
+def _pairs(spark, d):
+    n, tax = F.col("l_linenumber"), F.col("l_tax")
+    raw = F.when(tax > 0.07, None).when(tax > 0.06, float("nan")).when(tax > 0.055, float("inf")).otherwise(tax - 0.01 * (n == 7).cast("int"))
     rating = F.when(n == 1, "Very Low").when(n == 2, P.NOT_APPLICABLE).when(n == 3, P.NO_LOSS).when(n == 4, P.NO_DATA).when(n == 5, "odd").when(n == 6, "Very High")
-    return li.select("l_orderkey", "l_linenumber", P.availability(raw, rating).alias("state"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"), rating.alias("rating"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_STATE} AS state FROM {_PAIRS} JOIN {_STATES} ON rating IS NOT DISTINCT FROM named")
+def hazard_availability(spark, d):
+    return _pairs(spark, d).select("l_orderkey", "l_linenumber", P.availability(F.col("raw"), F.col("rating")).alias("state"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN NOT isfinite(raw) THEN NULL WHEN {_STATE} = 'valid' OR ({_STATE} = 'invalid' AND none <> 'invalid') THEN raw END AS kept
+FROM {_PAIRS} JOIN {_STATES} ON rating IS NOT DISTINCT FROM named""")
+def hazard_raw_values(spark, d):
+    return _pairs(spark, d).select("l_orderkey", "l_linenumber", P.normalised_raw(F.col("raw"), F.col("rating")).alias("kept"))
+
+
+@query("""WITH v AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 AND c_acctbal >= 0 THEN CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_acctbal END END AS v FROM customer),
+n AS (SELECT *, count(v) OVER () AS n FROM v)
+SELECT c_custkey, CASE WHEN v IS NULL THEN NULL WHEN v = 0 THEN 0 ELSE round(100.0 * (rank() OVER (PARTITION BY v IS NULL ORDER BY v) - 1 + (count(*) OVER (PARTITION BY v) - 1) / 2.0) / (n - 1), 6) END AS pct FROM n""")
+def property_loss_percentile(spark, d):
+    k, v = F.col("c_custkey"), F.col("c_acctbal")
+    c = t(spark, d, "customer").select("c_custkey", F.when(k % 7 == 0, float("nan")).when((k % 5 == 0) & (v >= 0), 0.0).otherwise(v).alias("v"))
+    return P.property_loss_percentile(c, "v", "pct").select("c_custkey", r6("pct", "pct"))
 
 
 @query("""WITH cells AS (SELECT o_custkey, o_orderstatus || o_orderpriority AS h, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS raw FROM orders GROUP BY ALL),
@@ -178,7 +198,7 @@ def hazard_ensemble(spark, d):
 
 @query("""SELECT c_nationkey, round_even(sum(CASE WHEN p_size <> 7 THEN l_extendedprice::DECIMAL(16,4) * l_quantity::DECIMAL(14,4) END)::DOUBLE / sum(CASE WHEN p_size <> 7 THEN l_quantity END::DECIMAL(20,4))::DOUBLE * 1e2, 0) / 1e2 AS price,
   round(coalesce(sum(CASE WHEN p_size <> 7 THEN l_quantity END::DECIMAL(20,4)), 0)::DOUBLE / sum(l_quantity::DECIMAL(20,4))::DOUBLE, 6) AS coverage,
-  CASE WHEN coverage >= 1 - 1e-9 THEN 'complete' WHEN coverage >= 0.9 THEN 'partial' WHEN coverage > 0 THEN 'insufficient' ELSE 'none' END AS status
+  CASE WHEN c_nationkey = 5 THEN 'outside_scope' WHEN sum(l_quantity) = 0 THEN 'zero_population' WHEN coverage >= 1 - 1e-9 THEN 'complete' WHEN coverage >= 0.9 THEN 'partial' ELSE 'insufficient_coverage' END AS status
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY c_nationkey""")
 def weighted_geo_means(spark, d):
     li = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
@@ -186,7 +206,7 @@ def weighted_geo_means(spark, d):
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     j = j.withColumn("price", F.when(F.col("p_size") != 7, F.col("l_extendedprice")))
     w = A.weighted_means(j, ["c_nationkey"], "l_quantity", {"price": 2})
-    return w.select("c_nationkey", "price", r6("price_coverage", "coverage")).withColumn("status", A.coverage_status(F.col("coverage")))
+    return w.select("c_nationkey", "price", r6("price_coverage", "coverage")).withColumn("status", A.coverage_status(F.col("c_nationkey") != 5, F.lit(1), F.col("coverage")))
 
 
 @query("""WITH s AS (SELECT p_brand, sum((45 * (p_partkey % 10) + 20 * (p_size % 7) + 35 * (p_size % 3)) * p_size)::BIGINT * 100 AS top, sum(p_size)::BIGINT AS pop FROM part GROUP BY 1)
@@ -292,9 +312,9 @@ def missing_keys(spark, d):
     return E.missing_keys(t(spark, d, "part").select("p_partkey"), big, ["p_partkey"])
 
 
-@query("""SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON right(s_name, 6) = right(c_name, 6) WHERE s_suppkey % 3 = 0""")
+@query("""SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON right(s_name, 6) = right(c_name, 6)""")
 def code_reconciliation(spark, d):
-    s = t(spark, d, "supplier").where("s_suppkey % 3 = 0").select("s_suppkey", "s_name")
+    s = t(spark, d, "supplier").select("s_suppkey", "s_name")
     return E.reconcile_codes(s, t(spark, d, "customer").select("c_custkey", "c_name"), F.right("s_name", F.lit(6)), F.right("c_name", F.lit(6)))[0].select("s_suppkey", "c_custkey")
 
 
@@ -414,17 +434,47 @@ def exclusion_counts(spark, d):
     return _fit(spark, d).groupBy(F.coalesce("reason", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-# rasters (no SQL form; tests hold them against brute force)
+# rasters
+
+
+#: Grids of 24 x 24 cells of 1 km from the line items: a tile for each supplier number mod 4.
+_CELLS = """WITH c AS (SELECT (l_suppkey % 4)::BIGINT AS tile, (l_partkey % 24)::INT AS r, (l_orderkey % 24)::INT AS c, min(l_extendedprice) AS v, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3),
+g AS (SELECT t.i AS tile, a.i AS r, b.i AS c, coalesce(v, 0) % 900 AS e, coalesce(q, 0) % 5 AS land, coalesce(q, 0) % 3 / 10 AS trail FROM range(4) t(i), range(24) a(i), range(24) b(i) LEFT JOIN c ON c.tile = t.i AND c.r = a.i AND c.c = b.i)"""
 
 
-@query()
+def _tiles(spark, d):
+    n = 24
+    li = t(spark, d, "lineitem")
+    cells = li.groupBy((F.col("l_suppkey") % 4).alias("tile"), (F.col("l_partkey") % n).alias("r"), (F.col("l_orderkey") % n).alias("c")).agg(F.min("l_extendedprice").alias("v"), F.sum("l_quantity").alias("q"))
+    grid = spark.range(4 * n * n).select(F.expr(f"id div {n * n}").alias("tile"), F.expr(f"(id div {n}) % {n}").alias("r"), F.expr(f"id % {n}").alias("c"))
+    g = grid.join(cells, ["tile", "r", "c"], "left").withColumns({"v": F.coalesce("v", F.lit(0.0)), "q": F.coalesce("q", F.lit(0.0))})
+    rows = F.sort_array(F.collect_list(F.struct("r", "c", (F.col("v") % 900).alias("e"), (F.col("q") % 5).alias("land"), (F.col("q") % 3 / 10).alias("trail"))))
+    return g.groupBy("tile").agg(rows.alias("x")).select("tile", F.lit(n).alias("rows"), F.lit(n).alias("cols"), F.col("x.e").alias("elevation"), F.col("x.land").alias("access"), F.col("x.trail").alias("trails"))
+
+
+@query(_CELLS + """, near AS (SELECT a.tile, a.r, a.c, max(b.e) FILTER (WHERE abs(a.r - b.r) <= 4 AND abs(a.c - b.c) <= 4) - min(b.e) FILTER (WHERE abs(a.r - b.r) <= 4 AND abs(a.c - b.c) <= 4) AS relief5, max(b.e) FILTER (WHERE abs(a.r - b.r) <= 8 AND abs(a.c - b.c) <= 8) - min(b.e) FILTER (WHERE abs(a.r - b.r) <= 8 AND abs(a.c - b.c) <= 8) AS relief10
+  FROM g a JOIN g b ON a.tile = b.tile GROUP BY 1, 2, 3),
+slope AS (SELECT a.tile, a.r, a.c, degrees(atan(sqrt(pow((d.e - u.e) / (1000 * (d.r - u.r)), 2) + pow((k.e - l.e) / (1000 * (k.c - l.c)), 2)))) AS slope FROM g a
+  JOIN g u ON u.tile = a.tile AND u.c = a.c AND u.r = greatest(a.r - 1, 0) JOIN g d ON d.tile = a.tile AND d.c = a.c AND d.r = least(a.r + 1, 23)
+  JOIN g l ON l.tile = a.tile AND l.r = a.r AND l.c = greatest(a.c - 1, 0) JOIN g k ON k.tile = a.tile AND k.r = a.r AND k.c = least(a.c + 1, 23)),
+m AS (SELECT g.*, relief5, relief10, slope, slope >= 15 OR relief5 >= 300 AS mountain FROM g JOIN near USING (tile, r, c) JOIN slope USING (tile, r, c)),
+w AS (SELECT a.tile, a.r, a.c, avg(b.mountain::INT) FILTER (WHERE far <= 17) AS rugged, count(*) FILTER (WHERE far <= 4 AND b.mountain AND b.land = 1) AS o5, count(*) FILTER (WHERE far <= 13 AND b.mountain AND b.land = 1) AS o15, count(*) FILTER (WHERE far <= 26 AND b.mountain AND b.land = 1) AS o30,
+    count(*) FILTER (WHERE far <= 26 AND b.mountain AND b.land = 2) AS restricted, coalesce(sum(b.trail) FILTER (WHERE far <= 8 AND b.mountain), 0) AS t10, coalesce(sum(b.trail) FILTER (WHERE far <= 22 AND b.mountain), 0) AS t25, min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))) FILTER (WHERE b.mountain AND b.trail > 0) AS nearest
+  FROM m a JOIN (SELECT * FROM m) b ON a.tile = b.tile, LATERAL (SELECT greatest(abs(a.r - b.r), abs(a.c - b.c)) AS far) GROUP BY 1, 2, 3)
+SELECT s_suppkey AS block, round(relief5, 6) AS relief_5km, round(relief10, 6) AS relief_10km, round(slope, 6) AS slope, mountain::INT::DOUBLE AS mountain, round(rugged, 6) AS rugged, o5::DOUBLE AS open_5, (o15 - o5)::DOUBLE AS open_15, (o30 - o15)::DOUBLE AS open_30, restricted::DOUBLE AS restricted_30,
+  round(o5 + 0.75 * (o15 - o5) + 0.4 * (o30 - o15), 6)::DOUBLE AS access_raw, round(nearest, 6) AS nearest_trail_km, round(t10, 6) AS trail_10, round(t25, 6) AS trail_25, round(t10 + 0.4 * (t25 - t10), 6) AS trail_raw
+FROM supplier JOIN m ON tile = s_suppkey % 4 AND r = s_suppkey * 7 % 24 AND c = s_suppkey * 13 % 24 JOIN w USING (tile, r, c)""")
 def terrain_windows(spark, d):
-    """Terrain of synthetic tiles, sampled at one block for each supplier."""
-    n = 96
-    cells = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: F.when(i % 97 == 5, F.lit(float("nan"))).otherwise(400 * F.sin(i / 7.0) + 300 * F.cos(i / float(n) / 5.0) + 10.0 * F.col("tile")))
-    tiles = spark.range(4).select(F.col("id").alias("tile"), F.lit(n).alias("rows"), F.lit(n).alias("cols"), cells.alias("elevation"), F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: (i % 5).cast("int")).alias("access"))
-    blocks = t(spark, d, "supplier").select((F.col("s_suppkey") % 4).alias("tile"), F.col("s_suppkey").alias("block"), (F.col("s_suppkey") * 7 % n).cast("int").alias("row"), (F.col("s_suppkey") * 13 % n).cast("int").alias("col"))
-    return G.sample_tiles(tiles, blocks).select("block", *[F.round(o, 6).alias(o) for o in G.OUTPUTS])
+    """Terrain, access and trail rings of tiles made of line items, sampled at one block for each supplier."""
+    k = F.col("s_suppkey")
+    blocks = t(spark, d, "supplier").select((k % 4).alias("tile"), k.alias("block"), (k * 7 % 24).cast("int").alias("row"), (k * 13 % 24).cast("int").alias("col"), F.lit(1).alias("people"))
+    shown = ("relief_5km", "relief_10km", "slope", "mountain", "rugged", "open_5", "open_15", "open_30", "restricted_30", "access_raw", "nearest_trail_km", "trail_10", "trail_25", "trail_raw")
+    return G.sample_tiles(_tiles(spark, d), blocks, 1000.0).select("block", *[r6(o, o) for o in shown])
+
+
+@query("""SELECT c_nationkey, count(*)::BIGINT AS n, sha256(string_agg(c_custkey::VARCHAR, chr(10) ORDER BY c_custkey::VARCHAR) || chr(10)) AS ids_sha256, sha256(string_agg(c_custkey::VARCHAR || '|' || c_mktsegment, chr(10) ORDER BY c_custkey::VARCHAR || '|' || c_mktsegment) || chr(10)) AS samples_sha256 FROM customer GROUP BY 1""")
+def tile_digests(spark, d):
+    return G.tile_digests(t(spark, d, "customer"), ["c_nationkey"], "c_custkey", ["c_mktsegment"])
 
 
 @query("SELECT floor(c_acctbal / 1000)::INT AS tile_col, floor(c_nationkey / 5)::INT AS tile_row, count(*)::BIGINT AS n FROM customer GROUP BY 1, 2")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quernstone.functions import addresses as X
 from quernstone.operators import domain as D
+from quernstone.operators import raster as R
 from quernstone.operators import spatial as G
-from quernstone.plans.catalog import _fit, query, r6, t
+from quernstone.plans.catalog import _FIT, _fit, query, r6, t
 from quernstone.sources.snapshots import replace_by_key
 
 
@@ -61,16 +63,41 @@ def _blocks(spark, d):
 
 @query(_BLOCKS + " SELECT p_partkey, a_pct, c_pct, h / 100 AS composite FROM s")
 def block_scores(spark, d):
-    return _blocks(spark, d)[1]
+    return _blocks(spark, d)[1].drop("units")
 
 
-@query(_BLOCKS + """, g AS (SELECT p_brand, sum(CASE WHEN h IS NOT NULL THEN h * pop END)::BIGINT * 10000 AS top, sum(CASE WHEN h IS NOT NULL THEN pop ELSE 0 END)::BIGINT AS w, sum(pop)::BIGINT AS total FROM s GROUP BY 1),
-m AS (SELECT p_brand, (top // w + CASE WHEN 2 * (top % w) > w OR (2 * (top % w) = w AND (top // w) % 2 = 1) THEN 1 ELSE 0 END)::BIGINT AS base_micros, round(w / total, 6) AS coverage FROM g)
-SELECT p_brand, base_micros, coverage, CASE WHEN coverage >= 1 - 1e-9 THEN 'complete' WHEN coverage >= 0.9 THEN 'partial' WHEN coverage > 0 THEN 'insufficient' ELSE 'none' END AS status,
-  round_even(log10((count(*) OVER ())::DOUBLE / (count(*) OVER (ORDER BY base_micros DESC))::DOUBLE) * 1e4, 0) / 1e4 AS magnitude FROM m""")
-def block_aggregates(spark, d):
+#: Areas as brand and size class: some lie below the coverage floor, and one brand is out of scope.
+_AREAS = _BLOCKS + """, z AS (SELECT k.*, s.h, k.p_brand || '/' || k.pop % 3 AS area FROM k JOIN s USING (p_partkey)),
+g AS (SELECT area, bool_and(p_brand <> 'Brand#1') AS inside, sum(units * pop)::BIGINT AS top, sum(CASE WHEN units IS NOT NULL THEN pop ELSE 0 END)::BIGINT AS covered, sum(pop)::BIGINT AS total,
+  sum(ua / 100 * pop) / sum(CASE WHEN ua IS NOT NULL THEN pop END) AS mean FROM z GROUP BY 1),
+c AS (SELECT *, round(CASE WHEN total > 0 THEN covered / total ELSE 0 END, 6) AS coverage FROM g), e AS (SELECT *, inside AND coverage >= 0.9 AND covered > 0 AS ok FROM c),
+m AS (SELECT *, CASE WHEN ok THEN (top * 100 // covered + CASE WHEN 2 * (top * 100 % covered) > covered OR (2 * (top * 100 % covered) = covered AND (top * 100 // covered) % 2 = 1) THEN 1 ELSE 0 END)::BIGINT END AS base_micros FROM e)"""
+
+
+def _areas(spark, d):
     b, s = _blocks(spark, d)
-    return D.aggregate_blocks(b.select("p_partkey", "p_brand", "pop").join(s, "p_partkey"), ["p_brand"], "composite", "pop").select("p_brand", "base_micros", r6("coverage", "coverage"), "status", "magnitude")
+    return b.select("p_partkey", "p_brand", "pop", F.concat_ws("/", "p_brand", (F.col("pop") % 3).cast("string")).alias("area")).join(s, "p_partkey")
+
+
+@query(_AREAS + """ SELECT area, total, covered, coverage, CASE WHEN NOT inside THEN 'outside_scope' WHEN total = 0 THEN 'zero_population' WHEN coverage >= 1 - 1e-9 THEN 'complete' WHEN coverage >= 0.9 THEN 'partial' ELSE 'insufficient_coverage' END AS status,
+  base_micros, CASE WHEN ok THEN round_even(mean * 100, 0) / 100 END AS a_pct,
+  CASE WHEN ok THEN round_even(log10((count(*) OVER (PARTITION BY ok))::DOUBLE / (count(*) OVER (PARTITION BY ok ORDER BY base_micros DESC))::DOUBLE) * 1e4, 0) / 1e4 END AS magnitude FROM m""")
+def block_aggregates(spark, d):
+    return D.aggregate_blocks(_areas(spark, d), ["area"], "pop", F.col("p_brand") != "Brand#1", {"a_pct": 2})
+
+
+@query(_BLOCKS + """ SELECT p_brand AS area, round(sum(CASE WHEN h IS NOT NULL THEN pop ELSE 0 END)::DOUBLE / sum(pop), 6) AS coverage FROM s GROUP BY 1 UNION ALL SELECT NULL, round(sum(CASE WHEN h IS NOT NULL THEN pop ELSE 0 END)::DOUBLE / sum(pop), 6) FROM s""")
+def scored_coverage(spark, d):
+    return D.scored_coverage(_areas(spark, d), "p_brand", "pop", "composite", F.lit(True)).select("area", r6("coverage", "coverage"))
+
+
+@query("""WITH h AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_totalprice / 100 END AS price, CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 40)::DOUBLE END AS listings, o_orderkey % 5 = 0 AS flagged FROM orders),
+l AS (SELECT strftime(max((month || '-01')::DATE) - INTERVAL 11 MONTH, '%Y-%m') AS first FROM h)
+SELECT o_custkey, count(DISTINCT month)::BIGINT AS valid_months, median(listings) AS median_listings, round(median(price), 6) AS median_price, round(1e6 / median(price), 6) AS area FROM h, l WHERE month >= first AND NOT flagged AND price > 0 AND listings >= 0 GROUP BY 1""")
+def market_year(spark, d):
+    k = F.col("o_orderkey")
+    o = t(spark, d, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.when(k % 7 == 0, 0.0).otherwise(F.col("o_totalprice") / 100).alias("price"), F.when(k % 11 != 0, (k % 40).cast("double")).alias("listings"), (k % 5 == 0).cast("int").alias("flag"))
+    return D.market_year(o, "o_custkey", "month", "price", "listings", "flag").select("o_custkey", "valid_months", "median_listings", r6("median_price", "median_price"), r6("area", "area"))
 
 
 @query("""WITH s AS (SELECT s_suppkey, s_acctbal AS m1, CASE WHEN s_nationkey <> 4 THEN s_nationkey END AS m2 FROM supplier),
@@ -79,21 +106,28 @@ e AS (SELECT s_suppkey, (rank() OVER (ORDER BY m1) - 1 + (count(*) OVER (PARTITI
 SELECT s_suppkey, round(u1 * 0.6 + u2 * 0.4, 6) AS safety, round(u2 * 1.0, 6) AS family, (1 + 0)::INT * ((u1 + u2 IS NOT NULL)::INT + (u2 IS NOT NULL)::INT) AS known_pillars FROM e""")
 def calibrated_pillars(spark, d):
     s = t(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("m1"), F.when(F.col("s_nationkey") != 4, F.col("s_nationkey")).alias("m2"))
-    p = D.pillars(D.calibrate(s, {"u1": ("m1", False), "u2": ("m2", True)}), {"safety": {"u1": 0.6, "u2": 0.4}, "family": {"u2": 1.0}})
+    p = D.pillars(D.calibrate(s, "s_suppkey", {"u1": ("m1", False), "u2": ("m2", True)}), {"safety": {"u1": 0.6, "u2": 0.4}, "family": {"u2": 1.0}})
     return p.select("s_suppkey", r6("safety", "safety"), r6("family", "family"), "known_pillars")
 
 
-@query("""WITH m AS (SELECT DISTINCT o_custkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE year(o_orderdate) = 1997)
-SELECT o_custkey, (12 - count(*) FILTER (WHERE month <= '1997-12' AND month >= '1997-01'))::INT AS missing, 0 AS surplus FROM m GROUP BY 1 HAVING count(*) < 12""")
+@query("""WITH m AS (SELECT DISTINCT o_custkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderdate < TIMESTAMP '1998-04-01'), e AS (SELECT '1997-' || lpad(i::VARCHAR, 2, '0') AS month FROM range(1, 13) r(i)),
+c AS (SELECT c_custkey, (SELECT count(*) FROM m WHERE o_custkey = c_custkey AND month IN (SELECT month FROM e)) AS hit, (SELECT count(*) FROM m WHERE o_custkey = c_custkey AND month NOT IN (SELECT month FROM e)) AS other FROM customer)
+SELECT c_custkey, (12 - hit)::INT AS missing, other::INT AS surplus FROM c WHERE hit < 12 OR other > 0""")
 def month_set_completeness(spark, d):
-    o = t(spark, d, "orders").where(F.year("o_orderdate") == 1997).select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-    return D.month_sets(o, "o_custkey", "month", [f"1997-{m:02d}" for m in range(1, 13)])
+    """Customers whose months of orders up to March 1998 aren't exactly those of 1997; customers without orders miss all."""
+    o = t(spark, d, "orders").where("o_orderdate < timestamp_ntz '1998-04-01'").select(F.col("o_custkey").alias("c_custkey"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    return D.month_sets(o, "c_custkey", "month", [f"1997-{m:02d}" for m in range(1, 13)], keys=t(spark, d, "customer").select("c_custkey"))
+
 
+_NAME = "regexp_replace(trim(regexp_replace(regexp_replace(replace(strip_accents(upper(n)), '&', ' AND '), '[^A-Z0-9 ]', '', 'g'), ' +', ' ', 'g')), ' (CITY AND BOROUGH|CENSUS AREA|MUNICIPALITY|BOROUGH|PARISH|COUNTY)$', '')"
 
-@query("""SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(replace(upper(trim(c_name || ' & ' || c_mktsegment || '  County')), '&', ' AND '), '[^A-Z0-9 ]', '', 'g'), ' (COUNTY|PARISH|BOROUGH|CENSUS AREA)$', ''), ' +', ' ', 'g')) AS name FROM customer""")
+
+@query(f"""SELECT c_custkey, replace({_NAME}, ' ', '') AS name FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Doña Ana ' WHEN 1 THEN 'St. Élie & ' WHEN 2 THEN ' O''Brien-' ELSE '' END || c_name || CASE c_custkey % 5 WHEN 0 THEN ' County' WHEN 1 THEN ' City and Borough' WHEN 2 THEN ' Municipality ' WHEN 3 THEN ' Parish' ELSE '' END AS n FROM customer)""")
 def normalised_names(spark, d):
-    c = t(spark, d, "customer")
-    return c.select("c_custkey", D.normalised_name(F.concat_ws("", "c_name", F.lit(" & "), "c_mktsegment", F.lit("  County"))).alias("name"))
+    four, five = F.col("c_custkey") % 4, F.col("c_custkey") % 5
+    head = F.when(four == 0, "Doña Ana ").when(four == 1, "St. Élie & ").when(four == 2, " O'Brien-").otherwise("")
+    tail = F.when(five == 0, " County").when(five == 1, " City and Borough").when(five == 2, " Municipality ").when(five == 3, " Parish").otherwise("")
+    return t(spark, d, "customer").select("c_custkey", D.normalised_name(F.concat(head, "c_name", tail)).alias("name"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity, sum(l_quantity::DECIMAL(20,4)) OVER (PARTITION BY l_orderkey) AS total FROM lineitem)
@@ -122,7 +156,56 @@ def attribution_reasons(spark, d):
     return c.select("c_custkey", D.attribution(F.col("code"), F.col("known")).alias("reason"))
 
 
-@query()
+@query(_FIT.replace("SELECT c_custkey, score", "SELECT * FROM (SELECT c_custkey, score").replace("CASE WHEN stage_a IS NULL THEN rank() OVER (PARTITION BY stage_a IS NULL ORDER BY score DESC NULLS LAST) END::BIGINT AS national_rank,", "") + ") WHERE filtered_rank <= 20 OR reason IS NOT NULL")
 def top_fit_rows(spark, d):
     """The best 20 of the preference evaluation and all that it excluded."""
     return D.top_and_ineligible(_fit(spark, d), "filtered_rank", "reason", 20).select("c_custkey", "score", "reason", "filtered_rank")
+
+
+# addresses and features
+
+_ADDRESS = "(c_custkey || CASE c_custkey % 3 WHEN 0 THEN 'b' ELSE '' END || ' Main St' || CASE c_custkey % 5 WHEN 0 THEN ', Apt. 4C' WHEN 1 THEN ' #12' WHEN 2 THEN ', Suite B-7 ' WHEN 3 THEN ' Unit 9-a' ELSE '' END || ', ' || c_mktsegment || ' , CO')"
+
+
+def _addresses(spark, d):
+    k = F.col("c_custkey")
+    unit = F.when(k % 5 == 0, ", Apt. 4C").when(k % 5 == 1, " #12").when(k % 5 == 2, ", Suite B-7 ").when(k % 5 == 3, " Unit 9-a").otherwise("")
+    text = F.concat(k.cast("string"), F.when(k % 3 == 0, "b").otherwise(""), F.lit(" Main St"), unit, F.lit(", "), "c_mktsegment", F.lit(" , CO"))
+    return t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", text.alias("address"))
+
+
+@query(rf"""SELECT c_custkey, upper(regexp_extract(a, '^\s*(\d+[A-Za-z]?)\b', 1)) AS house, regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '(?i)(?:,\s*)?(?:#\s*|\b(?:apt|apartment|unit|ste|suite|bldg|building|rm|room|fl|floor)\.?\s+)[a-z]*\d[a-z0-9-]*(\s*,|\s*$)', '\1', 'g'), '\s+,', ',', 'g'), ',\s*,+', ',', 'g'), '\s+', ' ', 'g') AS plain
+FROM (SELECT c_custkey, {_ADDRESS} AS a FROM customer)""")
+def address_parts(spark, d):
+    return _addresses(spark, d).select("c_custkey", X.house_number(F.col("address")).alias("house"), X.without_unit(F.col("address")).alias("plain"))
+
+
+@query(f"""SELECT c_custkey, CASE WHEN kind IN ('city', 'county') OR country <> 'us' THEN NULL WHEN (kind = 'house' OR grp = 'building') AND house = c_custkey::VARCHAR || CASE c_custkey % 3 WHEN 0 THEN 'B' ELSE '' END THEN 'house' WHEN kind = 'residential' OR grp = 'highway' THEN 'street' END AS "precision"
+FROM (SELECT c_custkey, CASE c_nationkey % 5 WHEN 0 THEN 'house' WHEN 1 THEN 'city' WHEN 2 THEN 'residential' WHEN 3 THEN 'county' ELSE 'odd' END AS kind, CASE c_nationkey % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'highway' ELSE 'place' END AS grp, CASE WHEN c_custkey % 7 = 0 THEN 'ca' ELSE 'us' END AS country,
+  CASE WHEN c_custkey % 4 = 0 THEN '1' ELSE c_custkey::VARCHAR || CASE c_custkey % 3 WHEN 0 THEN 'B' ELSE '' END END AS house FROM customer)""")
+def geocoder_hits(spark, d):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    kind = F.when(n % 5 == 0, "House").when(n % 5 == 1, "city").when(n % 5 == 2, "residential").when(n % 5 == 3, "county").otherwise("odd")
+    group = F.when(n % 3 == 0, "building").when(n % 3 == 1, "highway").otherwise("place")
+    house = F.when(k % 4 == 0, "1").otherwise(F.concat(k.cast("string"), F.when(k % 3 == 0, "b").otherwise("")))
+    return _addresses(spark, d).select("c_custkey", X.hit_precision(F.col("address"), F.lit(40.0), F.lit(-105.0), F.when(k % 7 == 0, "ca").otherwise("US"), kind, group, house, F.col("address")).alias("precision"))
+
+
+@query("""SELECT min(event_id) AS event_id, user_id, event_type FROM (SELECT event_id, user_id, event_type, round(value / 100, 0) AS v FROM events) GROUP BY user_id, event_type, v""")
+def unique_hits(spark, d):
+    e = t(spark, d, "events").select("event_id", "user_id", "event_type", F.round(F.col("value") / 100, 0).alias("lat"), F.lit(1.0).alias("lon"))
+    return X.unique_hits(e, "user_id", "event_type", "lat", "lon", "event_id").select("event_id", "user_id", "event_type")
+
+
+@query("""SELECT l_orderkey, count(*)::INT AS fragments, min(l_quantity) AS r_x0, max(l_quantity) AS r_x1, min(l_extendedprice) AS r_y0, max(l_extendedprice) AS r_y1 FROM lineitem GROUP BY 1 HAVING min(l_extendedprice) <= 20000 AND max(l_extendedprice) >= 5000 AND (max(l_quantity) >= 45 OR min(l_quantity) <= 2)""")
+def logical_features(spark, d):
+    """Line items as fragments of their order; those that meet a box across the antimeridian."""
+    f = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit("a").alias("kind"), F.array("l_quantity").alias("x"), F.array("l_extendedprice").alias("y"))
+    found = G.features_in(G.logical_features(f, "l_orderkey", ["l_linenumber"], ["kind"], "x", "y"), 45.0, 5000.0, 2.0, 20000.0)
+    return found.select("l_orderkey", "fragments", "r_x0", "r_x1", "r_y0", "r_y1")
+
+
+@query("""SELECT s_suppkey, unnest(CASE WHEN a = b THEN [a] ELSE [a, b] END)::INT AS tx FROM (SELECT s_suppkey, floor((s_acctbal - 100) / 1000) AS a, floor((s_acctbal + 100) / 1000) AS b FROM supplier)""")
+def halo_tiles(spark, d):
+    tiles = R.halo_tiles(F.col("s_acctbal"), F.lit(500.0), 1000.0, 100.0)
+    return t(spark, d, "supplier").select("s_suppkey", F.explode(tiles).alias("t")).select("s_suppkey", "t.tx")
