@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import itertools
+import json
+import os
 import re
 import struct
 import tarfile
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -28,8 +33,27 @@ def read_text_table(spark: SparkSession, path: str | list[str], columns: dict[st
     ``strict``: a value that doesn't fit its type fails; else it is null.
     """
     if encoding.lower() not in ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", True)  # other charsets, such as windows-1252
+        return _read_recoded(spark, path, columns, nulls, sep, encoding, strict, project)
     raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("mode", "FAILFAST").option("inferSchema", False).csv(path)
+    return _typed(raw, columns, nulls, strict, project)
+
+
+def _read_recoded(spark: SparkSession, path, columns, nulls, sep, encoding, strict, project) -> DataFrame:
+    """Charsets that Spark's reader doesn't take, such as windows-1252: read as bytes (ISO-8859-1), values decoded again.
+
+    No session setting changes. Such charsets must agree with ASCII, so that separators and quotes are the same bytes.
+    """
+    raw = spark.read.option("header", True).option("sep", sep).option("encoding", "ISO-8859-1").option("mode", "FAILFAST").option("inferSchema", False).csv(path)
+    table = bytes(range(256)).decode("iso-8859-1")
+    there = [bytes([b]).decode(encoding, "replace") for b in range(256)]
+    odd = {a: b for a, b in zip(table, there, strict=True) if a != b}
+    again = lambda c: F.translate(c, "".join(odd), "".join(odd.values())) if odd else c
+    names = {c: c.translate(str.maketrans(odd)) for c in raw.columns}
+    raw = raw.select(*[again(F.col(f"`{c}`")).alias(n) for c, n in names.items()])
+    return _typed(raw, columns, nulls, strict, project)
+
+
+def _typed(raw: DataFrame, columns: dict[str, str], nulls: Sequence[str], strict: bool, project: Sequence[str] | None) -> DataFrame:
     if missing := [c for c in columns if c not in raw.columns]:
         raise ValueError(f"columns missing: {missing}")
     cast = lambda c, t: c if t == "string" else c.cast(t) if strict else c.try_cast(t)
@@ -49,42 +73,112 @@ def _files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
     return (r.option("pathGlobFilter", glob) if glob else r).load(path)
 
 
-def _by_file(files: DataFrame, schema: str, rows) -> DataFrame:
-    """Apply ``rows(bytes) -> iterator of dicts`` to each file, one file at a time."""
+#: Rows that leave a file at a time.
+CHUNK_ROWS = 10_000
+
+
+def _by_file(files: DataFrame, schema: str, tables) -> DataFrame:
+    """Apply ``tables(bytes) -> iterator of pandas frames`` to each file, one file at a time; a task holds a file and a chunk of its rows."""
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in pdf["content"]:
-                got = list(rows(bytes(data)))
-                if got:
-                    yield pd.DataFrame(got, columns=names)
+                for table in tables(bytes(data)):
+                    yield table.reindex(columns=names)
 
     return files.select("content").mapInPandas(run, schema)
 
 
+def _chunks(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
+    while held := list(itertools.islice(rows, CHUNK_ROWS)):
+        yield pd.DataFrame(held)
+
+
+def _csv_chunks(handle, columns: Sequence[str], encoding: str) -> Iterator[pd.DataFrame]:
+    """A CSV stream in chunks; columns that it lacks come out null."""
+    yield from (c.reindex(columns=list(columns)) for c in pd.read_csv(handle, dtype=str, keep_default_na=False, encoding=encoding, chunksize=CHUNK_ROWS))
+
+
 def read_zip_csv(spark: SparkSession, path: str, suffix: str, columns: Sequence[str], encoding: str = "utf-8") -> DataFrame:
-    """The one member with this suffix of each ZIP, as text columns; none or several members fail."""
+    """The one member with this suffix of each ZIP, as text columns; none or several members, or a missing column, fail."""
 
-    def rows(data: bytes):
-        table = pd.read_csv(io.BytesIO(_member(data, suffix)), dtype=str, keep_default_na=False, encoding=encoding)
-        yield from table[list(columns)].to_dict("records")
+    def tables(data: bytes):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            names = [n for n in z.namelist() if n.endswith(suffix)]
+            if len(names) != 1:
+                raise ValueError(f"{len(names)} members end with {suffix}")
+            with z.open(names[0]) as member:
+                for chunk in pd.read_csv(member, dtype=str, keep_default_na=False, encoding=encoding, chunksize=CHUNK_ROWS):
+                    yield chunk[list(columns)]
 
-    return _by_file(_files(spark, path), ", ".join(f"`{c}` string" for c in columns), rows)
+    return _by_file(_files(spark, path), ", ".join(f"`{c}` string" for c in columns), tables)
 
 
 def read_tar_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """All CSV members of tar archives, as text columns with the member's name."""
+    """All CSV members of tar archives, as text columns with the member's name; members are streamed one by one."""
 
-    def rows(data: bytes):
+    def tables(data: bytes):
         with tarfile.open(fileobj=io.BytesIO(data)) as tar:
             for m in tar:
                 if m.isfile() and m.name.endswith(".csv"):
-                    table = pd.read_csv(io.BytesIO(tar.extractfile(m).read()), dtype=str, keep_default_na=False)
-                    for r in table.reindex(columns=list(columns)).to_dict("records"):
-                        yield {"member": m.name, **r}
+                    for chunk in _csv_chunks(tar.extractfile(m), columns, "utf-8"):
+                        yield chunk.assign(member=m.name)
 
-    return _by_file(_files(spark, path), "member string, " + ", ".join(f"`{c}` string" for c in columns), rows)
+    return _by_file(_files(spark, path), "member string, " + ", ".join(f"`{c}` string" for c in columns), tables)
+
+
+def extract_member(archive: str, member: str, target: str, size: int, sha256: str, archive_sha256: str) -> str:
+    """A member of a ZIP as a file of locked size and digest; kept if it and its note are as expected, else written anew.
+
+    A step of the driver before Spark reads: archives aren't splittable, their members are.
+    """
+    expected = {"archive_sha256": archive_sha256, "member": member, "bytes": size, "sha256": sha256}
+    note = f"{target}.checkpoint.json"
+
+    def digest(handle, out=None) -> tuple[int, str]:
+        h, n = hashlib.sha256(), 0
+        while chunk := handle.read(1 << 20):
+            n += len(chunk)
+            if n > size:
+                raise ValueError(f"{member} is larger than its locked size")
+            h.update(chunk)
+            if out:
+                out.write(chunk)
+        return n, h.hexdigest()
+
+    try:
+        with open(note) as f, open(target, "rb") as g:
+            if json.load(f) == expected and digest(g) == (size, sha256):
+                return target
+    except (OSError, ValueError):
+        pass
+    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    part = f"{target}.{uuid.uuid4().hex}.part"
+    try:
+        with zipfile.ZipFile(archive) as z, z.open(member) as source, open(part, "xb") as out:
+            if digest(source, out) != (size, sha256):
+                raise ValueError(f"{member} differs from its contract")
+            out.flush()
+            os.fsync(out.fileno())
+        os.replace(part, target)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+    with open(note, "w") as f:
+        json.dump(expected, f, sort_keys=True)
+    return target
+
+
+def table_contract(spark: SparkSession, path: str) -> dict:
+    """Schema and rows of a Parquet table, from its footers only."""
+    df = spark.read.parquet(path)
+    return {"columns": dict(df.dtypes), "rows": df.count()}
+
+
+def sorted_tables(spark: SparkSession, paths: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Several Parquet tables as one, in order of ``keys``."""
+    return spark.read.parquet(*paths).orderBy(*keys)
 
 
 _XL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -120,7 +214,7 @@ def read_xlsx(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFra
             named = dict(zip(head, r, strict=False))
             yield {c: named.get(c) for c in columns}
 
-    return _by_file(_files(spark, path), ", ".join(f"`{c}` string" for c in columns), rows)
+    return _by_file(_files(spark, path), ", ".join(f"`{c}` string" for c in columns), lambda data: _chunks(rows(data)))
 
 
 def dbf_rows(data: bytes) -> Iterator[dict[str, str]]:
@@ -141,7 +235,7 @@ def dbf_rows(data: bytes) -> Iterator[dict[str, str]]:
 
 
 def read_dbf_zip(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    return _by_file(_files(spark, path), ", ".join(f"`{c}` string" for c in columns), lambda data: ({c: r.get(c) for c in columns} for r in dbf_rows(_member(data, ".dbf"))))
+    return _by_file(_files(spark, path), ", ".join(f"`{c}` string" for c in columns), lambda data: _chunks({c: r.get(c) for c in columns} for r in dbf_rows(_member(data, ".dbf"))))
 
 
 def read_json_rows(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
