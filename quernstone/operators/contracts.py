@@ -55,6 +55,21 @@ def join_preserving(left: DataFrame, right: DataFrame, on: Sequence[str], cardin
     return left.join(right, list(on), "left")
 
 
+def key_sets(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+    """One row: distinct keys of ``a`` only, of ``b`` only, and of both (nulls are keys)."""
+    side = lambda df, n: df.select(*on).distinct().withColumn("_s", F.lit(n))
+    g = side(a, 1).unionAll(side(b, 2)).groupBy(*on).agg(F.sum("_s").alias("_s"))
+    return g.agg(*[F.count_if(F.col("_s") == k).alias(n) for k, n in ((1, "left_only"), (2, "right_only"), (3, "both"))])
+
+
+def assert_keys(a: DataFrame, b: DataFrame, on: Sequence[str], relation: str) -> None:
+    """``equal``, ``subset`` (all of ``a`` in ``b``) or ``disjoint``, else fail."""
+    r = key_sets(a, b, on).first()
+    holds = {"equal": not r.left_only and not r.right_only, "subset": not r.left_only, "disjoint": not r.both}
+    if not holds[relation]:
+        raise ContractError(f"{list(on)} not {relation}: {r.left_only} left only, {r.right_only} right only, {r.both} in both")
+
+
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows with surplus copies on either side, one for each surplus copy."""
     return a.exceptAll(b).unionAll(b.exceptAll(a))

@@ -288,6 +288,12 @@ def duplicate_keys(spark, d):
     return C.duplicate_keys(t(spark, d, "lineitem"), ["l_orderkey", "l_partkey"])
 
 
+@query("""SELECT count(*) FILTER (WHERE o_custkey IS NULL)::BIGINT AS left_only, count(*) FILTER (WHERE c_custkey IS NULL)::BIGINT AS right_only, count(*) FILTER (WHERE c_custkey = o_custkey)::BIGINT AS "both" FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey""")
+def key_set_relations(spark, d):
+    c, o = t(spark, d, "customer").where("c_acctbal > 0"), t(spark, d, "orders").where("o_totalprice > 300000").withColumnRenamed("o_custkey", "c_custkey")
+    return C.key_sets(c, o, ["c_custkey"])
+
+
 # enrichment joins
 
 

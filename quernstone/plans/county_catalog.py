@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernstone.operators import county as C
+from quernstone.operators import places as L
 from quernstone.operators import preference as P
 from quernstone.plans.catalog import query, r6, t
 
@@ -224,3 +225,62 @@ def county_calibration_drift(spark, d):
     b = _built(spark, d).withColumn("u_rpp", F.when(F.col("county_fips") % 50 == 7, F.col("u_rpp") + 1e-9).otherwise(F.col("u_rpp")))
     b = b.withColumns({c: F.lit(None).cast("double") for c in ("crime_violent_rate", "crime_property_rate", "u_crime_violent", "u_crime_property")})
     return C.calibration_drift(b)
+
+
+# places
+
+_STATES = {f"{k:02d}": f"S{k}" for k in range(0, 25, 2)}
+
+
+@query("""SELECT lpad(c_nationkey::VARCHAR, 2, '0') || lpad(c_custkey::VARCHAR, 9, '0') AS place_id, CASE WHEN c_nationkey % 2 = 0 THEN 'S' || c_nationkey ELSE '??' END AS state, coalesce(n.code, '00000') AS county_fips, coalesce(n.n, 'Unknown County') AS county_name, n.grp AS community_conditions_group,
+  (CASE WHEN a IN ('valid', 'not_applicable') THEN 1 ELSE 0 END + 1)::INT AS available, CASE WHEN a = 'missing' OR a = 'invalid' THEN 'partial' ELSE 'complete' END AS quality
+FROM (SELECT *, CASE c_custkey % 4 WHEN 0 THEN 'not_applicable' WHEN 1 THEN 'missing' WHEN 2 THEN 'invalid' ELSE 'valid' END AS a FROM customer)
+LEFT JOIN (SELECT n_nationkey, lpad(n_nationkey::VARCHAR, 2, '0') || '000' AS code, n_name || CASE WHEN n_nationkey % 3 = 0 THEN ' County' ELSE '' END AS n, CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey % 10 END AS grp FROM nation WHERE n_nationkey % 5 <> 0) n ON n_nationkey = c_nationkey AND c_custkey < 1000000""")
+def scored_grains(spark, d):
+    """Customers as tracts of nations as counties."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    rating = F.when(k % 4 == 0, "Not Applicable").when(k % 4 == 1, "Insufficient Data").when(k % 4 == 2, "Not Applicable").otherwise("Very Low")
+    tracts = t(spark, d, "customer").select(F.concat(two(n), F.lpad(k.cast("string"), 9, "0")).alias("tract_id"), F.when(k % 4 >= 2, k * 1.0).alias("alrb_a"), rating.alias("ealr_a"), F.abs("c_acctbal").alias("alrb_b"), F.lit("Very High").alias("ealr_b"))
+    counties = t(spark, d, "nation").where("n_nationkey % 5 <> 0").select(F.concat(two(F.col("n_nationkey")), F.lit("000")).alias("county_fips"), F.col("n_name").alias("county"), F.when(F.col("n_nationkey") % 3 == 0, " County ").alias("county_type"), F.lit("").alias("state"), F.lit(1.0).alias("alrb_a"))
+    group = t(spark, d, "nation").where("n_nationkey % 4 <> 0").select(F.concat(two(F.col("n_nationkey")), F.lit("000")).alias("county_fips"), (F.col("n_nationkey") % 10).alias("community_conditions_group"))
+    got = L.score_grains(tracts, counties, group, ["a", "b"], _STATES)[0]
+    return got.select("place_id", "state", "county_fips", "county_name", "community_conditions_group", F.col("res_hazard_available_count").alias("available"), F.col("res_hazard_data_quality").alias("quality"))
+
+
+def _levels(spark, d):
+    s = t(spark, d, "supplier")
+    lines = F.explode(F.array(F.lit(1), F.lit(2), F.lit(9)))
+    raw = s.select(F.concat(F.lit(' "'), F.lpad((F.col("s_suppkey") + 1).cast("string"), 5, "0"), F.lit('"')).alias("GeoFIPS"), F.concat("s_name", F.lit(" *")).alias("GeoName"), F.lit("MARPP").alias("TableName"), F.lit("Index").alias("Unit"), lines.alias("LineCode"), "s_nationkey")
+    raw = raw.withColumn("2024", (90 + F.col("s_nationkey") + F.col("LineCode")).cast("string"))
+    rest = raw.limit(1).select(F.explode(F.array(F.lit("98765"), F.lit("00000"))).alias("GeoFIPS"), F.lit("rest").alias("GeoName"), "TableName", "Unit", "s_nationkey").select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("LineCode"), F.lit("88").alias("2024"))
+    return L.price_levels(raw.unionByName(rest), "2024", {1: "all_items", 2: "goods"}, "98765")
+
+
+@query("""SELECT lpad((s_suppkey + 1)::VARCHAR, 5, '0') AS geography_id, s_name AS geography_name, (91 + s_nationkey)::DOUBLE AS all_items, (92 + s_nationkey)::DOUBLE AS goods FROM supplier UNION ALL SELECT '98765', 'rest', 88.0::DOUBLE, 88.0::DOUBLE""")
+def price_levels(spark, d):
+    return _levels(spark, d)
+
+
+_ASSIGNED = """WITH c AS (SELECT lpad(c_nationkey::VARCHAR, 2, '0') || lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS county, c_nationkey AS st, c_custkey % 40 AS metro FROM customer WHERE c_custkey < 1000)"""
+
+
+def _assigned(spark, d, **how):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    c = t(spark, d, "customer").where("c_custkey < 1000").select(F.concat(F.lpad(n.cast("string"), 2, "0"), F.lpad((k % 1000).cast("string"), 3, "0")).alias("county_fips"), F.lpad((k % 40).cast("string"), 5, "0").alias("cbsa_id"))
+    return L.assign_price_levels(c, c, _levels(spark, d), "98765", [f"{x:02d}" for x in range(20)], ["20", "21"], **how)
+
+
+@query(_ASSIGNED + """ SELECT county AS county_fips, CASE WHEN st < 20 THEN CASE WHEN s_suppkey IS NOT NULL THEN lpad(metro::VARCHAR, 5, '0') ELSE '98765' END END AS geography_id, CASE WHEN st < 20 THEN CASE WHEN s_suppkey IS NOT NULL THEN 'metropolitan' ELSE 'nonmetropolitan' END END AS geography_type,
+  CASE WHEN st < 20 THEN 'complete' WHEN st < 22 THEN 'outside_scope' ELSE 'unmatched_geography' END AS coverage_status, CASE WHEN st < 20 THEN coalesce(91 + s_nationkey, 88)::DOUBLE END AS all_items FROM c LEFT JOIN supplier ON s_suppkey + 1 = metro""")
+def assigned_price_levels(spark, d):
+    return _assigned(spark, d).select("county_fips", "geography_id", "geography_type", "coverage_status", "all_items")
+
+
+@query(_ASSIGNED + """ SELECT county || '000001' AS tract_id, CASE WHEN st < 20 THEN CASE WHEN s_suppkey IS NOT NULL THEN 'metropolitan' ELSE 'state' END END AS geography_type, CASE WHEN st < 20 THEN coalesce(91 + s_nationkey, 70 + st)::DOUBLE END AS all_items, CASE WHEN st < 20 THEN 'complete' WHEN st < 22 THEN 'outside_scope' ELSE 'unmatched_geography' END AS coverage_status
+FROM c LEFT JOIN supplier ON s_suppkey + 1 = metro UNION ALL SELECT '99999000001', NULL, NULL, 'unmatched_geography'""")
+def inherited_price_levels(spark, d):
+    own = spark.range(25).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("state_fips"), F.concat(F.lit("S"), F.col("id").cast("string")).alias("geography_id"), F.lit("x").alias("geography_name"), (70.0 + F.col("id")).alias("all_items"), F.lit(1.0).alias("goods"))
+    a = _assigned(spark, d, state_levels=own)
+    tracts = a.select(F.concat("county_fips", F.lit("000001")).alias("tract_id")).unionByName(spark.range(1).select(F.lit("99999000001").alias("tract_id")))
+    return L.inherit_price_levels(tracts, a).select("tract_id", "geography_type", "all_items", "coverage_status")

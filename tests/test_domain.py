@@ -13,6 +13,7 @@ from quernstone.functions import addresses as X
 from quernstone.operators import contracts as K
 from quernstone.operators import county as C
 from quernstone.operators import domain as D
+from quernstone.operators import places as Z
 from quernstone.operators import preference as P
 from quernstone.operators import ranks as R
 from quernstone.operators import raster as G
@@ -249,6 +250,19 @@ def test_small_stages(spark):
         C.stations(normals, monthly.unionByName(spark.createDataFrame([("s", "01", 11.0)], monthly.schema)))
 
 
+def test_price_levels_are_checked(spark):
+    rows = [(g, n, "MARPP", "Index", k, 100.0 + k) for g, n in (('"10180"', "Abilene, TX (MSA) *"), (" 00999", "Nonmetro"), ("00000", "US")) for k in (1, 2)] + [("x", "other", "else", "?", 9, None)]
+    table = spark.createDataFrame(rows, "GeoFIPS string, GeoName string, TableName string, Unit string, LineCode int, `2024` double")
+    lines = {1: "a", 2: "b"}
+    assert sorted(map(tuple, Z.price_levels(table, "2024", lines, "00999").collect())) == [("00999", "Nonmetro", 101.0, 102.0), ("10180", "Abilene, TX (MSA)", 101.0, 102.0)]
+    bad = {"LineCode": F.lit(1), "2024": F.lit(-1.0), "Unit": F.lit("$"), "GeoName": F.lit(" "), "GeoFIPS": F.lit("1018")}
+    for c, v in bad.items():
+        with pytest.raises(K.ContractError):
+            Z.price_levels(table.withColumn(c, F.when(F.col("GeoFIPS").contains("10180"), v).otherwise(F.col(f"`{c}`"))), "2024", lines, "00999")
+    with pytest.raises(K.ContractError):
+        Z.price_levels(table, "2024", lines, "99999")
+
+
 def finished(spark):
     rows = [(f"0100{k}", 1000 * k, float(k), *[0.95] * 7, float(k), float(k), 10.0 * k, k / 10, k, 0.9, 0.1 * k, k / 5, (k % 5) / 4, 3, 1.0) for k in range(1, 6)]
     names = "county_fips string, population long, mountain_magnitude double, crime_coverage double, " + ", ".join(f"crime_{f}_coverage_{y} double" for f in ("violent", "property") for y in (2023, 2024, 2025))

@@ -118,6 +118,16 @@ def test_digest_and_fail_open(spark):
     assert out.columns == ["id", "extra", "fine"] and set(said) == {"x"} and out.count() == 2
 
 
+def test_key_relations(spark):
+    a, b = (spark.createDataFrame([(k,) for k in ks], "k int") for ks in ([1, 2, 2, None], [1, 2, 3, None]))
+    C.assert_keys(a, b, ["k"], "subset")
+    C.assert_keys(a.where("k = 2"), b.where("k = 3"), ["k"], "disjoint")
+    C.assert_keys(b, b.orderBy(F.desc("k")), ["k"], "equal")
+    for relation in ("equal", "disjoint"):
+        with pytest.raises(C.ContractError):
+            C.assert_keys(a, b, ["k"], relation)
+
+
 def test_reconciled_gaps_are_exact(spark):
     a, b = spark.createDataFrame([("x0001",), ("y0002",)], "a string"), spark.createDataFrame([("z0001",)], "b string")
     run = lambda allowed: E.reconcile_codes(a, b, F.right("a", F.lit(4)), F.right("b", F.lit(4)), allowed_missing=allowed)
