@@ -260,7 +260,7 @@ def stations(annual: DataFrame, monthly: DataFrame) -> DataFrame:
 def climate(counties: DataFrame, found: DataFrame, within: DataFrame) -> DataFrame:
     """Means over the stations inside a county. ``within``: ``station, county_fips`` (as from ``points_in_polygons``; a station in two counties fails)."""
     placed = found.join(assert_unique(within, ["station"]), "station")
-    mean = lambda c: (F.sum(F.col(c).cast("decimal(20,6)")).cast("double") / F.count("*")).alias(c)
+    mean = lambda c: (F.sum(F.col(c).cast("decimal(24,10)")).cast("double") / F.count("*")).alias(c)
     g = placed.groupBy("county_fips").agg(*[mean(c) for c in CLIMATE_MEASURES], F.count("*").alias("climate_station_count"))
     n = F.coalesce("climate_station_count", F.lit(0))
     status = F.when(n > 0, "complete_in_county_station_mean").otherwise("missing_no_qualifying_in_county_station")

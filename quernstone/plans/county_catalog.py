@@ -140,14 +140,14 @@ def county_broadband(spark, d):
 
 @query("""WITH st AS (SELECT s_suppkey AS station, s_nationkey AS county, s_acctbal AS heat, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal / 2 END AS cold, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal / 3 END AS jan, s_acctbal / 4 AS jul FROM supplier),
 g AS (SELECT county, count(*) AS n, avg(jan) AS jan, avg(jul) AS jul, avg(heat) AS heat, avg(cold) AS cold FROM st WHERE cold IS NOT NULL AND jan IS NOT NULL GROUP BY 1)
-SELECT n_nationkey AS county_fips, round(jan, 4) AS jan_avg_temp_f, round(jul, 4) AS jul_avg_temp_f, round(heat, 4) AS extreme_heat_days, round(cold, 4) AS extreme_cold_days, coalesce(n, 0)::BIGINT AS climate_station_count, CASE WHEN n > 0 THEN 'complete_in_county_station_mean' ELSE 'missing_no_qualifying_in_county_station' END AS climate_coverage_status FROM nation LEFT JOIN g ON county = n_nationkey""")
+SELECT n_nationkey AS county_fips, round(jan, 6) AS jan_avg_temp_f, round(jul, 6) AS jul_avg_temp_f, round(heat, 6) AS extreme_heat_days, round(cold, 6) AS extreme_cold_days, coalesce(n, 0)::BIGINT AS climate_station_count, CASE WHEN n > 0 THEN 'complete_in_county_station_mean' ELSE 'missing_no_qualifying_in_county_station' END AS climate_coverage_status FROM nation LEFT JOIN g ON county = n_nationkey""")
 def county_climate(spark, d):
     s, k, v = t(spark, d, "supplier"), F.col("s_suppkey"), F.col("s_acctbal")
     annual = s.select(k.alias("station"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), v.alias("heat"), F.when(k % 7 != 0, v / 2).alias("cold"))
     month = lambda m, c: s.select(k.alias("station"), F.lit(m).alias("month"), c.alias("normal"))
     found = C.stations(annual, month("01", F.when(k % 5 != 0, v / 3)).unionByName(month("07", v / 4)).unionByName(month("04", v)))
     out = C.climate(t(spark, d, "nation").select(F.col("n_nationkey").alias("county_fips")), found, s.select(k.alias("station"), F.col("s_nationkey").alias("county_fips")))
-    return out.select("county_fips", *[F.round(c, 4).alias(c) for c in C.CLIMATE_MEASURES], "climate_station_count", "climate_coverage_status")
+    return out.select("county_fips", *[r6(c, c) for c in C.CLIMATE_MEASURES], "climate_station_count", "climate_coverage_status")
 
 
 _WATER = """WITH sys AS (SELECT s_suppkey AS k, 'AA' || lpad(s_suppkey::VARCHAR, 6, '0') AS id, (s_suppkey * 37 % 5000)::DOUBLE AS people, CASE s_suppkey % 10 WHEN 0 THEN 'unknown' WHEN 1 THEN NULL ELSE 'retail' END AS class FROM supplier WHERE s_suppkey * 37 % 5000 > 0),
