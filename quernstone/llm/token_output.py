@@ -86,7 +86,7 @@ class Encoder:
     ``_cuts_pieces`` tells; with any other file the library encodes whole texts.
     """
 
-    def __init__(self, path: str, memo: int = 700_000):
+    def __init__(self, path: str, memo: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
