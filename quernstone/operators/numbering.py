@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators.contracts import ContractError
@@ -83,22 +83,41 @@ def assert_pages(inventory: DataFrame, got: DataFrame, page: str, key: str) -> N
         raise ContractError(f"page {bad.page}: {bad.status}")
 
 
-def order_faults(df: DataFrame, key: str, arrays: Sequence[str] = (), part: Column | None = None) -> DataFrame:
+def accumulated(df: DataFrame, order: Sequence[str], add: str, out: str, by: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Sums of ``add`` (not null, a decimal or whole number) over the rows up to this one in ascending ``order`` within ``by``; ``total``: the group's sum.
+
+    As ``numbered``: running sums within each written range, plus the sums of the ranges before. ``order`` must be total for
+    the sums of single rows to be defined.
+    """
+    by = list(by)
+    placed = ordered_parts(df, [*by, *order])
+    sums = written(placed.groupBy("_part", *by).agg(F.sum(add).alias("_sum")), "offsets")
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # a row for each part and group
+    before = F.coalesce(F.sum("_sum").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by], before.alias("_shift"), F.sum("_sum").over(group).alias("_total"))
+    offsets = F.broadcast(offsets) if sums.count() <= BROADCAST_OFFSETS else offsets
+    same = placed["_part"] == F.col("_p")
+    for c in by:
+        same &= placed[c].eqNullSafe(F.col(f"_by_{c}"))
+    inside = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)  # a range of the table
+    more = [F.col("_total").alias(total)] if total else []
+    return placed.withColumn("_upto", F.sum(add).over(inside)).join(offsets, same).select(*df.columns, (F.col("_upto") + F.col("_shift")).alias(out), *more)
+
+
+def order_faults(df: DataFrame, key: str, arrays: Sequence[str] = ()) -> DataFrame:
     """Rows of a stored payload that break its order: ``part, place, key, fault``, as the rows lie in the files, without a sort.
 
-    ``not_ascending``: the key isn't above the one before it in its part, or the part's first isn't above the highest key of the
-    parts before; ``null_key``; ``ragged``: ``arrays`` of a row differ in length (a null array has none). ``df`` must be read
-    from files; parts go by ``part`` (the file's name by default). Neighbours within a file meet by their places (an equi-join),
-    parts by a row each.
+    ``not_ascending``: the key isn't above the one before it, the first of a file than the last of the file before (by name);
+    ``null_key``; ``ragged``: ``arrays`` of a row differ in length (a null array has none). ``df`` must be read from files.
+    Neighbours within a file meet by their places (an equi-join), files by a row each.
     """
-    part = F.col("_metadata.file_name") if part is None else part
-    rows = df.select(part.alias("part"), F.col("_metadata.row_index").alias("place"), F.col(key).alias("key"), *[F.coalesce(F.size(c), F.lit(0)).alias(f"_s{i}") for i, c in enumerate(arrays)])
-    ends = rows.groupBy("part").agg(F.max("key").alias("_high"))
-    lower = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    ends = ends.select(F.col("part").alias("_p"), F.max("_high").over(lower).alias("_floor"))
+    name = F.col("_metadata.file_name")
+    rows = df.select(name.alias("part"), F.col("_metadata.row_index").alias("place"), F.col(key).alias("key"), *[F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(f"_s{i}") for i, c in enumerate(arrays)])
+    ends = rows.groupBy("part").agg(F.max_by("key", "place").alias("_last"))
+    ends = ends.select(F.col("part").alias("_p"), F.lag("_last").over(Window.partitionBy(F.lit(1)).orderBy("part")).alias("_floor"))  # a row for each file
     before = rows.select(F.col("part").alias("_q"), (F.col("place") + 1).alias("_next"), F.col("key").alias("_prev"))
     both = rows.join(before, (rows["part"] == F.col("_q")) & (rows["place"] == F.col("_next")), "left").join(ends, rows["part"] == F.col("_p"))
-    falls = (F.col("key") <= F.col("_prev")) | ((F.col("place") == 0) & (F.col("key") <= F.col("_floor")))
+    falls = F.col("key") <= F.when(F.col("place") == 0, F.col("_floor")).otherwise(F.col("_prev"))
     ragged = F.lit(False)
     for i in range(1, len(arrays)):
         ragged |= F.col("_s0") != F.col(f"_s{i}")
