@@ -4,9 +4,11 @@ Numbers, names (capitalised words within a sentence) and units after numbers bec
 question with other parameters keeps its template. Names and units depend on the case of the text, so every text also has
 a second form, ``UNCASED``: words without case, and only numbers as placeholders. Windows of ``WINDOW`` tokens of
 either form of every document and of every benchmark item are joined by hash. Matches of an item at one place of a
-document (one offset between the two) in one form count together; the place is contaminated if at least ``min_share`` of
-the item's windows match there and its slots are consistent: within the matched windows, equal values in the item stand
-against equal values in the document, and the other way round. What stands between or after them is the document's own.
+document in one form count together: those at one offset between the two, and also those of a chain of offsets, each less
+than the item's length from the one before (a copy with words put in or left out), where each window of the item counts
+once, at its smallest offset. A place is contaminated if at least ``min_share`` of the item's windows match there and its slots
+are consistent: within the matched windows, equal values in the item stand against equal values in the document, and the
+other way round. What stands between or after them is the document's own.
 
 Windows with fewer than ``LITERAL`` literal tokens say nothing and are left out; items shorter than a window are one
 window of their own length. Items that have no window left in one of the two forms (short questions, rows of numbers) are
@@ -23,7 +25,7 @@ an empty result; other columns are ignored (or kept, in ``clean_documents``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import Scratch, written
@@ -117,9 +119,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.25, id_col
     own = windows.select("h", "cid", "form", "width", "at")
     hits = found.join(F.broadcast(own) if fits else own, "h").select("doc_id", "th", "cid", "form", "width", (F.col("pos") - F.col("at")).alias("offset"), "at")
     # rows that repeat a document match once each: distinct windows
-    total = windows.groupBy("cid").agg(F.count("*").alias("windows"))
-    places = hits.groupBy("doc_id", "th", "cid", "form", "width", "offset").agg(F.collect_set("at").alias("ats")).withColumn("matched", F.size("ats").cast("long"))
-    places = places.join(total, "cid").withColumn("share", F.col("matched") / F.col("windows")).where(F.when(F.col("form") == PLAIN, F.col("matched") == F.col("windows")).otherwise(F.col("share") >= min_share))
+    total = windows.groupBy("cid").agg(F.count("*").alias("windows")).join(classes.select("cid", F.size("t").alias("length")), "cid")
+    place = ["doc_id", "th", "cid", "form", "width"]
+    steps = hits.groupBy(*place, "offset").agg(F.collect_set("at").alias("ats")).join(total, "cid")
+    order = Window.partitionBy("doc_id", "th", "cid").orderBy("offset")
+    apart = F.coalesce(F.col("offset") - F.lag("offset").over(order) >= F.col("length"), F.lit(False)).cast("int")
+    chains = steps.withColumn("apart", apart).withColumn("chain", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    here = F.transform("ats", lambda a: F.struct(a.alias("at"), F.col("offset").alias("by")))
+    chains = chains.groupBy(*place, "windows", "chain").agg(F.collect_list(F.struct("offset", here.alias("hits"))).alias("steps"))
+    # each offset by itself, and all of a chain together
+    union = F.array_sort(F.flatten(F.transform("steps", lambda x: x["hits"])))
+    both = chains.withColumn("all", F.when((F.size("steps") > 1) & (F.col("form") != PLAIN), union))
+    first = F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["at"] < x["at"]))
+    every = F.when(F.col("all").isNotNull(), F.array(F.struct(F.array_min(F.transform("steps", lambda x: x["offset"])).alias("offset"), first.alias("hits"))))
+    places = both.select(*place, "windows", F.explode(F.concat("steps", F.coalesce(every, F.slice("steps", 1, 0)))).alias("p"))
+    places = places.select(*place, "windows", "p.offset", "p.hits", F.size("p.hits").cast("long").alias("matched")).withColumn("share", F.col("matched") / F.col("windows"))
+    places = places.where(F.when(F.col("form") == PLAIN, F.col("matched") == F.col("windows")).otherwise(F.col("share") >= min_share))
     places = written(places, "places")
     # slots: the candidates' texts once more
     wanted = places.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")).distinct()
@@ -127,8 +142,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.25, id_col
     texts = rows.join(wanted, F.expr("th = w_th and doc_id <=> w_id"), "left_semi").groupBy("doc_id", "th").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("d_id"), F.col("th").alias("d_th"), marked_tokens(F.col("text")).alias("words"))
     both = places.join(texts, F.expr("th = d_th and doc_id <=> d_id")).join(classes.select("cid", "item_id", "marked"), "cid")
     # only positions within matched windows
-    covered = F.expr("array_distinct(flatten(transform(ats, a -> sequence(a, a + width - 1))))")
-    pairs = F.expr("""transform(array(struct(marked as m, words as w)), z -> array_distinct(filter(transform(covered, i -> struct(get(z.m, i - 1) as x, get(z.w, i - 1 + offset) as y)),
+    covered = F.expr("array_distinct(flatten(transform(hits, a -> transform(sequence(a.at, a.at + width - 1), i -> struct(i, a.by)))))")
+    pairs = F.expr("""transform(array(struct(marked as m, words as w)), z -> array_distinct(filter(transform(covered, c -> struct(get(z.m, c.i - 1) as x, get(z.w, c.i - 1 + c.by) as y)),
         p -> p.x < '\u0004' and p.y < '\u0004' and left(p.x, 1) = left(p.y, 1) and (form = 0 or form = 1 and left(p.x, 1) = '\u0002'))))[0]""")
     both = both.withColumn("covered", covered).withColumn("pairs", pairs).where(_consistent(F.col("pairs")))
     # one row for a place: the form with the greater share, the typed one if they are equal

@@ -315,10 +315,16 @@ def brute_leaks(texts, items, min_share=0.25):
                 for a in ats:
                     for p in where.get(tuple(t[a : a + w]), ()):
                         places[p - a].add(a)
-                for offset, got in places.items():
-                    if len(got) < (len(ats) if form == 2 else min_share * len(ats)):
+                tried, chain, last = [{a: offset for a in got} for offset, got in places.items()], {}, None
+                for offset in sorted(places):  # neighbouring offsets together, each window at its smallest
+                    if last is not None and offset - last >= len(m):
+                        tried.append(chain)
+                        chain = {}
+                    chain, last = {a: offset for a in places[offset]} | chain, offset
+                for got in [*tried, chain] if form < 2 else tried:
+                    if not got or len(got) < (len(ats) if form == 2 else min_share * len(ats)):
                         continue
-                    slots = {(m[j], dm[j + offset]) for a in got for j in range(a, a + w) if m[j] < "\x04" and dm[j + offset][0] == m[j][0] and (form == 0 or form == 1 and m[j][0] == "\x02")}
+                    slots = {(m[j], dm[j + k]) for a, k in got.items() for j in range(a, a + w) if m[j] < "\x04" and dm[j + k][0] == m[j][0] and (form == 0 or form == 1 and m[j][0] == "\x02")}
                     if len({x for x, _ in slots}) == len({y for _, y in slots}) == len(slots):
                         out[i].add(item)
     return dict(out)
@@ -331,6 +337,7 @@ def test_contaminated_equals_brute_force(spark):
     kinds = {
         "upper": str.upper, "lower": str.lower, "numbers": lambda t: re.sub(r"[0-9]+", lambda m: str(int(m[0]) * 7 + 3), t), "half": lambda t: " ".join(t.split()[: len(t.split()) * 6 // 10]) + " " + prose(5, 30),
         "word": lambda t: " ".join(w if k != len(t.split()) // 2 else "other" for k, w in enumerate(t.split())),
+        "spread": lambda t: " ".join(f"{w} qqxx{k}" if k % 12 == 11 else w for k, w in enumerate(t.split())),
     }
     edits = [(k, item, prose(rng.randrange(999), 60) + ". " + edit(text) + ". " + prose(rng.randrange(999), 60)) for k, edit in kinds.items() for item, text in bench]
     texts = [*docs, *[t for *_, t in edits], None, "", *[prose(3000 + k, 80) for k in range(50)]]
@@ -342,6 +349,19 @@ def test_contaminated_equals_brute_force(spark):
     assert not [i for i in got if i >= len(docs) + len(edits)]
 
 
+def test_contaminated_with_words_put_in(spark):
+    """A whole item with a foreign word after every few words, or every few words left out, over many offsets."""
+    item = prose(77, 100)
+    words = item.split()
+    put = lambda n: " ".join(f"{w} foreign{k}" if k % n == n - 1 else w for k, w in enumerate(words))
+    left = lambda n: " ".join(w for k, w in enumerate(words) if k % n != n - 1)
+    texts = [put(n) for n in (20, 25, 33, 50)] + [left(n) for n in (20, 25)] + [put(6), " ".join(words[:20]), " ".join(words[40:56]) + " " + prose(3, 150) + " " + " ".join(words[:16])]
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = {r.doc_id: r.best_share for r in contaminated(frame(spark, texts), bench).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5}  # short quotations, and pieces too far apart, stay below the share
+    assert got[0] > 0.6 and got[1] > 0.7
+
+
 def test_contaminated_classes_and_nulls(spark):
     """A template with many fillings is one class; rows and items without ids."""
     say = "A farmer sells {} apples and {} pears at the market and then buys {} plums from a trader there"
