@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.scalars import half_even
+from quernstone.operators.quantiles import exact_quantiles
 
 
 def weighted_means(df: DataFrame, by: Sequence[str], weight: str, columns: dict[str, int]) -> DataFrame:
@@ -74,4 +75,6 @@ def calendar_window(df: DataFrame, month: str, months: int = 12) -> DataFrame:
 
 def trailing_medians(df: DataFrame, key: str, month: str, value: str, months: int = 12) -> DataFrame:
     """Per key over the ``months`` calendar months that end with the latest month of the table: median and months seen."""
-    return calendar_window(df, month, months).groupBy(key).agg(F.median(value).alias("median"), F.count_distinct(month).alias("months"))
+    rows = calendar_window(df, month, months)
+    seen = rows.groupBy(F.col(key).alias("_key")).agg(F.count_distinct(month).alias("months"))
+    return exact_quantiles(rows, value, {"median": 0.5}, by=[key]).join(seen, F.col(key).eqNullSafe(F.col("_key"))).select(key, "median", "months")

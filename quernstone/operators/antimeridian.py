@@ -60,7 +60,7 @@ def cut_rings(features: DataFrame, key: str, ring: str) -> DataFrame:
     pole; parts of fewer than three points are left out. Concave rings that cross several times give a part
     a side, joined along the antimeridian; areas add up to the ring's.
     """
-    u = unwrapped(features, key, ring)
+    u = unwrapped(features.where(F.size(ring) >= 3), key, ring)
     u = u.withColumns({"low": F.array_min(F.transform("u", lambda p: p["x"])), "high": F.array_max(F.transform("u", lambda p: p["x"]))})
     u = u.withColumn("u", F.when(F.col("low") < -180, _moved(F.col("u"), 360.0)).otherwise(F.col("u"))).withColumn("crosses", (F.col("low") < -180) | (F.col("high") > 180))
     west, east = _side(F.col("u"), 180.0, True), _moved(_side(F.col("u"), 180.0, False), -360.0)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.scalars import all_of, finite, overlaps, weighted_utility, zfill
 from quernstone.operators.contracts import ContractError, assert_none, assert_unique, join_preserving
 from quernstone.operators.ranks import ecdfs
+from quernstone.sources.shared import written
 
 CRIME_FLOOR = WATER_FLOOR = 0.90
 #: Families of offences to (short name, share of the crime utility).
@@ -268,9 +269,14 @@ def climate(counties: DataFrame, found: DataFrame, within: DataFrame) -> DataFra
 
 
 def assemble(base: DataFrame, stages: Sequence[DataFrame]) -> DataFrame:
-    """All stages joined on the county, one to one, nobody added or lost."""
+    """All stages joined on the county, one to one, nobody added or lost.
+
+    Base and stages are written once each and checked as written, so a stage's work is done once, however many stages there are.
+    """
+    base = assert_unique(written(base, "counties"), ["county_fips"])
     for stage in stages:
-        base = join_preserving(base, stage, ["county_fips"], "1:1")
+        # the left keys are unique already, and a left join with unique keys keeps them so
+        base = join_preserving(base, written(stage, "stage"), ["county_fips"])
     return base
 
 

@@ -106,6 +106,6 @@ def assign_price_levels(counties: DataFrame, metro_of: DataFrame, levels: DataFr
 
 
 def inherit_price_levels(tracts: DataFrame, assigned: DataFrame) -> DataFrame:
-    """The county's level for each tract; without a county it is unmatched."""
-    rows = assert_unique(tracts.select("tract_id"), ["tract_id"]).withColumn("county_fips", F.left("tract_id", F.lit(5)))
+    """The county's level for each tract, whose code is the county's and six digits; without a county it is unmatched."""
+    rows = assert_unique(tracts.select("tract_id"), ["tract_id"]).withColumn("county_fips", F.left("tract_id", F.length("tract_id") - 6))
     return join_preserving(rows, assigned, ["county_fips"]).withColumn("coverage_status", F.coalesce("coverage_status", F.lit("unmatched_geography")))

@@ -50,8 +50,9 @@ def _exact(df: DataFrame, value: str, quantiles: dict[str, float], by: list[str]
     if n_large:
         keys = _sized(renamed(large.select(*by)))
         small_rows = rows.join(keys, _same(by), "left_anti")
+        rows = rows.where("_v is not null")
         if n_large < sizes.count():
-            rows = written(rows.where("_v is not null").join(keys, _same(by), "left_semi"), "large")
+            rows = written(rows.join(keys, _same(by), "left_semi"), "large")
     else:
         small_rows = rows
     # bounded by `most` values a group

@@ -10,18 +10,20 @@ several columns in one pass.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.sources.shared import written
 
 BUCKETS = 64
-#: Points that are compared with each other at a time.
-BLOCK = 2048
+#: Points that are compared with each other at a time, and blocks of fronts that are compared in pairs.
+BLOCK, BLOCKS = 2048, 4096
 
 
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
@@ -185,15 +187,17 @@ def _dominated(points: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def pareto_flags(df: DataFrame, key: str, dimensions: Sequence[str], out: str = "pareto") -> DataFrame:
-    """True for rows that no other row dominates (at least as high everywhere, higher somewhere); equals both stay.
+    """True for rows that no other row dominates (at least as high everywhere, higher somewhere); equals both stay, rows with a null are false.
 
     Rows are reduced to distinct points and to the front of each partition (a point dominated anywhere is dominated in the
-    whole). The fronts, cut into blocks of ``BLOCK`` points, are compared block with block, each pair in a task's batch,
-    and only pairs whose bounds allow dominance: no task holds all fronts, also where every row is in one.
+    whole). The fronts are dealt again in order of their sums and cut into blocks, each reduced to its own front; blocks then meet by
+    id where their bounds allow dominance, a pair of blocks in a call. There are about ``BLOCKS`` blocks at most (larger ones, of
+    fronts of over ``BLOCK * BLOCKS`` points), so the table of bounds is small whatever the size; no task holds all fronts, also where every
+    row is in one.
     """
     dims = list(dimensions)
     points = df.select(*[F.col(c).cast("double").alias(c) for c in dims]).dropna().distinct()
-    kind = ", ".join(f"{c} double" for c in dims)
+    kind = ", ".join(f"`{c}` double" for c in dims)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         front = np.zeros((0, len(dims)))
@@ -202,28 +206,40 @@ def pareto_flags(df: DataFrame, key: str, dimensions: Sequence[str], out: str =
             front = both[_front(both)]
         yield pd.DataFrame(front, columns=dims)
 
+    fronts = written(points.mapInPandas(local, kind), "fronts")
+    size = max(BLOCK, -(-fronts.count() // BLOCKS))
+
     def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, made, held = TaskContext.get().partitionId(), 0, np.zeros((0, len(dims)))
+        for pdf in itertools.chain(batches, [None]):
+            held = held if pdf is None else np.concatenate([held, pdf.to_numpy(float)])
+            while len(held) >= size or (pdf is None and len(held)):
+                x, held = held[:size], held[size:]
+                x = np.ascontiguousarray(x[_front(x)])
+                yield pd.DataFrame({"id": [(part << 32) + made], "points": [x.tobytes()], "low": [x.min(0).tolist()], "high": [x.max(0).tolist()]})
+                made += 1
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), BLOCK):
-                x = np.ascontiguousarray(pdf.iloc[at : at + BLOCK].to_numpy(float))
-                yield pd.DataFrame({"points": [x.tobytes()], "low": [x.min(0).tolist()], "high": [x.max(0).tolist()]})
+            for p in pdf.points:
+                yield pd.DataFrame(np.frombuffer(p).reshape(-1, len(dims)), columns=dims)
 
-    def losers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, b in zip(pdf.points, pdf.others, strict=True):
-                x, y = (np.frombuffer(v).reshape(-1, len(dims)) for v in (a, b))
-                yield pd.DataFrame(x[_dominated(x, y)], columns=dims)
+    def losers(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.frombuffer(pdf[c].iloc[0]).reshape(-1, len(dims)) for c in ("points", "others"))
+        return pd.DataFrame(x[_dominated(x, y)], columns=dims)
 
     # in order of sums, blocks at the top dominate many of those below and few above
-    fronts = written(points.mapInPandas(local, kind), "fronts")
     ordered = fronts.repartitionByRange(sum((F.col(c) for c in dims[1:]), F.col(dims[0])).desc())
-    blocks = ordered.mapInPandas(blocked, "points binary, low array<double>, high array<double>").withColumn("id", F.xxhash64("points"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    may = F.expr("x.id <> y.id and forall(arrays_zip(x.low, y.high), p -> p.high >= p.low)")
-    pairs = x.join(y, may).select(F.col("x.points").alias("points"), F.col("y.points").alias("others"))
-    gone = pairs.repartition("points").mapInPandas(losers, kind).distinct()
-    best = fronts.join(gone.withColumnsRenamed({c: f"_{c}" for c in dims}), F.expr(" and ".join(f"{c} = _{c}" for c in dims)), "left_anti")
-    # two fronts may hold no equal points: points are distinct
+    blocks = written(ordered.mapInPandas(blocked, "id bigint, points binary, low array<double>, high array<double>"), "blocks")
+    bounds = blocks.select("id", "low", "high")
+    other = bounds.withColumnsRenamed({c: f"o_{c}" for c in bounds.columns})
+    other = F.broadcast(other) if blocks.count() <= 4 * BLOCKS else other
+    pairs = bounds.join(other, F.expr("id <> o_id and forall(arrays_zip(low, o_high), p -> p.o_high >= p.low)")).select("id", "o_id")
+    both = pairs.join(blocks.select("id", "points"), "id").join(blocks.select(F.col("id").alias("o_id"), F.col("points").alias("others")), "o_id")
+    gone = both.groupBy("id", "o_id").applyInPandas(losers, kind).distinct()
+    inside = blocks.select("points").mapInPandas(unpacked, kind)
+    best = inside.join(gone.withColumnsRenamed({c: f"_{c}" for c in dims}), F.expr(" and ".join(f"`{c}` = `_{c}`" for c in dims)), "left_anti")
+    # two blocks hold no equal points: points are distinct
     best = best.withColumnsRenamed({c: f"_{c}" for c in dims}).withColumn("_best", F.lit(True))
     same = F.expr(" and ".join(f"cast(`{c}` as double) = `_{c}`" for c in dims))
     return df.join(best, same, "left").select(*df.columns, F.coalesce("_best", F.lit(False)).alias(out))

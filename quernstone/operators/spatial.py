@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.operators.contracts import ContractError
@@ -14,20 +16,41 @@ from quernstone.operators.contracts import ContractError
 BROADCAST_POINTS = 1_000_000
 
 
-def _cells(low: Column, high: Column, cell: float) -> Column:
-    return F.sequence(F.floor(low / cell), F.floor(high / cell))
-
-
 def bbox_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """Pairs of boxes that meet (edges included): both sides have ``x0, y0, x1, y1`` prefixed ``l_`` or ``r_``.
 
-    A pair that shares several cells is found in the first of them only.
+    Boxes may be of any size. Each is put into the cells of the grid whose cells are at least as wide as its longer side (``cell``
+    times a power of two, ``cell`` at least), which are four at most. Two boxes meet on the coarser of their grids: each side is also entered, by the
+    cells of its own box, on the coarser grids that the other side has (a grid for each power of two, so few). A pair that shares several cells
+    is found in the first of them only. Boxes with a null meet nothing.
     """
-    cut = lambda df, s: df.withColumn("_cx", F.explode(_cells(F.col(f"{s}x0"), F.col(f"{s}x1"), cell))).withColumn("_cy", F.explode(_cells(F.col(f"{s}y0"), F.col(f"{s}y1"), cell)))
-    both = cut(left, "l_").join(cut(right, "r_"), ["_cx", "_cy"])
+    sides = {"l_": left, "r_": right}
+    level = {s: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(f"{s}x1") - F.col(f"{s}x0"), F.col(f"{s}y1") - F.col(f"{s}y0")) / cell))).cast("int") for s in sides}
+    level = {s: F.coalesce(c, F.lit(0)) for s, c in level.items()}  # the logarithm of 0, a point, is null
+    whole = {s: F.expr(f"{s}x0 is not null and {s}y0 is not null and {s}x1 is not null and {s}y1 is not null") for s in sides}
+    own = {s: df.where(whole[s]).withColumn("_level", level[s]) for s, df in sides.items()}
+    # one number for each power of two that occurs
+    there = {s: sorted(r._level for r in df.select("_level").distinct().collect()) for s, df in own.items()}
+
+    def entered(s: str, other: str, strict: bool) -> DataFrame:
+        """Entries on the levels of the other side that are above the box's own (or equal to it)."""
+        up = F.array(*[F.lit(k) for k in there[other]]) if there[other] else F.array().cast("array<int>")
+        on = F.filter(up, lambda k: (k > F.col("_level")) if strict else (k >= F.col("_level")))
+        return own[s].withColumn("_on", F.explode(on))
+
+    def cells(df: DataFrame, s: str) -> DataFrame:
+        size = F.pow(F.lit(2.0), F.col("_on")) * cell
+        span = lambda a: F.explode(F.sequence(F.floor(F.col(f"{s}{a}0") / size), F.floor(F.col(f"{s}{a}1") / size)))
+        return df.withColumn("_cx", span("x")).withColumn("_cy", span("y")).drop("_level")
+
     meet = F.expr("l_x0 <= r_x1 and r_x0 <= l_x1 and l_y0 <= r_y1 and r_y0 <= l_y1")
-    first = (F.col("_cx") == F.greatest(F.floor(F.col("l_x0") / cell), F.floor(F.col("r_x0") / cell))) & (F.col("_cy") == F.greatest(F.floor(F.col("l_y0") / cell), F.floor(F.col("r_y0") / cell)))
-    return both.where(meet & first).drop("_cx", "_cy")
+    size = F.pow(F.lit(2.0), F.col("_on")) * cell
+    first = (F.col("_cx") == F.greatest(F.floor(F.col("l_x0") / size), F.floor(F.col("r_x0") / size))) & (F.col("_cy") == F.greatest(F.floor(F.col("l_y0") / size), F.floor(F.col("r_y0") / size)))
+    at_own = {s: cells(df.withColumn("_on", F.col("_level")), s) for s, df in own.items()}
+    # the left box's level is at least the right one's, or below it
+    found = [at_own["l_"].join(cells(entered("r_", "l_", False), "r_"), ["_on", "_cx", "_cy"]), cells(entered("l_", "r_", True), "l_").join(at_own["r_"], ["_on", "_cx", "_cy"])]
+    columns = [*left.columns, *right.columns]
+    return functools.reduce(DataFrame.unionAll, [f.where(meet & first).select(*columns) for f in found])
 
 
 def inside(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:

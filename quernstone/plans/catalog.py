@@ -14,6 +14,7 @@ from quernstone.operators import enrich as E
 from quernstone.operators import ranks as R
 from quernstone.operators import raster as G
 from quernstone.operators import scores as P
+from quernstone.operators.quantiles import exact_quantiles
 from quernstone.sources.store import Page, Store
 from quernstone.streaming.windows import windowed_counts
 
@@ -110,14 +111,16 @@ def cumulative_distinct(spark, d):
 
 # row aggregates and the ensemble
 
-_LISTS = """WITH o AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY value DESC) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n
-  FROM events WHERE value BETWEEN 0 AND 100)"""
+_LISTS = """WITH o AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY v DESC) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n
+  FROM (SELECT user_id, least(greatest(value, 0), 100) AS v FROM events WHERE value IS NOT NULL))"""
 
 
 @query(_LISTS + """ SELECT user_id, round(sum(v * exp(-0.45 * i)) / sum(exp(-0.45 * i)), 6) AS spectral,
   round(sum(CASE WHEN i < ceil(n * 0.25) THEN v END) / max(ceil(n * 0.25)), 6) AS worst, round(100 * pow(avg(pow(v / 100, 4)), 0.25), 6) AS power FROM o GROUP BY user_id""")
 def hazard_row_aggregates(spark, d):
-    e = t(spark, d, "events").where("value between 0 and 100").groupBy("user_id").agg(F.collect_list("value").alias("v"))
+    """Values beyond the scale count as its end."""
+    bounded = F.least(F.greatest("value", F.lit(0.0)), F.lit(100.0))
+    e = t(spark, d, "events").where("value is not null").groupBy("user_id").agg(F.collect_list(bounded).alias("v"))
     v = F.col("v")
     return e.select("user_id", r6(S.spectral(v), "spectral"), r6(S.worst_mean(v), "worst"), r6(S.power_mean(v), "power"))
 
@@ -222,7 +225,9 @@ def half_even_base(spark, d):
   round(quantile_cont(p_retailprice, 0.5), 6) AS p50, round(quantile_cont(p_retailprice, 0.95), 6) AS p95 FROM part GROUP BY 1""")
 def conditional_counts_quantiles(spark, d):
     p = t(spark, d, "part")
-    return p.groupBy("p_brand").agg(F.count_if(F.col("p_size") < 10).alias("small"), F.count_if(F.col("p_type") == "ECONOMY").alias("economy"), r6(F.percentile("p_retailprice", F.lit(0.5)), "p50"), r6(F.percentile("p_retailprice", F.lit(0.95)), "p95"))
+    counts = A.conditional_counts(p, ["p_brand"], {"small": F.col("p_size") < 10, "economy": F.col("p_type") == "ECONOMY"})
+    prices = exact_quantiles(p, "p_retailprice", {"p50": 0.5, "p95": 0.95}, by=["p_brand"]).select(F.col("p_brand").alias("_b"), r6("p50", "p50"), r6("p95", "p95"))
+    return counts.join(prices, F.expr("p_brand <=> _b")).drop("_b")
 
 
 @query("""SELECT l_orderkey, min(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS q1, min(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS q2, min(CASE WHEN l_linenumber = 3 THEN l_quantity END) AS q3,
@@ -478,7 +483,8 @@ def terrain_windows(spark, d):
     return G.sample_tiles(_tiles(spark, d), blocks, 1000.0).select("block", *[r6(o, o) for o in shown])
 
 
-@query("""SELECT c_nationkey, count(*)::BIGINT AS n, sha256(string_agg(c_custkey::VARCHAR, chr(10) ORDER BY c_custkey::VARCHAR) || chr(10)) AS ids_sha256, sha256(string_agg(c_custkey::VARCHAR || '|' || c_mktsegment, chr(10) ORDER BY c_custkey::VARCHAR || '|' || c_mktsegment) || chr(10)) AS samples_sha256 FROM customer GROUP BY 1""")
+@query("""SELECT c_nationkey, count(*)::BIGINT AS n, sha256(count(*) || ',' || sum(('0x' || i[1:16])::UBIGINT)::VARCHAR || ',' || sum(('0x' || i[17:32])::UBIGINT)::VARCHAR || ',' || sum(('0x' || i[33:48])::UBIGINT)::VARCHAR || ',' || sum(('0x' || i[49:64])::UBIGINT)::VARCHAR) AS ids_sha256, sha256(count(*) || ',' || sum(('0x' || s[1:16])::UBIGINT)::VARCHAR || ',' || sum(('0x' || s[17:32])::UBIGINT)::VARCHAR || ',' || sum(('0x' || s[33:48])::UBIGINT)::VARCHAR || ',' || sum(('0x' || s[49:64])::UBIGINT)::VARCHAR) AS samples_sha256
+FROM (SELECT c_nationkey, sha256(c_custkey::VARCHAR) AS i, sha256(c_custkey::VARCHAR || '|' || c_mktsegment) AS s FROM customer) GROUP BY 1""")
 def tile_digests(spark, d):
     return G.tile_digests(t(spark, d, "customer"), ["c_nationkey"], "c_custkey", ["c_mktsegment"])
 

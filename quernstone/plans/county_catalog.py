@@ -61,9 +61,9 @@ def ranked_places(spark, d):
 # county measures
 
 
-@query("""SELECT lpad(c_nationkey::VARCHAR, 2, '0') || lpad(c_custkey::VARCHAR, 3, '0') AS county_fips, (c_acctbal * 10)::BIGINT AS population FROM customer WHERE c_custkey < 1000 AND c_mktsegment <> 'MACHINERY' AND c_nationkey < 20""")
+@query("""SELECT lpad(c_nationkey::VARCHAR, 2, '0') || CASE WHEN c_custkey < 100 THEN lpad(c_custkey::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END AS county_fips, (c_acctbal * 10)::BIGINT AS population FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_nationkey < 20""")
 def county_population(spark, d):
-    pep = t(spark, d, "customer").where("c_custkey < 1000").select(F.when(F.col("c_mktsegment") != "MACHINERY", "050").otherwise("040").alias("SUMLEV"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("STATE"), F.col("c_custkey").cast("string").alias("COUNTY"), F.rint(F.col("c_acctbal") * 10).alias("E"))
+    pep = t(spark, d, "customer").select(F.when(F.col("c_mktsegment") != "MACHINERY", "050").otherwise("040").alias("SUMLEV"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("STATE"), F.col("c_custkey").cast("string").alias("COUNTY"), F.rint(F.col("c_acctbal") * 10).alias("E"))
     return C.population(pep, [f"{k:02d}" for k in range(20)], "2025", "E").select("county_fips", "population")
 
 
@@ -132,9 +132,9 @@ def county_employment(spark, d):
     return out.select("county_fips", r6("employment_growth", "employment_growth"), F.round("average_weekly_wage", 2).alias("average_weekly_wage"), r6("commute_under_30_share", "commute_under_30_share"), "employment_status")
 
 
-@query("""SELECT lpad(p_partkey::VARCHAR, 5, '0') AS county_fips, (p_size - 5) / 40 AS broadband_100_20, CASE WHEN p_size BETWEEN 5 AND 45 THEN 'complete' ELSE 'missing_or_invalid' END AS broadband_status FROM part WHERE p_type = 'ECONOMY' AND p_partkey < 100000""")
+@query("""SELECT CASE WHEN p_partkey < 10000 THEN lpad(p_partkey::VARCHAR, 5, '0') ELSE p_partkey::VARCHAR END AS county_fips, (p_size - 5) / 40 AS broadband_100_20, CASE WHEN p_size BETWEEN 5 AND 45 THEN 'complete' ELSE 'missing_or_invalid' END AS broadband_status FROM part WHERE p_type = 'ECONOMY'""")
 def county_broadband(spark, d):
-    p = t(spark, d, "part").where("p_partkey < 100000").select(F.lit("Total").alias("area_data_type"), F.lit("County").alias("geography_type"), F.col("p_partkey").cast("string").alias("geography_id"), F.when(F.col("p_type") == "ECONOMY", "Any Terrestrial").otherwise("Fiber").alias("technology"), F.lit("R").alias("biz_res"), ((F.col("p_size") - 5) / 40).cast("string").alias("speed_100_20"))
+    p = t(spark, d, "part").select(F.lit("Total").alias("area_data_type"), F.lit("County").alias("geography_type"), F.col("p_partkey").cast("string").alias("geography_id"), F.when(F.col("p_type") == "ECONOMY", "Any Terrestrial").otherwise("Fiber").alias("technology"), F.lit("R").alias("biz_res"), ((F.col("p_size") - 5) / 40).cast("string").alias("speed_100_20"))
     return C.broadband(p).select("county_fips", "broadband_100_20", "broadband_status")
 
 
@@ -262,12 +262,12 @@ def price_levels(spark, d):
     return _levels(spark, d)
 
 
-_ASSIGNED = """WITH c AS (SELECT lpad(c_nationkey::VARCHAR, 2, '0') || lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS county, c_nationkey AS st, c_custkey % 40 AS metro FROM customer WHERE c_custkey < 1000)"""
+_ASSIGNED = """WITH c AS (SELECT lpad(c_nationkey::VARCHAR, 2, '0') || lpad(c_custkey::VARCHAR, 12, '0') AS county, c_nationkey AS st, c_custkey % 40 AS metro FROM customer)"""
 
 
 def _assigned(spark, d, **how):
     k, n = F.col("c_custkey"), F.col("c_nationkey")
-    c = t(spark, d, "customer").where("c_custkey < 1000").select(F.concat(F.lpad(n.cast("string"), 2, "0"), F.lpad((k % 1000).cast("string"), 3, "0")).alias("county_fips"), F.lpad((k % 40).cast("string"), 5, "0").alias("cbsa_id"))
+    c = t(spark, d, "customer").select(F.concat(F.lpad(n.cast("string"), 2, "0"), F.lpad(k.cast("string"), 12, "0")).alias("county_fips"), F.lpad((k % 40).cast("string"), 5, "0").alias("cbsa_id"))
     return L.assign_price_levels(c, c, _levels(spark, d), "98765", [f"{x:02d}" for x in range(20)], ["20", "21"], **how)
 
 

@@ -77,16 +77,22 @@ def key_ranges(ix0: int, iy0: int, ix1: int, iy1: int, most: int = 8) -> list[tu
     edge = [(x, y, b) for x, y, b in edge if not (x > ix1 or y > iy1 or x + (1 << b) <= ix0 or y + (1 << b) <= iy0)]
     at = lambda x, y: sum(((x >> k & 1) << (2 * k)) | ((y >> k & 1) << (2 * k + 1)) for k in range(BITS))
     ranges = sorted((at(x, y), at(x, y) + (1 << (2 * b)) - 1) for x, y, b in whole + edge)
-    merged: list[tuple[int, int]] = []
-    for low, high in ranges:
-        if merged and low == merged[-1][1] + 1:
-            merged[-1] = (merged[-1][0], high)
+    found = merged(ranges)
+    while len(found) > most:  # the smallest gap closes
+        k = min(range(len(found) - 1), key=lambda i: found[i + 1][0] - found[i][1])
+        found[k : k + 2] = [(found[k][0], found[k + 1][1])]
+    return found
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(ranges):
+        if out and low <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
         else:
-            merged.append((low, high))
-    while len(merged) > most:  # the smallest gap closes
-        k = min(range(len(merged) - 1), key=lambda i: merged[i + 1][0] - merged[i][1])
-        merged[k : k + 2] = [(merged[k][0], merged[k + 1][1])]
-    return merged
+            out.append((low, high))
+    return out
 
 
 def search(spark: SparkSession, path: str, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
@@ -99,7 +105,7 @@ def search(spark: SparkSession, path: str, x0: float, y0: float, x1: float, y1:
     (lx, ly, hx, hy), (a, b, c, d) = meta["domain"], meta["box"]
     rows = spark.read.parquet(f"{path}/rows")
     spans = [(x0, x1)] if x0 <= x1 else [(x0, math.inf), (-math.inf, x1)]
-    near, exact = F.lit(False), F.lit(False)
+    near, exact, every = F.lit(False), F.lit(False), []
     clip = lambda v, low, high: int(min(max(math.floor((v - low) / _step(low, high)), 0), (1 << BITS) - 1)) if math.isfinite(v) else (0 if v < 0 else (1 << BITS) - 1)
     levels = [k for k in meta["levels"] if k >= 0]
     most = max(1, min(16, RANGES // max(1, len(levels) * len(spans))))
@@ -109,6 +115,11 @@ def search(spark: SparkSession, path: str, x0: float, y0: float, x1: float, y1:
             reach = (clip(west - back * _step(lx, hx), lx, hx), clip(y0 - back * _step(ly, hy), ly, hy), clip(east, lx, hx), clip(y1, ly, hy))
             for low, high in key_ranges(*reach, most):
                 zones = [low >> 2 * (BITS - ZONE_BITS), high >> 2 * (BITS - ZONE_BITS)]
+                every.append((low, high))
                 near |= (F.col("level") == level) & F.col("zone").between(*zones) & F.col("z").between(low, high)
         exact |= (F.col(a) <= east) & (F.col(c) >= west)
-    return rows.where(near & exact & (F.col(b) <= y1) & (F.col(d) >= y0)).drop("level", "zone", "z")
+    # once more without folders, which the scan can't test: this form is what reaches the Parquet readers
+    keys = F.lit(False)
+    for low, high in merged(every):
+        keys |= F.col("z").between(low, high)
+    return rows.where(keys & near & exact & (F.col(b) <= y1) & (F.col(d) >= y0)).drop("level", "zone", "z")
