@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.scalars import any_of, finite, weighted_utility
 from quernstone.operators.ranks import competition_rank, pareto_flags
 from quernstone.operators.scores import first_failing
+from quernstone.sources.shared import written
 
 #: Pillars in their order, presets in the same order, floors (fixed values).
 PILLARS = ("safety", "health", "affordability", "opportunity", "lifestyle", "family")
@@ -176,6 +177,8 @@ def evaluate_places(candidates: DataFrame, o: Options | None = None, key: str =
     rows = rows.withColumn("reason", F.coalesce("_a", F.when(F.col("_a").isNull(), first_failing(later))))
     rows = rows.withColumn("_left", F.when(F.col("reason").isNull(), F.col("_active"))).withColumns({f"_u_{p}": F.when(F.col("reason").isNull(), c) for p, c in u.items()})
     rows = rows.select(key, F.col("_active").alias("active_value"), F.col("reason").isNull().alias("eligible"), "reason", "_left", *[f"_u_{p}" for p in PILLARS])
+    # written once: two ranks and the front read it, and none of them evaluates reasons and scores again
+    rows = written(rows, "evaluated")
     rows = competition_rank(competition_rank(rows, "active_value", "national_rank"), "_left", "filtered_rank")
     if custom:
         rows = pareto_flags(rows, key, [f"_u_{p}" for p in PILLARS], "_best").withColumn("pareto_optimal", F.when(F.col("eligible"), F.col("_best")))

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quernstone.plans import county_catalog, domain_catalog, field_catalog  # noqa: F401
+from quernstone.plans import composed_catalog, county_catalog, domain_catalog, field_catalog  # noqa: F401
 from quernstone.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
