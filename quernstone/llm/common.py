@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.sources.shared import Scratch, drop_written, new_path, shared_dir, written
 
-__all__ = ["Scratch", "ascii_lower", "drop_written", "new_path", "row_key", "shared_dir", "table", "written"]
+__all__ = ["Scratch", "ascii_lower", "drop_written", "lean", "new_path", "row_key", "shared_dir", "table", "written"]
 
 def row_key(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__file, __row``: file and place of each row, two numbers that no other row has.
@@ -29,3 +34,16 @@ def ascii_lower(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of a ``mapInArrow``, which hands memory that its task has freed back to the system: workers outlive tasks and stages."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+
+    return task

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import drop_written, written
+from quernstone.llm.common import drop_written, lean, written
 from quernstone.llm.components import components
 from quernstone.llm.shingles import minhash, multipliers, shingle_sets
 
@@ -134,12 +134,12 @@ def _pairs_of(bucketed: DataFrame, per_cent: int) -> DataFrame:
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     sig = reps.select("id", "sig")
     joined = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(_differing, "a bigint, b bigint")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(lean(_differing), "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     joined = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "xb"}), "b")
-    return joined.select("a", "b", "xa", "xb").mapInArrow(_confirm(per_cent), "a bigint, b bigint")
+    return joined.select("a", "b", "xa", "xb").mapInArrow(lean(_confirm(per_cent)), "a bigint, b bigint")
 
 
 def _prefix_pairs(sets: DataFrame, comps: DataFrame, per_cent: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _prefix_pairs(sets: DataFrame, comps: DataFrame, per_cent: int) -> DataFrame
     left from there on (``at`` counts what came before), and a pair whose rest is too short is out. Sizes are classed by
     powers of 100 / ``per_cent``; pairs lie in one class or in two that follow each other.
     """
-    postings = written(sets.join(comps.select("id"), "id", "left_semi").mapInArrow(_posting, "id bigint, shingle bigint"), "postings")
+    postings = written(sets.join(comps.select("id"), "id", "left_semi").mapInArrow(lean(_posting), "id bigint, shingle bigint"), "postings")
     often = postings.groupBy("shingle").agg(F.count("*").alias("df"))
     ranked = postings.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     size = F.size("s")
@@ -175,11 +175,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(text_col)
     unnamed = F.xxhash64(text).bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("doc_id"), text.alias("text"))
-    sketches = written(rows.mapInArrow(_sketch(width, multipliers(SYMBOLS)), "doc_id bigint, n bigint, digest binary, sig binary"), "sketches")
+    sketches = written(rows.mapInArrow(lean(_sketch(width, multipliers(SYMBOLS))), "doc_id bigint, n bigint, digest binary, sig binary"), "sketches")
     classes = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("id"), "n", "sig")).alias("r"))
     reps = written(classes.select("digest", "r.id", "r.n", "r.sig"), "classes")
 
-    keys = reps.select("id", "n", "sig").mapInArrow(_keys, "key bigint, id bigint, n bigint")
+    keys = reps.select("id", "n", "sig").mapInArrow(lean(_keys), "key bigint, id bigint, n bigint")
     shared = written(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1"), "buckets")
     members = written(keys.join(shared, "key"), "members")
     star = members.where((F.col("size") > SMALL) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct(), "needed")
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     needed_rows = rows.withColumnRenamed("doc_id", "id").join(needed, "id", "left_semi")
-    sets = written(needed_rows.mapInArrow(_sets(width), "id bigint, shingles binary"), "sets")
+    sets = written(needed_rows.mapInArrow(lean(_sets(width)), "id bigint, shingles binary"), "sets")
     links = written(_confirmed(pairs, sets, per_cent), "links")
     comps = written(components(links), "components")
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.llm.common import lean
 from quernstone.llm.shingles import text_slices, word_hashes
 
 BINS = 4096
@@ -142,7 +143,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_
         return Ordinal(np.zeros(WIDTH, np.float32), np.zeros(0))
     sample = spark.createDataFrame(ids, "doc_id bigint, grade int")
     texts = sample_texts(docs, sample, id_col, text_col)
-    rows = texts.select("grade", "text").mapInArrow(_sparse, "grade int, at binary, value binary").collect()
+    rows = texts.select("grade", "text").mapInArrow(lean(_sparse), "grade int, at binary, value binary").collect()
     x = np.zeros((len(rows), WIDTH), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
@@ -171,4 +172,4 @@ def score_quality(docs: DataFrame, model: Ordinal, accept_grade: int = 1, text_c
     """``docs`` with the expected grade and P(grade >= ``accept_grade``) under ``names`` (replacing such columns)."""
     docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-    return docs.mapInArrow(_score(model, docs.columns.index(text_col), accept_grade, names), schema)
+    return docs.mapInArrow(lean(_score(model, docs.columns.index(text_col), accept_grade, names)), schema)

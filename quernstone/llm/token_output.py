@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import drop_written, new_path, written
+from quernstone.llm.common import drop_written, lean, new_path, written
 
 LANE = 128
 BLOCK_IDS = 1 << 16
@@ -241,6 +241,7 @@ def _to_ids(path: str, end_id: int | None):
 
 def _count(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()  # texts are done with: the worker's encoder and its memo go
         total = np.zeros(1, np.int64)
         for batch in batches:
             got = [_unpacked(x, width) for x in batch.column(0).to_pylist()]
@@ -256,6 +257,7 @@ def _count(width: int):
 
 def _to_blocks(width: int, bits: np.ndarray, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()
         codes = canonical_codes(bits)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         docs: list = []
@@ -319,16 +321,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = written(rows.mapInArrow(_to_ids(tokenizer_path, end_id), "doc_id bigint, ids binary"), "ids", "none")
+    ids = written(rows.mapInArrow(lean(_to_ids(tokenizer_path, end_id)), "doc_id bigint, ids binary"), "ids", "none")
     # one row for each id of the vocabulary, however many documents
-    counts = ids.select("ids").mapInArrow(_count(width), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = ids.select("ids").mapInArrow(lean(_count(width)), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(max([0, *(r.id for r in counts)]) + 1, np.int64)
     for r in counts:
         total[r.id] = r.n
     bits = code_lengths(total, limit)
     spark.createDataFrame([(int(i), int(bits[i])) for i in np.flatnonzero(bits)], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
     ordered = ids.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"))
-    ordered.mapInArrow(_to_blocks(width, bits, block_ids), _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(lean(_to_blocks(width, bits, block_ids)), _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
     drop_written(ids)
 
 
@@ -344,7 +346,7 @@ def read_token_files(spark: SparkSession, path: str, limit: int = 16, digest: bo
     for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
         starts[r.part], total = total, total + r.n
     emit = "ids_crc32" if digest else "ids"
-    return blocks.mapInArrow(_from_blocks(bits, limit, starts, emit), f"doc_id bigint, start bigint, n_tokens bigint, {emit} {'bigint' if digest else 'array<bigint>'}")
+    return blocks.mapInArrow(lean(_from_blocks(bits, limit, starts, emit)), f"doc_id bigint, start bigint, n_tokens bigint, {emit} {'bigint' if digest else 'array<bigint>'}")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, path: str | None = None, **how) -> DataFrame:
