@@ -8,6 +8,7 @@ from quernstone.operators import county as C
 from quernstone.operators import places as L
 from quernstone.operators import preference as P
 from quernstone.plans.catalog import query, r6, t
+from quernstone.sources.shared import written
 
 # preference evaluation
 
@@ -284,3 +285,90 @@ def inherited_price_levels(spark, d):
     a = _assigned(spark, d, state_levels=own)
     tracts = a.select(F.concat("county_fips", F.lit("000001")).alias("tract_id")).unionByName(spark.range(1).select(F.lit("99999000001").alias("tract_id")))
     return L.inherit_price_levels(tracts, a).select("tract_id", "geography_type", "all_items", "coverage_status")
+
+
+# the whole build out of its stages
+
+_YEARS = (1996, 1997, 1998)
+_RELEASE = """WITH c AS (SELECT c_custkey % 100000 AS k, min(c_nationkey) AS n, max(c_acctbal) AS v FROM customer GROUP BY 1),
+o AS (SELECT o_custkey % 100000 AS k, count(*) AS orders, count(*) FILTER (WHERE year(o_orderdate) = 1997) AS prior, count(*) FILTER (WHERE year(o_orderdate) = 1998) AS now, max(o_totalprice) FILTER (WHERE year(o_orderdate) = 1998) AS wage,
+  count(*) FILTER (WHERE year(o_orderdate) BETWEEN 1996 AND 1998 AND o_orderkey % 2 = 0) AS viol, count(*) FILTER (WHERE year(o_orderdate) BETWEEN 1996 AND 1998 AND o_orderkey % 2 = 1) AS prop FROM orders GROUP BY 1),
+s AS (SELECT p_partkey % 100000 AS k, max(p_size) AS s FROM part GROUP BY 1),
+st AS (SELECT s_suppkey * 17 % 1000 AS k, count(*) AS stations, avg(s_acctbal) AS heat FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 GROUP BY 1),
+x AS (SELECT c.*, coalesce(orders, 0) AS orders, prior, now, wage, coalesce(viol, 0)::DOUBLE AS viol, coalesce(prop, 0)::DOUBLE AS prop, s, stations, heat, (round_even(abs(v), 0) + 1)::BIGINT AS pop, (500 + k % 7 * 10)::DOUBLE AS people, k % 11 <> 3 AS ok,
+    (SELECT i FROM (SELECT s_suppkey AS b, s_acctbal AS i FROM supplier WHERE s_suppkey % 4 <> 0) WHERE b = k % 30) AS metro FROM c LEFT JOIN o USING (k) LEFT JOIN s USING (k) LEFT JOIN st USING (k)),
+m AS (SELECT *, orders::DOUBLE / pop * 100000 AS a, (k % 23)::DOUBLE / pop * 100000 AS b, (k % 31)::DOUBLE / pop * 100000 AS c, coalesce(metro, CASE WHEN k // 1000 % 6 <> 0 THEN 90 + k // 1000 % 10 END)::DOUBLE AS d,
+    CASE WHEN k % 7 <> 0 AND k % 6 <> 0 AND v > 0 AND n > 0 THEN v / (n * 1000) END AS e, CASE WHEN prior > 0 AND now > 0 THEN (now - prior)::DOUBLE / prior END AS f, CASE WHEN prior > 0 AND now > 0 THEN wage END AS g,
+    CASE WHEN prior > 0 AND n > 0 AND k % 9 <> 0 THEN (6 * (k % 3) + 15)::DOUBLE / (n * 10) END AS h, round(v / 1000, 1) AS i, CASE WHEN ok THEN viol / (36 * people / 12.0::DOUBLE) * 100000 END AS q, CASE WHEN ok THEN prop / (36 * people / 12.0::DOUBLE) * 100000 END AS r,
+    CASE WHEN k % 10 <> 0 THEN 1 - k % 101 / 100.0::DOUBLE END AS hazard, CASE WHEN n BETWEEN 1 AND 10 THEN (10 - n) / 9.0::DOUBLE END AS context, CASE WHEN k // 1000 = 9 THEN 'missing_legacy_geography' WHEN k % 13 = 0 THEN 'missing_no_allocatable_systems' ELSE 'complete' END AS water_status,
+    (s - 1) / 49.0::DOUBLE AS band, n % 5 / 4.0::DOUBLE AS home FROM x),
+w AS (SELECT *, CASE WHEN water_status = 'complete' THEN 1.0::DOUBLE - (k % 4 = 0)::INT END AS water FROM m),
+u AS (SELECT *, RANKED FROM w),
+z AS (SELECT *, (ua + ub + uc) / 3 AS care, 0.5 * uf + 0.25 * ug + 0.25 * uh AS jobs, 0.6 * uq + 0.4 * ur AS crime FROM u)
+SELECT lpad(k::VARCHAR, 5, '0') AS county_fips, pop AS population, round(care, 6) AS u_healthcare, round(jobs, 6) AS u_employment, round(crime, 6) AS u_crime, round(hazard * 0.5 + crime * 0.35 + water * 0.15, 6) AS u_safety, round(care * 0.6 + context * 0.4, 6) AS u_health, round(jobs * 0.6 + band * 0.4, 6) AS u_opportunity,
+  round(ui, 6) AS u_lifestyle, round(ud, 6) AS u_rpp, round(ue, 6) AS u_property_tax, round(heat, 6) AS extreme_heat_days, CASE WHEN ok THEN 'complete' ELSE 'below_coverage_or_missing' END AS crime_status, water_status, CASE WHEN stations > 0 THEN 'complete_in_county_station_mean' ELSE 'missing_no_qualifying_in_county_station' END AS climate_coverage_status,
+  CASE WHEN hazard + crime + water + care + context + jobs + band + ui + home IS NOT NULL THEN 'complete_public_core' ELSE 'partial_public_core' END AS coverage_status FROM z""".replace(
+    "RANKED", ", ".join(f"CASE WHEN {c} IS NOT NULL THEN CASE WHEN count({c}) OVER () = 1 THEN 1 ELSE (rank() OVER (PARTITION BY {c} IS NULL ORDER BY {c}{' DESC' if c in 'deqr' else ''}) - 1 + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE) / (count({c}) OVER () - 1) END END AS u{c}" for c in "abcdefghiqr")
+)
+
+
+@query(_RELEASE)
+def county_release(spark, d):
+    """Customers as counties: population, context, crime, providers, taxes, prices, jobs, broadband, water and climate through the build's own stages, joined, ranked, mixed and validated."""
+    k = F.col("k")
+    code = F.lpad(k.cast("string"), 5, "0")
+    c = written(t(spark, d, "customer").groupBy((F.col("c_custkey") % 100_000).alias("k")).agg(F.min("c_nationkey").alias("n"), F.max("c_acctbal").alias("v")).withColumn("fips", code), "counties")
+    orders = t(spark, d, "orders").withColumn("k", F.col("o_custkey") % 100_000)
+    per = written(c.select("k", "fips").join(orders.groupBy("k").agg(F.count("*").alias("orders")), "k", "left"), "per-county")
+    text = lambda x: (F.col(x) if isinstance(x, str) else x).cast("string")
+    base = c.select(F.col("fips").alias("county_fips"))
+
+    pep = c.select(F.lit("050").alias("SUMLEV"), F.left("fips", F.lit(2)).alias("STATE"), F.right("fips", F.lit(3)).alias("COUNTY"), (F.rint(F.abs("v")) + 1).alias("E"))
+    population = written(C.population(pep, [f"{x:02d}" for x in range(100)], "2025", "E"), "population")
+    context = C.runtime_context(c.select(F.col("fips").alias("place_id"), text("n").alias("state"), F.when(k % 10 != 0, k % 101).alias("res_hazard_npctl"), F.when(F.col("n").between(1, 10), F.col("n")).alias("community_conditions_group")))
+
+    grid = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(y).alias("year"), F.lit(m).alias("month")) for f in C.FAMILIES for y in _YEARS for m in range(1, 13)]))
+    families = list(C.FAMILIES)
+    family = F.when(F.col("o_orderkey") % 2 == 0, families[0]).otherwise(families[1])
+    reported = orders.groupBy("k", family.alias("family"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count("*").alias("offenses"))
+    series = c.select("k", "fips", grid.alias("g")).select("k", "fips", "g.*").join(reported, ["k", "family", "year", "month"], "left")
+    people = (500 + k % 7 * 10).cast("double")
+    series = series.select(text("k").alias("ori"), F.col("fips").alias("county_fips"), "family", "year", "month", F.coalesce("offenses", F.lit(0)).alias("offenses"), people.alias("population"), F.when(k % 11 == 3, people * 0.8).otherwise(people).alias("participated"))
+    crime = C.crime(series, _YEARS)
+
+    care = C.providers(per.select(F.col("fips"), text(F.coalesce("orders", F.lit(0))).alias("primary_care"), text(k % 31).alias("dental")), c.select("fips", text(k % 23).alias("mental_health")))
+    care = C.provider_rates(care.join(population.select("county_fips", "population"), "county_fips")).drop("population")
+    tax = C.property_tax(c.where("k % 7 <> 0").select(F.col("fips").alias("county_fips"), F.col("v").alias("estimate")), c.where("k % 6 <> 0").select(F.col("fips").alias("county_fips"), (F.col("n") * 1000).alias("estimate")))
+    metro = t(spark, d, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("cbsa_id"), F.col("s_acctbal").alias("index"))
+    state = spark.range(100).where("id % 6 <> 0").select(F.lpad(text("id"), 2, "0").alias("state_fips"), (90.0 + F.col("id") % 10).alias("index"))
+    prices = C.price_parities(base, c.select(F.col("fips").alias("county_fips"), (k % 30).alias("cbsa_id")), metro, state)
+
+    def book(year):
+        o = orders.where(F.year("o_orderdate") == year).groupBy("k").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("w"))
+        own = F.lpad(text("k"), 5, "0")
+        return C.annual_jobs(o.select(F.lit("County").alias("Area Type"), F.lit("0").alias("Own"), F.lit("10").alias("NAICS"), F.lit("A").alias("Qtr"), F.left(own, F.lit(2)).alias("St"), F.right(own, F.lit(3)).alias("Cnty"), text("n").alias("Annual Average Employment"), text("w").alias("Annual Average Weekly Wage")))
+
+    table = c.select(F.col("fips").alias("county_fips"), (F.col("n") * 10).alias("e001"), *[F.when((k % 9 != 0) if j == 4 else F.lit(True), k % 3 + j - 2).alias(f"e00{j}") for j in range(2, 8)])
+    jobs = C.employment(book(1997), book(1998), C.commute(table))
+    speed = t(spark, d, "part").groupBy((F.col("p_partkey") % 100_000).alias("k")).agg(F.max("p_size").alias("s"))
+    band = C.broadband(speed.select(F.lit("Total").alias("area_data_type"), F.lit("County").alias("geography_type"), text("k").alias("geography_id"), F.lit("Any Terrestrial").alias("technology"), F.lit("R").alias("biz_res"), text((F.col("s") - 1) / 49.0).alias("speed_100_20")))
+
+    pwsid = F.concat(F.lit("AA"), "fips")
+    systems = C.water_systems(c.select(pwsid.alias("PWSID"), F.lit("AA").alias("PRIMACY_AGENCY_CODE"), F.lit("A").alias("PWS_ACTIVITY_CODE"), F.lit("CWS").alias("PWS_TYPE_CODE"), text(100 + k % 900).alias("POPULATION_SERVED_COUNT"), F.lit("N").alias("IS_WHOLESALER_IND"), F.lit("Y").alias("SUBMISSION_STATUS_CODE")), c.select(pwsid.alias("PWSID"), F.lit("RA").alias("SERVICE_AREA_TYPE_CODE")))
+    bad = c.where("k % 4 = 0").select(pwsid.alias("PWSID"), k.alias("VIOLATION_ID"), F.lit("06/01/2024").alias("NON_COMPL_PER_BEGIN_DATE"), F.lit("").alias("NON_COMPL_PER_END_DATE"), F.lit("Y").alias("IS_HEALTH_BASED_IND"))
+    blocks = c.where("k % 13 <> 0").select(F.concat("fips", F.lit("0000000001")).alias("GEOID20"), pwsid.alias("PWSID"), F.lit("50").alias("Pop20_AW"))
+    nowhere = spark.createDataFrame([], "PWSID string, ANSI_ENTITY_CODE string")
+    water = C.water(c.select(F.col("fips").alias("county_fips"), F.lit(1000.0).alias("base_2020")), systems, C.violating_systems(bad, "2025-01-01", "2025-12-31"), C.boundary_provenance(c.select(pwsid.alias("PWSID"), F.lit("System Sourced").alias("Symbology_Field"))), C.served_blocks(blocks, systems), nowhere, {"AA": "01"})
+
+    s, sk, heat = t(spark, d, "supplier"), F.col("s_suppkey"), F.col("s_acctbal")
+    annual = s.select(sk.alias("station"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), heat.alias("heat"), F.when(sk % 7 != 0, heat / 2).alias("cold"))
+    month = lambda m, v: s.select(sk.alias("station"), F.lit(m).alias("month"), v.alias("normal"))
+    found = C.stations(annual, month("01", F.when(sk % 5 != 0, heat / 3)).unionByName(month("07", heat / 4)))
+    climate = C.climate(base, found, s.select(sk.alias("station"), F.lpad(text(sk * 17 % 1000), 5, "0").alias("county_fips")))
+    rest = c.select(F.col("fips").alias("county_fips"), F.round(F.col("v") / 1000, 1).alias("mountain_magnitude"), (F.col("n") % 5 / 4.0).alias("homeschool_utility"))
+
+    frame = C.assemble(base, [population, context, crime, care, tax, prices, jobs, band, water, climate, rest])
+    done = written(C.finish_counties(C.calibrate_counties(frame), ["crime_status", "water_status"]), "release")
+    C.validate_counties(done, _YEARS)
+    shown = ("u_healthcare", "u_employment", "u_crime", "u_safety", "u_health", "u_opportunity", "u_lifestyle", "u_rpp", "u_property_tax", "extreme_heat_days")
+    return done.select("county_fips", "population", *[r6(x, x) for x in shown], "crime_status", "water_status", "climate_coverage_status", "coverage_status")
