@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import itertools
 import json
-import os
 import re
 import struct
 import tarfile
@@ -17,10 +15,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.sources.snapshots import _rename, _write_text, read_text
+
 
 def null_tokens(c: Column, tokens: Sequence[str]) -> Column:
     t = F.trim(c)
@@ -131,42 +132,58 @@ def read_tar_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
 def extract_member(archive: str, member: str, target: str, size: int, sha256: str, archive_sha256: str) -> str:
     """A member of a ZIP as a file of locked size and digest; kept if it and its note are as expected, else written anew.
 
-    A step of the driver before Spark reads: archives aren't splittable, their members are.
+    Archives aren't splittable, their members are: a step before Spark reads. Bytes stream from file system to file system
+    (paths as Spark reads them, so the target may lie in the shared folder, where executors find it) and take the target's name in
+    one rename, when size and digest are right.
     """
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda path: jvm.org.apache.hadoop.fs.Path(path)
+    of = lambda path: at(path).getFileSystem(conf)
     expected = {"archive_sha256": archive_sha256, "member": member, "bytes": size, "sha256": sha256}
     note = f"{target}.checkpoint.json"
 
-    def digest(handle, out=None) -> tuple[int, str]:
-        h, n = hashlib.sha256(), 0
-        while chunk := handle.read(1 << 20):
-            n += len(chunk)
-            if n > size:
-                raise ValueError(f"{member} is larger than its locked size")
-            h.update(chunk)
-            if out:
-                out.write(chunk)
-        return n, h.hexdigest()
-
-    try:
-        with open(note) as f, open(target, "rb") as g:
-            if json.load(f) == expected and digest(g) == (size, sha256):
+    def copied(source, out) -> tuple[int, str]:
+        """Bytes (one more than ``size`` at most) and digest of what was copied."""
+        sha = jvm.java.security.MessageDigest.getInstance("SHA-256")
+        counted = jvm.org.apache.commons.io.output.CountingOutputStream(out)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.java.security.DigestInputStream(jvm.org.apache.commons.io.input.BoundedInputStream(source, size + 1), sha), counted, 1 << 16, False)
+        counted.flush()
+        return counted.getByteCount(), bytes(b & 0xFF for b in sha.digest()).hex()
+
+    fs = of(target)
+    if fs.exists(at(note)) and fs.exists(at(target)):
+        kept = fs.open(at(target))
+        try:
+            if json.loads(read_text(spark, note)) == expected and copied(kept, jvm.java.io.OutputStream.nullOutputStream()) == (size, sha256):
                 return target
-    except (OSError, ValueError):
-        pass
-    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+        except (ValueError, Py4JJavaError):
+            pass  # the note is torn, or the file can't be read as it was written
+        finally:
+            kept.close()
+    if not of(archive).exists(at(archive)):
+        raise FileNotFoundError(archive)
     part = f"{target}.{uuid.uuid4().hex}.part"
+    packed = jvm.java.util.zip.ZipInputStream(of(archive).open(at(archive)))
     try:
-        with zipfile.ZipFile(archive) as z, z.open(member) as source, open(part, "xb") as out:
-            if digest(source, out) != (size, sha256):
-                raise ValueError(f"{member} differs from its contract")
-            out.flush()
-            os.fsync(out.fileno())
-        os.replace(part, target)
+        while (entry := packed.getNextEntry()) is not None and entry.getName() != member:
+            pass
+        if entry is None:
+            raise ValueError(f"{archive} has no member {member}")
+        out = fs.create(at(part), True)
+        try:
+            got = copied(packed, out)
+        finally:
+            out.close()
+        if got[0] > size:
+            raise ValueError(f"{member} is larger than its locked size")
+        if got != (size, sha256):
+            raise ValueError(f"{member} differs from its contract")
+        _rename(spark, part, target, True)
     finally:
-        if os.path.exists(part):
-            os.remove(part)
-    with open(note, "w") as f:
-        json.dump(expected, f, sort_keys=True)
+        packed.close()
+        fs.delete(at(part), False)
+    _write_text(spark, note, json.dumps(expected, sort_keys=True))
     return target
 
 

@@ -13,7 +13,7 @@ from quernstone.sources import readers, snapshots
 from quernstone.sources.store import AmbiguousError, Page, Store
 
 
-def test_extract_member(tmp_path):
+def test_extract_member(spark, tmp_path):
     data = b"a,b\n1,2\n" * 300_000
     archive = tmp_path / "a.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
