@@ -83,25 +83,26 @@ def assert_pages(inventory: DataFrame, got: DataFrame, page: str, key: str) -> N
         raise ContractError(f"page {bad.page}: {bad.status}")
 
 
-def accumulated(df: DataFrame, order: Sequence[str], add: str, out: str, by: Sequence[str] = (), total: str | None = None) -> DataFrame:
-    """Sums of ``add`` (not null, a decimal or whole number) over the rows up to this one in ascending ``order`` within ``by``; ``total``: the group's sum.
+def accumulated(df: DataFrame, order: Sequence[str], sums: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """For each (output, input) in ``sums`` the sum over the rows up to this one in ascending ``order`` within ``by``, and ``<output>_all`` over all.
 
-    As ``numbered``: running sums within each written range, plus the sums of the ranges before. ``order`` must be total for
-    the sums of single rows to be defined.
+    Inputs are not null, decimals or whole numbers. As ``numbered``: running sums within each written range, plus the sums of the
+    ranges before. ``order`` must be total for the sums of single rows to be defined.
     """
     by = list(by)
     placed = ordered_parts(df, [*by, *order])
-    sums = written(placed.groupBy("_part", *by).agg(F.sum(add).alias("_sum")), "offsets")
+    parts = written(placed.groupBy("_part", *by).agg(*[F.sum(i).alias(f"_{o}") for o, i in sums.items()]), "offsets")
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # a row for each part and group
-    before = F.coalesce(F.sum("_sum").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by], before.alias("_shift"), F.sum("_sum").over(group).alias("_total"))
-    offsets = F.broadcast(offsets) if sums.count() <= BROADCAST_OFFSETS else offsets
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = [F.coalesce(F.sum(f"_{o}").over(before), F.lit(0)).alias(f"_{o}_before") for o in sums]
+    offsets = parts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by], *shifts, *[F.sum(f"_{o}").over(group).alias(f"{o}_all") for o in sums])
+    offsets = F.broadcast(offsets) if parts.count() <= BROADCAST_OFFSETS else offsets
     same = placed["_part"] == F.col("_p")
     for c in by:
         same &= placed[c].eqNullSafe(F.col(f"_by_{c}"))
     inside = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)  # a range of the table
-    more = [F.col("_total").alias(total)] if total else []
-    return placed.withColumn("_upto", F.sum(add).over(inside)).join(offsets, same).select(*df.columns, (F.col("_upto") + F.col("_shift")).alias(out), *more)
+    run = placed.withColumns({f"_{o}_upto": F.sum(i).over(inside) for o, i in sums.items()}).join(offsets, same)
+    return run.select(*df.columns, *[(F.col(f"_{o}_upto") + F.col(f"_{o}_before")).alias(o) for o in sums], *[f"{o}_all" for o in sums])
 
 
 def order_faults(df: DataFrame, key: str, arrays: Sequence[str] = ()) -> DataFrame:

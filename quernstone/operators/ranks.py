@@ -1,9 +1,10 @@
 """Exact ranks and percentiles that never sort a whole table, or a whole group, into one partition.
 
 Every rank here depends on a value only through sums over smaller (or larger) distinct values. So rows are first reduced
-to distinct values (with map-side combining), the distinct values of each group are cut into buckets at approximate
-quantiles, running sums are taken inside each bucket and shifted by the buckets before, and the result is joined back by
-value. Bucket bounds affect balance only. The distinct values are written to the shared folder once, as they are read
+to distinct values (with map-side combining), running sums are taken over these, and the result is joined back by value. Up to
+``BUCKET_ROWS`` distinct values are one window; more are cut into buckets of about as many, each group at approximate
+quantiles, with sums inside each bucket shifted by the buckets before (bucket bounds affect balance only); beyond ``BUCKETS``
+of them they are dealt by ranges, written in order, and shifted by the ranges before. The distinct values are written to the shared folder once, as they are read
 several times; so a chain of ranks is a plan that grows by one join a rank. ``ecdfs`` and ``weighted_lower_percentiles`` rank
 several columns in one pass.
 """
@@ -19,9 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.numbering import accumulated
 from quernstone.sources.shared import written
 
-BUCKETS = 64
+#: Distinct values that one window task takes, and buckets that quantiles are asked for; beyond, ranges are written.
+BUCKET_ROWS, BUCKETS = 250_000, 64
 #: Points that are compared with each other at a time, and blocks of fronts that are compared in pairs.
 BLOCK, BLOCKS = 2048, 4096
 
@@ -34,12 +37,22 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return out
 
 
-def running_sums(distinct: DataFrame, value: str, sums: dict[str, str], by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+def running_sums(distinct: DataFrame, value: str, sums: dict[str, str], by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """``distinct`` with ``upto`` sums: for each (output, input) in ``sums`` the sum over values <= this one, within ``by``.
 
-    Also ``<output>_all``: the sum over all values. Values must be numeric, distinct within ``by`` and not null.
+    Also ``<output>_all``: the sum over all values. Values must be numeric, distinct within ``by`` and not null. ``buckets``
+    follows from the number of values unless it is given.
     """
     by, v = list(by), F.col(value).cast("double")
+    if buckets is None:
+        n = distinct.count()  # of a written table: from its footers
+        if n <= BUCKET_ROWS:
+            group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+            upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+            return distinct.withColumns({o: F.sum(i).over(upto) for o, i in sums.items()} | {f"{o}_all": F.sum(i).over(group) for o, i in sums.items()})
+        buckets = -(-n // BUCKET_ROWS)
+        if buckets > BUCKETS:
+            return accumulated(distinct, [value], sums, by)
     cuts = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
     marks = distinct.groupBy(*by).agg(F.percentile_approx(v, cuts, F.lit(1000)).alias("_marks")).withColumnsRenamed({c: f"_{c}" for c in by})
     # a row for each group; without groups one row

@@ -176,42 +176,6 @@ def halo_tiles(x: Column, y: Column, size: float, halo: float) -> Column:
     return F.flatten(F.transform(span(x), lambda i: F.transform(span(y), lambda j: F.struct(i.cast("int").alias("tx"), j.cast("int").alias("ty")))))
 
 
-def rasterise(polygons: Sequence[tuple[np.ndarray, np.ndarray, float]], shape: tuple[int, int], cell: float, empty: float = 0.0) -> np.ndarray:
-    """Rings ``(x, y, value)`` burnt in order, the last one wins: a cell is inside by the even-odd rule at its centre.
-
-    Row 0 is at y = 0. One scanline at a time: the ring's crossings of the row's centre line, in pairs.
-    """
-    out = np.full(shape, empty)
-    centres = (np.arange(shape[1]) + 0.5) * cell
-    for x, y, value in polygons:
-        bx, by = np.roll(x, -1), np.roll(y, -1)
-        for row in range(max(0, int(np.min(y) / cell)), min(shape[0], int(np.max(y) / cell) + 1)):
-            at = (row + 0.5) * cell
-            hit = (y > at) != (by > at)
-            if hit.any():
-                cross = np.sort((bx[hit] - x[hit]) * (at - y[hit]) / (by[hit] - y[hit]) + x[hit])
-                out[row, np.searchsorted(cross, centres, "right") % 2 == 1] = value
-    return out
-
-
-def rasterise_lines(lines: Sequence[tuple[np.ndarray, np.ndarray]], shape: tuple[int, int], cell: float) -> np.ndarray:
-    """Length of the lines in each cell, added up: segments are cut at every border of a cell."""
-    out = np.zeros(shape)
-    for x, y in lines:
-        for xa, ya, xb, yb in zip(x[:-1], y[:-1], x[1:], y[1:], strict=True):
-            cuts = [np.array([0.0, 1.0])]
-            for a, b in ((xa, xb), (ya, yb)):
-                if a != b:
-                    k = np.arange(np.ceil(min(a, b) / cell), np.floor(max(a, b) / cell) + 1) * cell
-                    cuts.append((k - a) / (b - a))
-            t = np.unique(np.clip(np.concatenate(cuts), 0, 1))
-            mid, step = (t[1:] + t[:-1]) / 2, np.diff(t) * np.hypot(xb - xa, yb - ya)
-            r, c = np.floor((ya + mid * (yb - ya)) / cell).astype(int), np.floor((xa + mid * (xb - xa)) / cell).astype(int)
-            ok = (r >= 0) & (r < shape[0]) & (c >= 0) & (c < shape[1])
-            np.add.at(out, (r[ok], c[ok]), step[ok])
-    return out
-
-
 def tile_of(x, y, size: float = 100_000.0):
     """Tile column and row of a position."""
     return F.floor(x / size).cast("int"), F.floor(y / size).cast("int")

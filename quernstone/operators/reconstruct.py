@@ -29,9 +29,9 @@ def reconstructed_scores(blocks: DataFrame, key: str, weight: str, parts: dict[s
     long = blocks.where(scope).select(F.col(key).alias("key"), w.alias("w"), cells.alias("x")).select("key", "w", "x.*").where("v is not null")
     asked = long.select("name", "v", F.lit(0).alias("last"), "key", zero.alias("w"))
     weights = long.where("w > 0").groupBy("name", "v").agg(F.sum("w").cast("decimal(28,6)").alias("w")).select("name", "v", F.lit(1).alias("last"), F.lit(None).cast(dict(long.dtypes)["key"]).alias("key"), "w")
-    run = accumulated(written(asked.unionByName(weights), "merge"), ["v", "last", "key"], "w", "below", by=["name"], total="all")
-    share = F.bround(100.0 * F.col("below").cast("double") / F.col("all").cast("double"), 2)
-    placed = run.where("last = 0").select("key", "name", F.when(F.col("all") > 0, share).alias("p"))
+    run = accumulated(written(asked.unionByName(weights), "merge"), ["v", "last", "key"], {"below": "w"}, by=["name"])
+    share = F.bround(100.0 * F.col("below").cast("double") / F.col("below_all").cast("double"), 2)
+    placed = run.where("last = 0").select("key", "name", F.when(F.col("below_all") > 0, share).alias("p"))
     wide = placed.groupBy("key").agg(*[F.max(F.when(F.col("name") == c, F.col("p"))).alias(f"{c}_pct") for c in parts])
     mixed = sum((F.col(f"{c}_pct").cast("decimal(9,2)") * F.lit(p).cast("decimal(4,2)") for c, p in parts.items()), F.lit(0).cast("decimal(9,4)"))
     out = blocks.select(F.col(key).alias("_k")).join(wide, F.col("_k") == F.col("key"), "left")

@@ -262,7 +262,7 @@ def test_numbers_and_pages(modes):
         own = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
         assert [got[r[0]] for r in own] == [(i, len(own)) for i in range(len(own))]
     assert N.numbered(df.limit(0), ["k"]).count() == 0
-    sums = {r.k: (r.upto, r.all) for r in N.accumulated(df, ["k"], "k", "upto", by=["g"], total="all").collect()}
+    sums = {r.k: (r.upto, r.upto_all) for r in N.accumulated(df, ["k"], {"upto": "k"}, by=["g"]).collect()}
     for g in ("a", "b", None):
         own = sorted(r[0] for r in rows if r[1] == g)
         assert [sums[k] for k in own] == [(sum(own[: i + 1]), sum(own)) for i in range(len(own))]
@@ -276,6 +276,23 @@ def test_numbers_and_pages(modes):
         N.assert_pages(inventory, bad, "page", "k")
 
 
+@pytest.mark.parametrize(("rows", "buckets"), [(250_000, 64), (100, 64), (10, 4)])
+def test_ranks_by_window_bucket_and_range(modes, monkeypatch, rows, buckets):
+    """However many distinct values there are for a task, ranks are the same."""
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(ranks, "BUCKETS", buckets)
+    rng = random.Random(rows)
+    data = [(k, rng.choice(["a", None, "b"]), rng.choice([None, *map(float, range(150))])) for k in range(900)]
+    df = modes.createDataFrame(data, "k long, g string, v double").repartition(5)
+    got = {r.k: r.place for r in ranks.competition_rank(df, "v", "place", by=["g"]).collect()}
+    every = {r.k: r.pct for r in ranks.max_rank_percentile(df, "v", "pct").collect()}
+    known = [v for *_, v in data if v is not None]
+    for k, g, v in data:
+        own = [x for _, h, x in data if h == g and x is not None]
+        assert got[k] == (None if v is None else 1 + sum(x > v for x in own))
+        assert every[k] is None if v is None else every[k] == pytest.approx(100 * sum(x <= v for x in known) / len(known))
+
+
 def test_order_faults(spark):
     keys = [1, 2, 3, 3, 5, None, 7, 6, 8, 9]
     df = spark.createDataFrame([(k, v, [1, 2], [1] if k == 4 else [3, 4]) for k, v in enumerate(keys)], "i long, key long, a array<int>, b array<int>").repartitionByRange(3, "i").sortWithinPartitions("i")
