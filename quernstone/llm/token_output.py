@@ -183,7 +183,7 @@ def encode_block(ids: np.ndarray, codes: np.ndarray, bits: np.ndarray) -> tuple[
     # codes don't overlap, so sums of parts below 2^32 are exact in doubles
     high = np.bincount(word, (value >> np.uint64(32)).astype(np.float64), size)
     low = np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), size)
-    return (high + low).astype(np.uint64).astype(">u4").tobytes(), at[::LANE].astype(np.uint32)
+    return (high + low).astype(np.uint64).astype(">u4").tobytes(), at[::LANE].astype(np.int64)
 
 
 def decode_blocks(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.ndarray, np.ndarray], limit: int) -> list[np.ndarray]:

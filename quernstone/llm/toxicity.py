@@ -222,7 +222,11 @@ def _learned(kinds: DataFrame, folds: tuple[int, ...], counts: dict[tuple[int, i
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, lexicon_words: int = 300, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """``labels``: ``doc_id, label`` (0 or 1) of training rows."""
+    """``labels``: ``doc_id, label`` (0 or 1) of training rows.
+
+    At most ``sample_rows`` labelled rows are learned from, and at most ``lexicon_words`` words and pairs of words that tell toxic rows from
+    others join the fixed lexicon; neither bounds what is scored.
+    """
     spark = docs.sparkSession
     ids = sampled_ids(labels.where("label is not null"), ["label"], sample_rows).collect()  # at most sample_rows rows
     share = float(np.mean([r.label for r in ids])) if ids else 0.0

@@ -585,6 +585,27 @@ def test_quality(spark, texts):
     assert score_quality(f.where("false"), model).count() == 0
 
 
+def test_quality_held_out(spark):
+    """Accepted or not, on rows that weren't learned from."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    from quernstone.llm.quality import quality_grade
+
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = fit_quality(docs, labels.where(~held).select("doc_id", quality_grade().alias("grade")))
+    got = score_quality(docs, model).join(labels.where(held), "doc_id").select("accept_probability", "quality").collect()
+    right = {q: np.mean([(r.accept_probability >= Q.ACCEPT) == bool(q) for r in got if r.quality == q]) for q in (0, 1)}
+    assert len(got) > 1000 and min(right.values()) > 0.97, right
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = Q.op10_toxicity(spark, d).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    hit = sum(r.predicted and r.toxic for r in got)
+    assert len(got) > 1000 and hit / sum(r.toxic for r in got) >= 0.9 and hit / sum(r.predicted for r in got) >= 0.95
+
+
 def test_quality_of_repeated_ids(spark):
     from quernstone.llm.quality import sample_texts
 
@@ -593,6 +614,12 @@ def test_quality_of_repeated_ids(spark):
     assert sorted(map(tuple, sample_texts(docs, sample, "doc_id", "text").collect())) == [(1, 0, "a"), (1, 1, "a"), (2, 1, "")]
 
 
+def test_bit_offsets_have_64_bits():
+    ids = np.arange(300) % 7
+    bits = H.code_lengths(np.bincount(ids), 16)
+    assert H.encode_block(ids, H.canonical_codes(bits), bits)[1].dtype == np.int64
+
+
 def test_isotonic_and_trees():
     x, y = isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert y.tolist() == [0, 0.5, 1] and x.tolist() == [1, 2.5, 4]
