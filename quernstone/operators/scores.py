@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.scalars import median_of_three, power_mean, spectral, weighted_utility, worst_mean
 from quernstone.operators.ranks import average_tie_percentile, competition_rank
+from quernstone.sources.shared import written
 
 #: Ratings whose raw value counts (fixed values).
 VALID_RATINGS = ("Very Low", "Relatively Low", "Relatively Moderate", "Relatively High", "Very High")
@@ -56,18 +57,21 @@ def ensemble(long: DataFrame, key: str, hazards: int, digits: int | None = 9) ->
     (with ``digits`` None they are ranked as they come).
     """
     cut = lambda c: c if digits is None else F.round(c, digits)
+    # each step is read by a rank twice, so it is written: chained ranks would evaluate what is below them again and again
+    long = written(long.select(key, "hazard", "raw", "state"), "hazards")
     valid = long.where(F.col("state") == "valid")
     scored = average_tie_percentile(valid, "raw", "p", by=["hazard"], force_zero=True).select(key, "p")
     none = long.where(F.col("state") == "not_applicable").select(key, F.lit(0.0).alias("p"))
     lists = scored.unionByName(none).groupBy(key).agg(F.sort_array(F.collect_list("p"), asc=False).alias("v"), F.count("*").alias("available"))
     three = F.array(*[F.struct(F.lit(n).alias("kind"), cut(f(F.col("v"))).alias("value")) for n, f in (("s", spectral), ("w", worst_mean), ("m", power_mean))])
     tall = lists.select(key, "available", F.explode(three).alias("x")).select(key, "available", "x.kind", "x.value")
+    tall = written(tall, "aggregates")
     ranked = average_tie_percentile(tall, "value", "p", by=["kind"])
     own = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("p")))
     row = ranked.groupBy(key).agg(F.first("available").alias("available"), *[own(k).alias(f"{k}_p") for k in ("s", "w", "m")])
     parts = [F.col(f"{c}_p") for c in ("s", "w", "m")]
     row = row.withColumn("middle", cut(median_of_three(*parts))).withColumn("spread", F.greatest(*parts) - F.least(*parts))
-    row = average_tie_percentile(row, "middle", "score")
+    row = average_tie_percentile(written(row, "middles"), "middle", "score")
     out = long.select(key).distinct().join(row, key, "left")
     n = F.coalesce("available", F.lit(0))
     quality = F.when(n == hazards, "complete").when(n > 0, "partial").otherwise("unavailable")
