@@ -82,7 +82,7 @@ def ranking_sidecar(spark, d):
 
 
 @query("""SELECT c_custkey, n_name AS nation, NULL::VARCHAR AS segment, 'segments is not unique' AS warning FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
-def open_enrichments(spark, d):
+def fail_open_enrichments(spark, d):
     """One enrichment breaks its contract: its column is null, the other one is there."""
     c = t(spark, d, "customer")
     nation = lambda df: df.join(assert_unique(t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation")), ["c_nationkey"]), "c_nationkey", "left")

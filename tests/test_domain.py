@@ -19,7 +19,7 @@ from quernstone.operators import ranks as R
 from quernstone.operators import raster as G
 from quernstone.operators import scores as H
 from quernstone.operators import spatial as L
-from quernstone.operators import rasterise as Z
+from quernstone.operators import rasterise as RZ
 
 NAN, INF = float("nan"), float("inf")
 
@@ -360,12 +360,12 @@ def test_terrain_cases():
 def test_rasterise(spark):
     at = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
     df = spark.createDataFrame([(0, 1.0, [at((0, 0), (6, 0), (0, 6))]), (1, 2.0, [at((1, 1), (4, 1), (4, 3), (1, 3))])], "k long, v double, rings array<array<struct<x double, y double>>>")
-    got = {(r.row, r.col): r.value for r in Z.rasterise_polygons(df, "k", "rings", "k", "v", 1.0).collect()}
+    got = {(r.row, r.col): r.value for r in RZ.rasterise_polygons(df, "k", "rings", "k", "v", 1.0).collect()}
     for r in range(6):
         for c in range(6):
             x, y = c + 0.5, r + 0.5
             assert got.get((r, c), 0) == (2 if 1 < x < 4 and 1 < y < 3 else 1 if x + y < 6 else 0), (r, c)
-    rows = Z.rasterise_lines(spark.createDataFrame([(at((0.5, 0.5), (3.5, 0.5)),), (at((0, 0), (2, 2)),)], "p array<struct<x double, y double>>"), "p", 1.0).collect()
+    rows = RZ.rasterise_lines(spark.createDataFrame([(at((0.5, 0.5), (3.5, 0.5)),), (at((0, 0), (2, 2)),)], "p array<struct<x double, y double>>"), "p", 1.0).collect()
     lines = {(r.row, r.col): r.length for r in rows}
     assert sum(lines.values()) == pytest.approx(3 + 2 * math.sqrt(2)) and lines[0, 0] == pytest.approx(0.5 + math.sqrt(2)) and [lines[0, c] for c in (1, 2, 3)] == pytest.approx([1.0, 1.0, 0.5])
 
