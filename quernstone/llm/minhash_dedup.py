@@ -6,8 +6,8 @@ so indexing each chunk with each of its symbols left out brings every such pair
 of the symbols differ on average; the bound lies over five standard deviations above. Pairs further apart than
 ``FAR`` of all symbols (six deviations) are dropped, and the rest are confirmed on whole sets.
 
-Documents with equal sets are one class. Buckets of at most ``SMALL`` classes give their pairs. In larger ones every class
-is paired with the smallest; if confirmed links leave such a bucket in several components, its classes are joined again by
+Documents with equal sets are one class. Buckets of at most ``SMALL`` classes give their pairs (under ``SMALL`` / 2 a class). In
+larger ones, so that pairs grow as the bucket and not as its square, every class is paired with the smallest only; if confirmed links leave such a bucket in several components, its classes are joined again by
 their rarest shingles (two sets of similarity t share one of their n - ceil(t n) + 1 rarest), where only pairs across
 components and of sizes within a step of 1 / t count. So no partner is lost, and no bucket is enumerated but what its
 links leave unresolved: texts that share just under t of their shingles with very many others. Their pairs by a common
@@ -35,7 +35,7 @@ from quernstone.llm.common import drop_written, lean, written
 from quernstone.llm.components import components
 from quernstone.llm.shingles import minhash, multipliers, shingle_sets
 
-SYMBOLS, KEYED, CHUNK, SMALL = 128, 42, 3, 48
+SYMBOLS, KEYED, CHUNK, SMALL = 128, 42, 3, 8
 FAR = 61
 #: Rows without an id go by a hash of their text from here on; ids lie below.
 UNNAMED = 1 << 62
