@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quernstone.sources.shared import Scratch, drop_written, new_path, shared_dir, written
 
-__all__ = ["Scratch", "ascii_lower", "drop_written", "lean", "new_path", "row_key", "shared_dir", "table", "written"]
+__all__ = ["Scratch", "ascii_lower", "drop_written", "lean", "new_path", "row_key", "shared_dir", "small_batches", "table", "written"]
 
 def row_key(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__file, __row``: file and place of each row, two numbers that no other row has.
@@ -47,3 +48,15 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
             trim(0)
 
     return task
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Jobs within the block hand Python at most ``rows`` rows at a time: whole texts by the 10,000 fill buffers of JVM and worker, off the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

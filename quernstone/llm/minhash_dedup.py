@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import drop_written, lean, written
+from quernstone.llm.common import drop_written, lean, small_batches, written
 from quernstone.llm.components import components
 from quernstone.llm.shingles import minhash, multipliers, shingle_sets
 
@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(text_col)
     unnamed = F.xxhash64(text).bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("doc_id"), text.alias("text"))
-    sketches = written(rows.mapInArrow(lean(_sketch(width, multipliers(SYMBOLS))), "doc_id bigint, n bigint, digest binary, sig binary"), "sketches")
+    with small_batches(docs.sparkSession):
+        sketches = written(rows.mapInArrow(lean(_sketch(width, multipliers(SYMBOLS))), "doc_id bigint, n bigint, digest binary, sig binary"), "sketches")
     classes = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("id"), "n", "sig")).alias("r"))
     reps = written(classes.select("digest", "r.id", "r.n", "r.sig"), "classes")
 
@@ -190,7 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct(), "needed")
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     needed_rows = rows.withColumnRenamed("doc_id", "id").join(needed, "id", "left_semi")
-    sets = written(needed_rows.mapInArrow(lean(_sets(width)), "id bigint, shingles binary"), "sets")
+    with small_batches(docs.sparkSession):
+        sets = written(needed_rows.mapInArrow(lean(_sets(width)), "id bigint, shingles binary"), "sets")
     links = written(_confirmed(pairs, sets, per_cent), "links")
     comps = written(components(links), "components")
 

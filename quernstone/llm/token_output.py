@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import drop_written, lean, new_path, written
+from quernstone.llm.common import drop_written, lean, new_path, small_batches, written
 
 LANE = 128
 BLOCK_IDS = 1 << 16
@@ -321,7 +321,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = written(rows.mapInArrow(lean(_to_ids(tokenizer_path, end_id)), "doc_id bigint, ids binary"), "ids", "none")
+    with small_batches(spark):
+        ids = written(rows.mapInArrow(lean(_to_ids(tokenizer_path, end_id)), "doc_id bigint, ids binary"), "ids", "none")
     # one row for each id of the vocabulary, however many documents
     counts = ids.select("ids").mapInArrow(lean(_count(width)), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(max([0, *(r.id for r in counts)]) + 1, np.int64)
