@@ -7,9 +7,11 @@ of the symbols differ on average; the bound lies over five standard deviations a
 ``FAR`` of all symbols (six deviations) are dropped, and the rest are confirmed on whole sets.
 
 Documents with equal sets are one class. Buckets of at most ``SMALL`` classes give their pairs (under ``SMALL`` / 2 a class). In
-larger ones, so that pairs grow as the bucket and not as its square, every class is paired with the smallest only; if confirmed links leave such a bucket in several components, its classes are joined again by
-their rarest shingles (two sets of similarity t share one of their n - ceil(t n) + 1 rarest), where only pairs across
-components and of sizes within a step of 1 / t count. So no partner is lost, and no bucket is enumerated but what its
+larger ones, so that pairs grow as the bucket and not as its square, every class is paired with one pivot only: the class
+that has most company over its large buckets, as the original of many near copies has (copies of it need not be near each
+other). While confirmed links leave such buckets in several components, those get another pivot, up to ``TURNS`` times; what is
+then left is joined by its rarest shingles (two sets of similarity t share one of their n - ceil(t n) + 1 rarest), where only
+pairs across components and of sizes within a step of 1 / t count. So no partner is lost, and no bucket is enumerated but what its
 links leave unresolved: texts that share just under t of their shingles with very many others. Their pairs by a common
 rare shingle are dealt in blocks of ``BLOCK`` classes, each block against the others in a task of its own, so that no task
 holds such a group; the pairs themselves are as many as the sets make necessary.
@@ -41,6 +43,8 @@ FAR = 61
 UNNAMED = 1 << 62
 #: Classes of a group of pairs that go to a task together.
 BLOCK = 512
+#: Further pivots that a bucket gets before its classes are joined by their rarest shingles.
+TURNS = 3
 #: Documents whose texts are needed again are found by a broadcast up to this many ids (16 MB), by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -131,6 +135,19 @@ def _pairs_of(bucketed: DataFrame, per_cent: int) -> DataFrame:
     return bucketed.groupBy("key").agg(F.collect_set(F.struct("id", "n")).alias("g")).select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b")
 
 
+def _pivots(at: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """``key, pivot, pc``: of each bucket the class whose buckets hold most classes, none that was ``tried``. ``at``: ``key, id, size, c``."""
+    company = at.join(at.groupBy("id").agg(F.sum("size").alias("company")), "id")
+    free = company if tried is None else company.join(tried, "id", "left_anti")
+    return free.groupBy("key").agg(F.min(F.struct(-F.col("company"), "id", "c")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.c").alias("pc"))
+
+
+def _stars(at: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Each class of a bucket with the bucket's pivot, across components."""
+    pivots = F.broadcast(pivots) if pivots.count() <= BROADCAST_IDS else pivots
+    return at.join(pivots, "key").where("c <> pc").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     sig = reps.select("id", "sig")
     joined = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
@@ -181,13 +198,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written(classes.select("digest", "r.id", "r.n", "r.sig"), "classes")
 
     keys = reps.select("id", "n", "sig").mapInArrow(lean(_keys), "key bigint, id bigint, n bigint")
-    shared = written(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1"), "buckets")
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = written(keys.join(shared, "key"), "members")
-    star = members.where((F.col("size") > SMALL) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    found = _pairs_of(members.where(F.col("size") <= SMALL).select("key", "id", "n"), per_cent).unionByName(star).distinct()
+    large = written(members.where(F.col("size") > SMALL).select("key", "id", "size"), "large")
+    own = large.withColumn("c", F.col("id"))
+    pivots = written(_pivots(own, None), "pivots")
+    found = _pairs_of(members.where(F.col("size") <= SMALL).select("key", "id", "n"), per_cent).unionByName(_stars(own, pivots)).distinct()
     pairs = written(_near(found, reps), "pairs")
 
-    large = members.where(F.col("size") > SMALL).select("key", "id")
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct(), "needed")
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     needed_rows = rows.withColumnRenamed("doc_id", "id").join(needed, "id", "left_semi")
@@ -197,16 +215,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = written(components(links), "components")
 
     # large buckets that confirmed links leave in several components; read from tables, so that no bucket is dealt whole
-    at = written(large.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "at")
-    open_keys = written(at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "open-keys")
-    open_keys = F.broadcast(open_keys) if open_keys.count() <= BROADCAST_IDS else open_keys
-    unresolved = written(at.join(open_keys, "key").select("id", "c").distinct(), "unresolved")
-    if unresolved.limit(1).count():
-        across = written(_near(_prefix_pairs(sets, unresolved, per_cent), reps), "across")
-        more = written(_confirmed(across, sets, per_cent), "more-links")
-        if more.limit(1).count():
-            comps = written(components(links.unionByName(more)), "components")
-    for done in (members, shared, pairs, sets):
+    tried, turn, gained = pivots.select(F.col("pivot").alias("id")).distinct(), 0, True
+    while True:
+        at = written(large.join(comps, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("c")), "at")
+        open_keys = written(at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "open-keys")
+        if not open_keys.limit(1).count():
+            break
+        open_keys = F.broadcast(open_keys) if open_keys.count() <= BROADCAST_IDS else open_keys
+        left, last = written(at.join(open_keys, "key"), "open"), turn == TURNS or not gained
+        if last:
+            across = _prefix_pairs(sets, written(left.select("id", "c").distinct(), "unresolved"), per_cent)
+        else:
+            pivots = written(_pivots(left, tried), "pivots")
+            across, tried = _stars(left, pivots), written(tried.unionByName(pivots.select(F.col("pivot").alias("id"))).distinct(), "tried")
+        more = written(_confirmed(written(_near(across, reps), "across"), sets, per_cent), "more-links")
+        gained, turn = more.limit(1).count() > 0, turn + 1
+        if gained:
+            links = written(links.unionByName(more), "links")
+            comps = written(components(links), "components")
+        if last:
+            break
+    for done in (members, shared, large, pairs, sets):
         drop_written(done)
     linked = reps.select("digest", "id").join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("c"))
     named = lambda c: F.when(F.col(c) < UNNAMED, F.col(c))

@@ -539,6 +539,26 @@ def test_near_in_a_hot_group(spark, monkeypatch):
     assert got == dict(enumerate(brute_components(texts)))
 
 
+def test_near_copies_of_one_original(spark, monkeypatch):
+    """Copies near to their original, not to each other, the least id a copy's: compared pairs grow with the group, not with its square."""
+    words, rng = prose(61, 260).split(), random.Random(2)
+    original, texts = list(words), []
+    for k in range(90):
+        at = rng.sample(range(2, 258, 6), 6)
+        texts.append(" ".join(f"edit{k}" if i in at else w for i, w in enumerate(original)))
+    texts.append(" ".join(original))
+    compared, near = [], M._near
+
+    def counted(pairs, reps):
+        compared.append(pairs.count())
+        return near(pairs, reps)
+
+    monkeypatch.setattr(M, "_near", counted)
+    got = M.near_duplicates(frame(spark, texts)).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(compared) < 12 * len(texts)
+
+
 def test_a_word_longer_than_a_slice(monkeypatch):
     from quernstone.llm import shingles as S
 
