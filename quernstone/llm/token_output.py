@@ -39,8 +39,8 @@ BLOCK_IDS = 1 << 16
 # all other texts go to the library whole.
 _SAFE = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ–—‘-„…]*")
 _LETTER, _DIGIT, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t\n\r "
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_SPACED = ("  ", " \n", " \t", " \r")  # a space that does not begin the next piece
+# Words and numbers come first, as most pieces are; a contraction begins with an apostrophe, so the order among these three is free.
+_PIECE = re.compile(rf" ?[{_LETTER}]+| ?[{_DIGIT}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 def byte_letters() -> list[str]:
@@ -82,7 +82,7 @@ class Encoder:
     """Whole texts to ids with the ``tokenizers`` library, special tokens not added.
 
     Byte-level BPE merges within the pieces of its split pattern only, so a piece's ids never depend on its
-    neighbours; pieces, and stretches between single spaces, are remembered. That holds for files of the form
+    neighbours; pieces are remembered. That holds for files of the form
     ``_cuts_pieces`` tells; with any other file the library encodes whole texts.
     """
 
@@ -95,8 +95,7 @@ class Encoder:
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tok.model, byte_letters()
         self.cuts = _cuts_pieces(json.loads(self.tok.to_str()))
-        self.pieces = Recent(self._piece, memo // 2)
-        self.spaced = Recent(lambda s: self._cut(" " + s), memo)
+        self.pieces = Recent(self._piece, memo)
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
@@ -106,19 +105,13 @@ class Encoder:
             piece = "".join([letters[b] for b in piece.encode()])
         return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def _cut(self, s: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(s)))
-
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not self.cuts or not _SAFE.fullmatch(text) or any(s in text for s in self.specials):
             return self.whole(text)
-        if text[-1:] in ("\n", "\t", "\r", " ") or any(s in text for s in _SPACED):
-            return self._cut(text)
-        first, *rest = text.split(" ")
-        return self._cut(first) + b"".join(map(self.spaced.__getitem__, rest))
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -213,10 +206,6 @@ def decode_blocks(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.n
     return found
 
 
-def _packed(ids: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(ids)
-
-
 def _unpacked(data: bytes, width: int) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), f"<u{width}")
 
@@ -225,39 +214,40 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _to_ids(path: str, end_id: int | None):
+    """A row for each document, and one at a task's end with how often each id came (null elsewhere)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
-        encoder = _ENCODERS[path]
+        encoder, pack = _ENCODERS[path], zstandard.ZstdCompressor(level=3).compress
         end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
+        total = np.zeros(0, np.int64)
+        names = ["doc_id", "ids", "counts"]
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                data = [_packed(encoder(t or "") + end) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["doc_id", "ids"])
+                got = [encoder(t or "") + end for t in part.column(1).to_pylist()]
+                n = np.bincount(np.frombuffer(b"".join(got), encoder.kind), minlength=len(total))
+                n[: len(total)] += total
+                total = n
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(x) for x in got], pa.binary()), pa.nulls(len(got), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
     return run
 
 
-def _count(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _ENCODERS.clear()  # texts are done with: the worker's encoder and its memo go
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            got = [_unpacked(x, width) for x in batch.column(0).to_pylist()]
-            if got:
-                n = np.bincount(np.concatenate(got))
-                total = np.pad(total, (0, max(0, len(n) - len(total))))
-                total[: len(n)] += n
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
-
-    return run
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, n`` of a task's rows of counts."""
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            total = np.frombuffer(x, "<i8")
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
 
 def _to_blocks(width: int, bits: np.ndarray, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _ENCODERS.clear()
+        _ENCODERS.clear()  # texts are done with: the worker's encoder and its memo go
         codes = canonical_codes(bits)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         docs: list = []
@@ -322,15 +312,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with small_batches(spark):
-        ids = written(rows.mapInArrow(lean(_to_ids(tokenizer_path, end_id)), "doc_id bigint, ids binary"), "ids", "none")
+        ids = written(rows.mapInArrow(lean(_to_ids(tokenizer_path, end_id)), "doc_id bigint, ids binary, counts binary"), "ids", "none")
     # one row for each id of the vocabulary, however many documents
-    counts = ids.select("ids").mapInArrow(lean(_count(width)), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = ids.where("counts is not null").select("counts").mapInArrow(lean(_counts), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(max([0, *(r.id for r in counts)]) + 1, np.int64)
     for r in counts:
         total[r.id] = r.n
     bits = code_lengths(total, limit)
     spark.createDataFrame([(int(i), int(bits[i])) for i in np.flatnonzero(bits)], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
-    ordered = ids.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"))
+    ordered = ids.where("ids is not null").select("doc_id", "ids").repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"))
     ordered.mapInArrow(lean(_to_blocks(width, bits, block_ids)), _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
     drop_written(ids)
 

@@ -409,6 +409,21 @@ def test_tokens(spark, texts, tokenizer):
     assert H.token_output(frame(spark, texts).where("false"), tokenizer).count() == 0
 
 
+def test_counts_come_with_the_ids(tokenizer):
+    """One pass gives the ids and how often each comes, and a piece is made once whatever stands beside it."""
+    import pyarrow as pa
+
+    words = ["alpha", "beta,", "gamma.\nDelta", "(alpha)", "beta."]
+    made = [f"{a} {b}" for a in words for b in words]
+    *parts, last = H._to_ids(tokenizer, 2)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(made))), pa.array(made)], names=["doc_id", "text"])]))
+    ids = np.concatenate([H._unpacked(x, 2) for p in parts for x in p.column(1).to_pylist()])
+    assert (np.frombuffer(last.column(2)[0].as_py(), "<i8") == np.bincount(ids)).all() and last.column(1)[0].as_py() is None
+    encoder, seen = H.Encoder(tokenizer), []
+    encoder.pieces.make = lambda p: seen.append(p) or encoder._piece(p)
+    assert [encoder(t) for t in made] == [encoder.whole(t) for t in made]
+    assert len(seen) == len(set(seen)) and set(vars(encoder)) & {"spaced"} == set()
+
+
 def test_tokens_of_other_files_and_ids(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
