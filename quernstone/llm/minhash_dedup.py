@@ -9,8 +9,8 @@ of the symbols differ on average; the bound lies over five standard deviations a
 Documents with equal sets are one class. Buckets of at most ``SMALL`` classes give their pairs (under ``SMALL`` / 2 a class). In
 larger ones, so that pairs grow as the bucket and not as its square, every class is paired with one pivot only: the class
 that has most company over its large buckets, as the original of many near copies has (copies of it need not be near each
-other). While confirmed links leave such buckets in several components, those get another pivot, up to ``TURNS`` times; what is
-then left is joined by its rarest shingles (two sets of similarity t share one of their n - ceil(t n) + 1 rarest), where only
+other). While confirmed links leave such buckets in several components and pivots find links (one in ``GAIN`` of their pairs), those
+components that had no pivot yet get one of their own, up to ``TURNS`` times; what is then left is joined by its rarest shingles (two sets of similarity t share one of their n - ceil(t n) + 1 rarest), where only
 pairs across components and of sizes within a step of 1 / t count. So no partner is lost, and no bucket is enumerated but what its
 links leave unresolved: texts that share just under t of their shingles with very many others. Their pairs by a common
 rare shingle are dealt in blocks of ``BLOCK`` classes, each block against the others in a task of its own, so that no task
@@ -43,8 +43,8 @@ FAR = 61
 UNNAMED = 1 << 62
 #: Classes of a group of pairs that go to a task together.
 BLOCK = 512
-#: Further pivots that a bucket gets before its classes are joined by their rarest shingles.
-TURNS = 3
+#: Further pivots that a bucket gets before its classes are joined by their rarest shingles, as long as one in ``GAIN`` of the pairs is a link.
+TURNS, GAIN = 3, 2
 #: Documents whose texts are needed again are found by a broadcast up to this many ids (16 MB), by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -135,30 +135,54 @@ def _pairs_of(bucketed: DataFrame, per_cent: int) -> DataFrame:
     return bucketed.groupBy("key").agg(F.collect_set(F.struct("id", "n")).alias("g")).select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b")
 
 
-def _pivots(at: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """``key, pivot, pc``: of each bucket the class whose buckets hold most classes, none that was ``tried``. ``at``: ``key, id, size, c``."""
-    company = at.join(at.groupBy("id").agg(F.sum("size").alias("company")), "id")
-    free = company if tried is None else company.join(tried, "id", "left_anti")
-    return free.groupBy("key").agg(F.min(F.struct(-F.col("company"), "id", "c")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.c").alias("pc"))
+def _few(small: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast up to ``BROADCAST_IDS`` rows, shuffled beyond."""
+    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
+
+
+def _states(large: DataFrame, company: DataFrame, comps: DataFrame | None, tried: DataFrame | None) -> DataFrame:
+    """``key, id, company, c, seen`` of the members of large buckets; ``seen``: the class's component has had a pivot."""
+    if comps is None:
+        return large.join(_few(company).withColumn("c", F.col("id")).withColumn("seen", F.lit(False)), "id")
+    named = company.join(_few(comps), "id", "left").select("id", "company", F.coalesce("component", "id").alias("c"))
+    had = written(named.join(_few(tried), "id", "left_semi").select("c", F.lit(True).alias("had")).distinct(), "seen")
+    states = written(named.join(_few(had), "c", "left").select("id", "company", "c", F.coalesce("had", F.lit(False)).alias("seen")), "states")
+    return large.join(_few(states), "id")
+
+
+def _pivots(at: DataFrame) -> DataFrame:
+    """``key, pivot, pc`` of buckets of several components: the class with most company of those that are not ``seen`` (null: none)."""
+    free = F.when(~F.col("seen"), F.struct((-F.col("company")).alias("less"), "id", "c"))
+    keys = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(free).alias("p")).where("low < high")
+    return keys.select("key", F.col("p.id").alias("pivot"), F.col("p.c").alias("pc"))
 
 
 def _stars(at: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Each class of a bucket with the bucket's pivot, across components."""
-    pivots = F.broadcast(pivots) if pivots.count() <= BROADCAST_IDS else pivots
-    return at.join(pivots, "key").where("c <> pc").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    """The classes of a bucket that are not ``seen`` with the bucket's pivot, across components."""
+    pivots = _few(pivots.where("pivot is not null"))
+    return at.where(~F.col("seen")).join(pivots, "key").where("c <> pc").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     sig = reps.select("id", "sig")
-    joined = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
+    joined = sig.withColumnsRenamed({"id": "a", "sig": "sa"}).join(_few(written(pairs, "found")), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
     return joined.select("a", "b", "sa", "sb").mapInArrow(lean(_differing), "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    joined = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "xb"}), "b")
+    joined = sets.withColumnsRenamed({"id": "a", "shingles": "xa"}).join(_few(pairs), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "xb"}), "b")
     return joined.select("a", "b", "xa", "xb").mapInArrow(lean(_confirm(per_cent)), "a bigint, b bigint")
 
 
+def _joined(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """Components ``id, component`` after further links: only the components that these touch are put together."""
+    few = _few(comps)
+    ends = more.join(few.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left").join(few.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left")
+    over = written(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "over")
+    moved = comps.join(_few(over).withColumnsRenamed({"id": "component", "component": "to"}), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return written(moved.unionByName(over.join(few.select("id"), "id", "left_anti")), "components")
+
+
 def _prefix_pairs(sets: DataFrame, comps: DataFrame, per_cent: int) -> DataFrame:
     """Pairs across components that share one of their rarest shingles. ``comps``: ``id, c`` of the unresolved ids.
 
@@ -200,39 +224,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = reps.select("id", "n", "sig").mapInArrow(lean(_keys), "key bigint, id bigint, n bigint")
     shared = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = written(keys.join(shared, "key"), "members")
-    large = written(members.where(F.col("size") > SMALL).select("key", "id", "size"), "large")
-    own = large.withColumn("c", F.col("id"))
-    pivots = written(_pivots(own, None), "pivots")
-    found = _pairs_of(members.where(F.col("size") <= SMALL).select("key", "id", "n"), per_cent).unionByName(_stars(own, pivots)).distinct()
+    large = members.where(F.col("size") > SMALL)
+    company = written(large.groupBy("id").agg(F.sum("size").alias("company")), "company")
+    large = written(large.select("key", "id"), "large")
+    at = written(_states(large, company, None, None), "at")
+    pivots = written(_pivots(at), "pivots")
+    found = _pairs_of(members.where(F.col("size") <= SMALL).select("key", "id", "n"), per_cent).unionByName(_stars(at, pivots)).distinct()
     pairs = written(_near(found, reps), "pairs")
 
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct(), "needed")
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    needed_rows = rows.withColumnRenamed("doc_id", "id").join(needed, "id", "left_semi")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(company.select("id")).distinct(), "needed")
+    needed_rows = rows.withColumnRenamed("doc_id", "id").join(_few(needed), "id", "left_semi")
     with small_batches(docs.sparkSession):
         sets = written(needed_rows.mapInArrow(lean(_sets(width)), "id bigint, shingles binary"), "sets")
     links = written(_confirmed(pairs, sets, per_cent), "links")
     comps = written(components(links), "components")
 
     # large buckets that confirmed links leave in several components; read from tables, so that no bucket is dealt whole
-    tried, turn, gained = pivots.select(F.col("pivot").alias("id")).distinct(), 0, True
+    tried, turn, worth = written(pivots.select(F.col("pivot").alias("id")).distinct(), "tried"), 1, links.count() * GAIN >= pairs.count()
     while True:
-        at = written(large.join(comps, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("c")), "at")
-        open_keys = written(at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "open-keys")
-        if not open_keys.limit(1).count():
+        at = written(_states(large, company, comps, tried), "at")
+        pivots = written(_pivots(at), "pivots")
+        if not pivots.limit(1).count():
             break
-        open_keys = F.broadcast(open_keys) if open_keys.count() <= BROADCAST_IDS else open_keys
-        left, last = written(at.join(open_keys, "key"), "open"), turn == TURNS or not gained
+        last = turn > TURNS or not worth
         if last:
-            across = _prefix_pairs(sets, written(left.select("id", "c").distinct(), "unresolved"), per_cent)
+            across = _prefix_pairs(sets, written(at.join(_few(pivots.select("key")), "key", "left_semi").select("id", "c").distinct(), "unresolved"), per_cent)
         else:
-            pivots = written(_pivots(left, tried), "pivots")
-            across, tried = _stars(left, pivots), written(tried.unionByName(pivots.select(F.col("pivot").alias("id"))).distinct(), "tried")
-        more = written(_confirmed(written(_near(across, reps), "across"), sets, per_cent), "more-links")
-        gained, turn = more.limit(1).count() > 0, turn + 1
+            across = _stars(at, pivots)
+            tried = written(tried.unionByName(pivots.where("pivot is not null").select(F.col("pivot").alias("id"))).distinct(), "tried")
+        across = written(_near(across, reps), "across")
+        more = written(_confirmed(across, sets, per_cent), "more-links")
+        gained, turn = more.count(), turn + 1
+        worth = gained * GAIN >= max(across.count(), 1)
         if gained:
-            links = written(links.unionByName(more), "links")
-            comps = written(components(links), "components")
+            comps = _joined(comps, more)
         if last:
             break
     for done in (members, shared, large, pairs, sets):

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.llm import components as C
 from quernstone.llm import exact_dedup as X
 from quernstone.llm import minhash_dedup as M
 from quernstone.llm import queries as Q
@@ -574,6 +575,26 @@ def test_near_copies_of_one_original(spark, monkeypatch):
     assert sum(compared) < 12 * len(texts)
 
 
+def test_near_pivots_of_one_bucket(spark, monkeypatch):
+    """A class whose component has had a pivot isn't paired again, and pivots that find hardly a link are not followed by more."""
+    words, rng = prose(63, 130).split(), random.Random(4)
+    texts = [" ".join(f"edit{k}" if i in (7 + k, 80) else w for i, w in enumerate(words)) for k in range(40)]
+    texts += [" ".join([*words[:90], *prose(300 + k, 40).split()]) for k in range(40)]  # alike, but no links
+    rng.shuffle(texts)
+    paired, stars = [], M._stars
+
+    def counted(at, pivots):
+        out = stars(at, pivots)
+        paired.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "SMALL", 4)
+    monkeypatch.setattr(M, "_stars", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_components(texts)))
+    assert len(paired) <= 2 and sum(paired) < 5 * len(texts)
+
+
 def test_a_word_longer_than_a_slice(monkeypatch):
     from quernstone.llm import shingles as S
 
@@ -589,6 +610,15 @@ def test_components(spark):
     assert got == {k: 0 for k in range(201)} | {500: 500, 600: 500, 700: 500}
 
 
+def test_components_of_a_star(spark, monkeypatch):
+    """A star goes in two rounds, however many leaves it has."""
+    tags, written = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, tag: (tags.append(tag), written(df, tag))[1])
+    star = [(k, 1000) for k in range(2000) if k != 1000]
+    assert {(r.id, r.component) for r in components(spark.createDataFrame(star, "a bigint, b bigint")).collect()} == {(k, 0) for k in range(2000)}
+    assert tags.count("follow") <= 2
+
+
 # 2 and 10
 
 
