@@ -179,7 +179,7 @@ def _joined(comps: DataFrame, more: DataFrame) -> DataFrame:
     few = _few(comps)
     ends = more.join(few.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left").join(few.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left")
     over = written(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "over")
-    moved = comps.join(_few(over).withColumnsRenamed({"id": "component", "component": "to"}), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    moved = comps.join(_few(over).select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
     return written(moved.unionByName(over.join(few.select("id"), "id", "left_anti")), "components")
 
 

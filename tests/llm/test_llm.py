@@ -610,6 +610,13 @@ def test_components(spark):
     assert got == {k: 0 for k in range(201)} | {500: 500, 600: 500, 700: 500}
 
 
+def test_further_links_join_components(spark):
+    at = lambda pairs: spark.createDataFrame(pairs, "a bigint, b bigint")
+    first, more = [(1, 4), (4, 6), (2, 5), (8, 9)], [(6, 5), (7, 3), (7, 9)]
+    got = {r.id: r.component for r in M._joined(components(at(first)), at(more)).collect()}
+    assert got == {r.id: r.component for r in components(at(first + more)).collect()} == {1: 1, 4: 1, 6: 1, 2: 1, 5: 1, 8: 3, 9: 3, 3: 3, 7: 3}
+
+
 def test_components_of_a_star(spark, monkeypatch):
     """A star goes in two rounds, however many leaves it has."""
     tags, written = [], C.written
