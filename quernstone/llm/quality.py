@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import lean
+from quernstone.llm.common import lean, small_table
 from quernstone.llm.shingles import text_slices, word_hashes
 
 BINS = 4096
@@ -69,7 +69,11 @@ class Ordinal:
 
     def tails(self, x: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, ..."""
-        return 1 / (1 + np.exp(-np.clip((x @ self.weights)[:, None] - self.thresholds[None, :], -40, 40)))
+        return self.tails_at(x @ self.weights)
+
+    def tails_at(self, s: np.ndarray) -> np.ndarray:
+        """``tails`` of rows whose scores are known."""
+        return 1 / (1 + np.exp(-np.clip(s[:, None] - self.thresholds[None, :], -40, 40)))
 
     def expected(self, x: np.ndarray) -> np.ndarray:
         return self.tails(x).sum(1)
@@ -141,7 +145,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_
     ids = sampled_ids(labels.where("grade is not null"), ["grade"], sample_rows).collect()
     if not ids:
         return Ordinal(np.zeros(WIDTH, np.float32), np.zeros(0))
-    sample = spark.createDataFrame(ids, "doc_id bigint, grade int")
+    sample = small_table(spark, ids, [("doc_id", pa.int64()), ("grade", pa.int32())])
     texts = sample_texts(docs, sample, id_col, text_col)
     rows = texts.select("grade", "text").mapInArrow(lean(_sparse), "grade int, at binary, value binary").collect()
     x = np.zeros((len(rows), WIDTH), np.float32)
@@ -154,12 +158,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_
 
 def _score(model: Ordinal, text_at: int, accept_grade: int, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = model.weights.astype(np.float64)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 if len(model.thresholds):
-                    x = np.stack([features(t) for t in part.column(text_at).to_pylist()]).astype(np.float64)
-                    tails = model.tails(x)
+                    # a text at a time: the features of 500 together take 33 MB of a worker
+                    tails = model.tails_at(np.array([features(t) @ weights for t in part.column(text_at).to_pylist()]))
                     grade, tail = tails.sum(1), tails[:, min(accept_grade, tails.shape[1]) - 1]
                 else:
                     grade, tail = np.zeros(part.num_rows), np.ones(part.num_rows)

@@ -19,10 +19,11 @@ sources).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import written
+from quernstone.llm.common import small_table, written
 
 FAN = 48
 WORD = r"[^\x20\x09-\x0D]+"
@@ -134,7 +135,8 @@ def mix_items(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
     for k, ((source, total, n), target) in enumerate(zip(totals, targets, strict=True)):
         c = min(most, target / total) if total else 0.0
         plan.append((source, k, total, float(target), int(c), c - int(c), max(1, -(-n // FAN))))
-    plan_df = spark.createDataFrame(plan, "source string, k int, source_size long, target double, base int, p double, buckets long")
+    kinds = {"source": pa.string(), "k": pa.int32(), "source_size": pa.int64(), "target": pa.float64(), "base": pa.int32(), "p": pa.float64(), "buckets": pa.int64()}
+    plan_df = small_table(spark, plan, list(kinds.items()))
     ready = sized.join(plan_df, sized.source.eqNullSafe(plan_df.source)).select("id", "size", "n", "k", "base", "p", "buckets")
     return pivotal_copies(ready, seed).join(plan_df.select("k", "source", "source_size", "target"), "k").drop("k")
 

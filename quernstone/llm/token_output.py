@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import drop_written, lean, new_path, small_batches, written
+from quernstone.llm.common import drop_written, hand_back, lean, new_path, small_batches, small_table, written
 
 LANE = 128
 BLOCK_IDS = 1 << 16
@@ -219,6 +219,7 @@ def _to_ids(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
+            hand_back()  # what reading the file took
         encoder, pack = _ENCODERS[path], zstandard.ZstdCompressor(level=3).compress
         end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
         total = np.zeros(0, np.int64)
@@ -319,7 +320,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     for r in counts:
         total[r.id] = r.n
     bits = code_lengths(total, limit)
-    spark.createDataFrame([(int(i), int(bits[i])) for i in np.flatnonzero(bits)], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
+    small_table(spark, [(int(i), int(bits[i])) for i in np.flatnonzero(bits)], [("id", pa.int32()), ("bits", pa.int32())]).coalesce(1).write.parquet(f"{path}/code")
     ordered = ids.where("ids is not null").select("doc_id", "ids").repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"))
     ordered.mapInArrow(lean(_to_blocks(width, bits, block_ids)), _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
     drop_written(ids)

@@ -686,6 +686,52 @@ def test_quality_of_repeated_ids(spark):
     assert sorted(map(tuple, sample_texts(docs, sample, "doc_id", "text").collect())) == [(1, 0, "a"), (1, 1, "a"), (2, 1, "")]
 
 
+def test_scoring_takes_memory_for_one_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quernstone.llm.quality import WIDTH, _score, features
+
+    rng = np.random.default_rng(5)
+    model = Ordinal(rng.normal(0, 5, WIDTH).astype(np.float32), np.array([0.0, 1.0]))
+    said = [prose(k, 30) if k % 50 else None for k in range(500)]
+    rows = pa.record_batch([pa.array(said)], names=["text"])
+    run = _score(model, 0, 1, ("grade", "tail"))
+    list(run(iter([rows])))
+    tracemalloc.start()
+    try:
+        got = [x for out in run(iter([rows])) for x in out.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want = model.tails(np.stack([features(t) for t in said]).astype(np.float64))
+    assert np.allclose([(x["grade"], x["tail"]) for x in got], np.stack([want.sum(1), want[:, 0]], 1), rtol=0, atol=1e-12)
+    assert peak < 4_000_000, peak
+
+
+def test_small_tables_start_no_further_workers(spark, tokenizer, monkeypatch):
+    """Lists of rows go through an RDD of pickles, for which executors keep a second set of Python workers."""
+    import pyarrow as pa
+    from pyspark import SparkContext
+
+    import corpus_pipeline as P
+    from quernstone.llm.common import small_table, table
+
+    def refused(*_, **__):
+        raise AssertionError("an RDD of Python's")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    kinds = [("source", pa.string()), ("k", pa.int32())]
+    assert [tuple(r) for r in small_table(spark, [(None, 1), ("a", None)], kinds).collect()] == [(None, 1), ("a", None)]
+    assert small_table(spark, [], kinds).dtypes == [("source", "string"), ("k", "int")] and not small_table(spark, [], kinds).collect()
+    d = "/root/testdata/sf0.001"
+    docs = table(spark, d, "documents")
+    for name, stage in P.STAGES:
+        if name != "minhash_near_dedup":
+            assert stage(spark, docs, d).count(), name
+
+
 def test_bit_offsets_have_64_bits():
     ids = np.arange(300) % 7
     bits = H.code_lengths(np.bincount(ids), 16)
