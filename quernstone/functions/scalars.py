@@ -16,6 +16,12 @@ def half_even(c: Column, digits: int) -> Column:
     return F.rint(c * s) / s
 
 
+def half_away(c: Column, digits: int) -> Column:
+    """Scale, round half away from zero, unscale: SQL's rule for doubles (``round`` to digits goes through decimal text)."""
+    s = 10.0**digits
+    return F.round(c * s, 0) / s
+
+
 def finite(c: Column) -> Column:
     """The value, or null for NaN and infinities."""
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)

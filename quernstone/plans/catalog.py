@@ -428,7 +428,9 @@ _FIT = _FIT_CANDIDATES + """ SELECT c_custkey, score, reason, CASE WHEN stage_a
 def _fit(spark: SparkSession, d: str) -> DataFrame:
     spend = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("spend"), F.count("*").alias("months"))
     c = t(spark, d, "customer").join(spend, "c_custkey", "left")
-    c = c.select("c_custkey", "c_nationkey", "c_mktsegment", "months", r6(F.col("c_acctbal") / 10000, "a"), r6(F.least(F.lit(1.0), F.col("spend") / 5000000), "b"), r6(F.when(F.col("c_nationkey") != 3, F.col("c_nationkey") / 25.0), "g"))
+    # ranks follow from these, so they are rounded as in SQL, to the last bit
+    u = {"a": F.col("c_acctbal") / 10000, "b": F.least(F.lit(1.0), F.col("spend") / 5000000), "g": F.when(F.col("c_nationkey") != 3, F.col("c_nationkey") / 25.0)}
+    c = c.select("c_custkey", "c_nationkey", "c_mktsegment", "months", *[S.half_away(v, 6).alias(n) for n, v in u.items()])
     return P.evaluate(
         c, "c_custkey", {"a": 0.5, "b": 0.3, "g": 0.2}, [("population", F.col("a") < 0)], [("valid_months", F.col("months") < 5)],
         [("state_filter", ~F.col("c_nationkey").isin(1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12)), ("state_exclusion", F.col("c_mktsegment") == "MACHINERY"), ("min_b", F.col("b") < 0.3)],

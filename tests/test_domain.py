@@ -5,6 +5,7 @@ import itertools
 import math
 import operator
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from quernstone.operators import raster as G
 from quernstone.operators import scores as H
 from quernstone.operators import spatial as L
 from quernstone.operators import rasterise as RZ
+from quernstone.plans.catalog import QUERIES, SQL
 
 NAN, INF = float("nan"), float("inf")
 
@@ -430,3 +432,14 @@ def test_features(spark):
     polygons = spark.createDataFrame([(1, *ring)], "polygon int, px array<double>, py array<double>")
     points = spark.createDataFrame([(1, 3.0, 3.0), (2, 1.5, 1.5), (3, 9.0, 9.0)], "point int, x double, y double")
     assert [tuple(r) for r in L.points_in_polygons(points, polygons, 2.0).collect()] == [(1, 1)]
+
+
+def test_fit_rounds_as_sql(spark, tmp_path):
+    """Spends whose share has a 5 in the seventh place: text and scaled numbers round some of them apart, and ranks follow."""
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE customer AS SELECT i AS c_custkey, (i % 13)::INTEGER AS c_nationkey, (i % 700)::DOUBLE AS c_acctbal, 'BUILDING' AS c_mktsegment FROM range(4000) r(i)")
+    duck.execute("CREATE TABLE orders AS SELECT i AS o_orderkey, i % 4000 AS o_custkey, (i % 4000 * 105 + 2.5)::DOUBLE AS o_totalprice FROM range(28000) r(i)")
+    for name in ("customer", "orders"):
+        duck.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    got = QUERIES["preference_fit"](spark, f"file://{tmp_path}").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == duck.execute(f"SELECT * FROM ({SQL['preference_fit']}) ORDER BY c_custkey").fetchall()
