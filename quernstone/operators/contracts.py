@@ -43,8 +43,11 @@ def assert_none(df: DataFrame, bad: dict[str, Column]) -> DataFrame:
     return df
 
 
-def join_preserving(left: DataFrame, right: DataFrame, on: Sequence[str], cardinality: str = "m:1") -> DataFrame:
-    """Left join that keeps the left rows: no shared other columns, the right keys unique, for 1:1 the left ones too."""
+def join_preserving(left: DataFrame, right: DataFrame, on: Sequence[str], cardinality: str = "m:1", hint: str | None = None) -> DataFrame:
+    """Left join that keeps the left rows: no shared other columns, the right keys unique, for 1:1 the left ones too.
+
+    ``hint``: how to join (``merge``: by a shuffle, however small the right side's files are).
+    """
     if cardinality not in ("m:1", "1:1"):
         raise ValueError(cardinality)
     if shared := (set(left.columns) & set(right.columns)) - set(on):
@@ -52,7 +55,7 @@ def join_preserving(left: DataFrame, right: DataFrame, on: Sequence[str], cardin
     assert_unique(right, on)
     if cardinality == "1:1":
         assert_unique(left, on)
-    return left.join(right, list(on), "left")
+    return left.join(right.hint(hint) if hint else right, list(on), "left")
 
 
 def key_sets(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:

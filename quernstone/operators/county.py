@@ -272,12 +272,14 @@ def assemble(base: DataFrame, stages: Sequence[DataFrame]) -> DataFrame:
     """All stages joined on the county, one to one, nobody added or lost.
 
     Base and stages are written once each and checked as written, so a stage's work is done once, however many stages there are.
+    They are as long as the base, but their files compress to so little that Spark would gather them all on the driver to
+    broadcast them; so they are joined by a shuffle, and what is joined is written, as ranks read it several times.
     """
     base = assert_unique(written(base, "counties"), ["county_fips"])
     for stage in stages:
         # the left keys are unique already, and a left join with unique keys keeps them so
-        base = join_preserving(base, written(stage, "stage"), ["county_fips"])
-    return base
+        base = join_preserving(base, written(stage, "stage"), ["county_fips"], hint="merge")
+    return written(base, "assembled")
 
 
 def calibrate_counties(frame: DataFrame) -> DataFrame:

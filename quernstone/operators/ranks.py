@@ -25,6 +25,8 @@ from quernstone.sources.shared import written
 
 #: Distinct values that one window task takes, and buckets that quantiles are asked for; beyond, ranges are written.
 BUCKET_ROWS, BUCKETS = 250_000, 64
+#: Ranked values (a name and three numbers) that are broadcast to the rows of several measures.
+BROADCAST_VALUES = 100_000
 #: Points that are compared with each other at a time, and blocks of fronts that are compared in pairs.
 BLOCK, BLOCKS = 2048, 4096
 
@@ -54,7 +56,8 @@ def running_sums(distinct: DataFrame, value: str, sums: dict[str, str], by: Sequ
         if buckets > BUCKETS:
             return accumulated(distinct, [value], sums, by)
     cuts = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
-    marks = distinct.groupBy(*by).agg(F.percentile_approx(v, cuts, F.lit(1000)).alias("_marks")).withColumnsRenamed({c: f"_{c}" for c in by})
+    # written: they are read twice, and approximate quantiles hang on the order in which parts arrive
+    marks = written(distinct.groupBy(*by).agg(F.percentile_approx(v, cuts, F.lit(1000)).alias("_marks")).withColumnsRenamed({c: f"_{c}" for c in by}), "marks")
     # a row for each group; without groups one row
     cut = distinct.join(marks, _same(distinct, marks, by)) if by else distinct.crossJoin(F.broadcast(marks))
     cut = cut.select(*distinct.columns, F.size(F.filter("_marks", lambda m: m < v)).alias("_b"))
@@ -122,13 +125,16 @@ def _unpivot(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 def ecdfs(df: DataFrame, key: str, measures: dict[str, tuple[str, bool]]) -> DataFrame:
     """``ecdf`` of several measures in one pass: output to (measure, invert). Rows have unique keys."""
     long = _unpivot(df, key, sorted({m for m, _ in measures.values()}))
-    r = running_sums(written(long.groupBy("name", "v").agg(F.count("*").alias("n")), "distinct"), "v", {"le": "n"}, ["name"])
+    distinct = written(long.groupBy("name", "v").agg(F.count("*").alias("n")), "distinct")
+    few = distinct.count() <= BROADCAST_VALUES
+    r = running_sums(distinct, "v", {"le": "n"}, ["name"])
     n, rank = F.col("le_all"), (F.col("le") - F.col("n")) + (F.col("n") - 1) / 2
     r = r.withColumns({"_up": F.when(n > 1, rank / (n - 1)).otherwise(1.0), "_down": F.when(n > 1, (n - 1 - rank) / (n - 1)).otherwise(1.0)})
-    ranked = long.join(r.select("name", "v", "_up", "_down"), ["name", "v"])
+    # by their number, as the size of a compressed file says little of what a broadcast takes
+    ranked = long.join(r.select("name", "v", "_up", "_down").hint("broadcast" if few else "merge"), ["name", "v"])
     pick = lambda o, m, inv: F.max(F.when(F.col("name") == m, F.col("_down" if inv else "_up"))).alias(o)
     wide = ranked.groupBy(F.col(key).alias("_key")).agg(*[pick(o, m, inv) for o, (m, inv) in measures.items()])
-    return df.join(wide, F.col(key) == F.col("_key"), "left").drop("_key")
+    return df.join(wide.hint("merge"), F.col(key) == F.col("_key"), "left").drop("_key")
 
 
 def weighted_lower_percentiles(df: DataFrame, key: str, weight: str, columns: dict[str, str], digits: int = 2) -> DataFrame:

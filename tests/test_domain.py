@@ -443,3 +443,25 @@ def test_fit_rounds_as_sql(spark, tmp_path):
         duck.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
     got = QUERIES["preference_fit"](spark, f"file://{tmp_path}").collect()
     assert sorted(map(tuple, got), key=lambda r: r[0]) == duck.execute(f"SELECT * FROM ({SQL['preference_fit']}) ORDER BY c_custkey").fetchall()
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Whatever Spark gathers on the driver to broadcast it fails."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    yield spark
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_stages_are_not_broadcast(no_broadcast):
+    """Stages compress to little, but are as long as the counties."""
+    stages = [no_broadcast.range(0, 90, k).select(F.col("id").alias("county_fips"), (F.col("id") * k).alias(f"m{k}")) for k in (1, 2, 3)]
+    got = C.assemble(no_broadcast.range(100).select(F.col("id").alias("county_fips")), stages)
+    assert sorted(map(tuple, got.collect())) == [(i, *[i * k if i < 90 and i % k == 0 else None for k in (1, 2, 3)]) for i in range(100)]
+
+
+def test_many_ranked_values_are_not_broadcast(no_broadcast, monkeypatch):
+    monkeypatch.setattr(R, "BROADCAST_VALUES", 10, raising=False)
+    df = no_broadcast.range(101).select(F.col("id").alias("county_fips"), F.col("id").cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("b"))
+    got = R.ecdfs(df, "county_fips", {"u": ("a", False), "v": ("b", True)})
+    assert {r.county_fips: (r.u, r.v) for r in got.collect()} == {i: (i / 100, (24.5 if i % 2 else 75.0) / 100) for i in range(101)}
