@@ -337,7 +337,8 @@ def drift_problems(years: Sequence[int]) -> dict[str, Column]:
 def calibration_drift(frame: DataFrame, key: str = "county_fips") -> DataFrame:
     """``key, utility`` of every ranked utility that isn't what ranking its measure again gives (beyond 1e-12)."""
     pairs = (("crime_violent_rate", "u_crime_violent", True), ("crime_property_rate", "u_crime_property", True), *CALIBRATED)
-    again = ecdfs(frame.select(key, *[c for m, u, _ in pairs for c in (m, u)]), key, {f"_{u}": (m, invert) for m, u, invert in pairs})
+    calibrated = written(frame.select(key, *[c for m, u, _ in pairs for c in (m, u)]), "calibrated")  # ranking reads it three times
+    again = ecdfs(calibrated, key, {f"_{u}": (m, invert) for m, u, invert in pairs})
     moved = F.array_compact(F.array(*[F.when(_drift(finite(F.col(u)), F.col(f"_{u}"), 1e-12), F.lit(u)) for _, u, _ in pairs]))
     return again.select(key, F.explode(moved).alias("utility"))
 

@@ -465,3 +465,10 @@ def test_many_ranked_values_are_not_broadcast(no_broadcast, monkeypatch):
     df = no_broadcast.range(101).select(F.col("id").alias("county_fips"), F.col("id").cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("b"))
     got = R.ecdfs(df, "county_fips", {"u": ("a", False), "v": ("b", True)})
     assert {r.county_fips: (r.u, r.v) for r in got.collect()} == {i: (i / 100, (24.5 if i % 2 else 75.0) / 100) for i in range(101)}
+
+
+def test_drift_is_found_without_a_broadcast(no_broadcast, monkeypatch):
+    monkeypatch.setattr(R, "BROADCAST_VALUES", 10, raising=False)
+    names = [("crime_violent_rate", "u_crime_violent"), ("crime_property_rate", "u_crime_property"), *[(m, u) for m, u, _ in C.CALIBRATED]]
+    frame = no_broadcast.range(101).select(F.col("id").alias("county_fips"), *[F.lit(None).cast("double").alias(c) for pair in names if "rpp_index" not in pair for c in pair], F.col("id").cast("double").alias("rpp_index"), F.when(F.col("id") == 7, 0.5).otherwise(1 - F.col("id") / 100).alias("u_rpp"))
+    assert [tuple(r) for r in C.calibration_drift(frame).collect()] == [(7, "u_rpp")]
