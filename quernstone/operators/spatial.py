@@ -5,15 +5,34 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.operators.contracts import ContractError
+from quernstone.sources.shared import written
 
+#: Points, and polygons or their corners, of a cell that are compared in one call, and pairs in a batch of what it returns.
+BLOCK_POINTS, BLOCK_POLYGONS, BLOCK_CORNERS, BATCH_PAIRS = 8192, 1024, 131_072, 65_536
+#: Cells (their three numbers and two counts) that are broadcast.
+BROADCAST_CELLS = 200_000
 
-#: Corners of polygons that are broadcast (16 bytes each).
-BROADCAST_POINTS = 1_000_000
+
+def _whole(s: str) -> Column:
+    return F.expr(f"{s}x0 is not null and {s}y0 is not null and {s}x1 is not null and {s}y1 is not null")
+
+
+def _level(s: str, cell: float) -> Column:
+    """The power of two by which ``cell`` must grow to be as wide as a box's longer side, 0 at least."""
+    side = F.greatest(F.col(f"{s}x1") - F.col(f"{s}x0"), F.col(f"{s}y1") - F.col(f"{s}y0"))
+    return F.coalesce(F.greatest(F.lit(0), F.ceil(F.log2(side / cell))).cast("int"), F.lit(0))  # the logarithm of 0, a point, is null
+
+
+def _cells(df: DataFrame, s: str, cell: float) -> DataFrame:
+    """A row for each cell ``_cx, _cy`` of the grid ``_on`` that a box meets."""
+    size = F.pow(F.lit(2.0), F.col("_on")) * cell
+    span = lambda a: F.explode(F.sequence(F.floor(F.col(f"{s}{a}0") / size), F.floor(F.col(f"{s}{a}1") / size)))
+    return df.withColumn("_cx", span("x")).withColumn("_cy", span("y"))
 
 
 def bbox_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
@@ -25,10 +44,7 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     is found in the first of them only. Boxes with a null meet nothing.
     """
     sides = {"l_": left, "r_": right}
-    level = {s: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(f"{s}x1") - F.col(f"{s}x0"), F.col(f"{s}y1") - F.col(f"{s}y0")) / cell))).cast("int") for s in sides}
-    level = {s: F.coalesce(c, F.lit(0)) for s, c in level.items()}  # the logarithm of 0, a point, is null
-    whole = {s: F.expr(f"{s}x0 is not null and {s}y0 is not null and {s}x1 is not null and {s}y1 is not null") for s in sides}
-    own = {s: df.where(whole[s]).withColumn("_level", level[s]) for s, df in sides.items()}
+    own = {s: df.where(_whole(s)).withColumn("_level", _level(s, cell)) for s, df in sides.items()}
     # one number for each power of two that occurs
     there = {s: sorted(r._level for r in df.select("_level").distinct().collect()) for s, df in own.items()}
 
@@ -38,11 +54,7 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
         on = F.filter(up, lambda k: (k > F.col("_level")) if strict else (k >= F.col("_level")))
         return own[s].withColumn("_on", F.explode(on))
 
-    def cells(df: DataFrame, s: str) -> DataFrame:
-        size = F.pow(F.lit(2.0), F.col("_on")) * cell
-        span = lambda a: F.explode(F.sequence(F.floor(F.col(f"{s}{a}0") / size), F.floor(F.col(f"{s}{a}1") / size)))
-        return df.withColumn("_cx", span("x")).withColumn("_cy", span("y")).drop("_level")
-
+    cells = lambda df, s: _cells(df, s, cell).drop("_level")
     meet = F.expr("l_x0 <= r_x1 and r_x0 <= l_x1 and l_y0 <= r_y1 and r_y0 <= l_y1")
     size = F.pow(F.lit(2.0), F.col("_on")) * cell
     first = (F.col("_cx") == F.greatest(F.floor(F.col("l_x0") / size), F.floor(F.col("r_x0") / size))) & (F.col("_cy") == F.greatest(F.floor(F.col("l_y0") / size), F.floor(F.col("r_y0") / size)))
@@ -70,26 +82,58 @@ def inside(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.n
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """``points``: ``point, x, y``; ``polygons``: ``polygon, px, py`` (arrays; a polygon's rings follow each other, NaN between them). Returns ``point, polygon``."""
+    """``points``: ``point, x, y``; ``polygons``: ``polygon, px, py`` (arrays; a polygon's rings follow each other, NaN between them). Returns ``point, polygon``.
+
+    As in ``bbox_join``, a polygon is put into four cells at most, of the grid that fits its size, and a point into the one cell where it lies of each
+    grid that has polygons. A cell's points and its polygons are dealt into blocks, as many as their numbers need, and each
+    block of points meets each block of polygons in one call. So pairs are first made there, out of columns, and no cell is one task.
+    """
     corner = lambda f, c: f(F.filter(c, lambda v: ~F.isnan(v)))
-    boxes = polygons.select("polygon", "px", "py", *[corner(f, c).alias(f"r_{c[1]}{k}") for c in ("px", "py") for k, f in ((0, F.array_min), (1, F.array_max))])
-    spots = points.select("point", "x", "y", F.col("x").alias("l_x0"), F.col("x").alias("l_x1"), F.col("y").alias("l_y0"), F.col("y").alias("l_y1"))
-    # geometry joins the pairs afterwards: by a broadcast up to BROADCAST_POINTS corners, by a shuffle beyond
-    near = bbox_join(spots, boxes.drop("px", "py"), cell).select("point", "polygon", "x", "y")
-    corners = polygons.agg(F.sum(F.size("px"))).first()[0] or 0
-    rings = polygons.select("polygon", "px", "py")
-    near = near.join(F.broadcast(rings) if corners <= BROADCAST_POINTS else rings, "polygon").select("point", "polygon", "x", "y", "px", "py")
-
-    def run(batches):
-        for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for _, rows in pdf.groupby("polygon").indices.items():
-                part = pdf.iloc[rows]
-                keep[rows] = inside(part.x.to_numpy(), part.y.to_numpy(), np.array(part.px.iloc[0]), np.array(part.py.iloc[0]))
-            yield pd.DataFrame({"point": pdf.point[keep], "polygon": pdf.polygon[keep]})
-
-    kinds = dict(near.dtypes)
-    return near.mapInPandas(run, f"point {kinds['point']}, polygon {kinds['polygon']}")
+    rings = polygons.select("polygon", *[F.col(c).cast("array<double>").alias(c) for c in ("px", "py")])
+    boxes = rings.select("*", *[corner(f, c).alias(f"r_{c[1]}{k}") for c in ("px", "py") for k, f in ((0, F.array_min), (1, F.array_max))])
+    boxes = boxes.where(_whole("r_")).withColumn("_on", _level("r_", cell))
+    # one number for each power of two that occurs
+    levels = sorted(r._on for r in boxes.select("_on").distinct().collect())
+    grids = F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")
+    size = F.pow(F.lit(2.0), F.col("_on")) * cell
+    spots = points.select("point", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    spots = spots.withColumn("_on", F.explode(grids)).withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
+    boxes = _cells(boxes, "r_", cell)
+
+    at = ["_on", "_cx", "_cy"]
+    most = spots.groupBy(*at).agg(F.ceil(F.count("*") / BLOCK_POINTS).alias("_n"))
+    most = most.join(boxes.groupBy(*at).agg(F.ceil(F.greatest(F.count("*") / BLOCK_POLYGONS, F.sum(F.size("px")) / BLOCK_CORNERS)).alias("_m")), at)
+    most = written(most, "cells")
+    most = most.hint("broadcast" if most.count() <= BROADCAST_CELLS else "merge")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    spots = spots.join(most, at).select(*at, F.expr("pmod(xxhash64(point, x, y), _n)").alias("_p"), upto("_m").alias("_q"), "point", "x", "y")
+    boxes = boxes.join(most, at).select(*at, upto("_n").alias("_p"), F.expr("pmod(xxhash64(polygon, px, py), _m)").alias("_q"), "polygon", "px", "py", "r_x0", "r_y0", "r_x1", "r_y1")
+
+    def run(spots: pa.Table, boxes: pa.Table) -> pa.Table:
+        x, y = spots["x"].to_numpy(), spots["y"].to_numpy()
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        first, last = np.searchsorted(x, boxes["r_x0"].to_numpy(), "left"), np.searchsorted(x, boxes["r_x1"].to_numpy(), "right")
+        low, high = boxes["r_y0"].to_numpy(), boxes["r_y1"].to_numpy()
+        (xs, px), (ys, py) = ((c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (boxes["px"].combine_chunks(), boxes["py"].combine_chunks()))
+        kind = pa.schema([("point", spots["point"].type), ("polygon", boxes["polygon"].type)])
+        out, held, n = [], [], 0
+        for k in range(boxes.num_rows):
+            part = y[first[k] : last[k]]
+            near = np.flatnonzero((part >= low[k]) & (part <= high[k])) + first[k]
+            near = near[inside(x[near], y[near], px[xs[k] : xs[k + 1]], py[ys[k] : ys[k + 1]])] if len(near) else near
+            if len(near):
+                held.append((order[near], np.full(len(near), k)))
+                n += len(near)
+            if held and (n >= BATCH_PAIRS or k == boxes.num_rows - 1):
+                pair = [pa.array(np.concatenate(v)) for v in zip(*held, strict=True)]
+                out += pa.table([spots["point"].take(pair[0]), boxes["polygon"].take(pair[1])], schema=kind).to_batches()
+                held, n = [], 0
+        return pa.Table.from_batches(out, schema=kind)
+
+    kinds = {"point": dict(spots.dtypes)["point"], "polygon": dict(boxes.dtypes)["polygon"]}
+    both = spots.groupBy(*at, "_p", "_q").cogroup(boxes.groupBy(*at, "_p", "_q"))
+    return both.applyInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds.items()))
 
 
 def logical_features(fragments: DataFrame, key: str, order: list[str], attributes: list[str], x: str, y: str) -> DataFrame:

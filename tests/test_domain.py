@@ -21,6 +21,7 @@ from quernstone.operators import raster as G
 from quernstone.operators import scores as H
 from quernstone.operators import spatial as L
 from quernstone.operators import rasterise as RZ
+from quernstone.plans import domain_catalog  # noqa: F401
 from quernstone.plans.catalog import QUERIES, SQL
 
 NAN, INF = float("nan"), float("inf")
@@ -472,3 +473,43 @@ def test_drift_is_found_without_a_broadcast(no_broadcast, monkeypatch):
     names = [("crime_violent_rate", "u_crime_violent"), ("crime_property_rate", "u_crime_property"), *[(m, u) for m, u, _ in C.CALIBRATED]]
     frame = no_broadcast.range(101).select(F.col("id").alias("county_fips"), *[F.lit(None).cast("double").alias(c) for pair in names if "rpp_index" not in pair for c in pair], F.col("id").cast("double").alias("rpp_index"), F.when(F.col("id") == 7, 0.5).otherwise(1 - F.col("id") / 100).alias("u_rpp"))
     assert [tuple(r) for r in C.calibration_drift(frame).collect()] == [(7, "u_rpp")]
+
+
+@pytest.mark.parametrize(("few", "cell"), [(True, 64.0), (True, 1.0), (False, 10.0)])
+def test_a_cell_of_points_and_polygons_is_dealt_out(spark, monkeypatch, few, cell):
+    """Polygons of any size and with holes, points and polygons in blocks; one cell's pairs are not one task's."""
+    if few:
+        for name, n in (("BLOCK_POINTS", 60), ("BLOCK_POLYGONS", 5), ("BLOCK_CORNERS", 40), ("BATCH_PAIRS", 7), ("BROADCAST_CELLS", 0)):
+            monkeypatch.setattr(L, name, n, raising=False)
+    rng = np.random.default_rng(11)
+    ring = lambda x, y, w: ([x, x + w, x + w / 2], [y, y, y + w])
+    rows = []
+    for k in range(60):
+        (x, y), w = rng.uniform(0, 9, 2), [0.5, 2.0, 30.0][k % 3] * rng.random() + 0.01
+        (ax, ay), (bx, by) = ring(x, y, w), ring(x + w / 4, y + w / 8, w / 3)
+        rows.append((k, list(map(float, ax + ([NAN, *bx] if k % 2 else []))), list(map(float, ay + ([NAN, *by] if k % 2 else [])))))
+    spots = [(f"p{k}", float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 10, (900, 2)))]
+    odd = [("none", None, 1.0), ("nan", NAN, 1.0)]
+    polygons = spark.createDataFrame([*rows, (60, [], []), (61, None, None)], "polygon int, px array<double>, py array<double>").coalesce(1)
+    points = spark.createDataFrame([*spots, *odd], "point string, x double, y double").coalesce(1)
+    x, y = np.array([s[1] for s in spots]), np.array([s[2] for s in spots])
+    want = sorted((spots[i][0], k) for k, px, py in rows for i in np.flatnonzero(L.inside(x, y, np.array(px), np.array(py))))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = L.points_in_polygons(points, polygons, cell).select("point", "polygon", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.point, r.polygon) for r in got) == want
+    assert len({r.task for r in got}) > 1 or cell < 64  # at 64 everything lies in one cell
+    assert L.points_in_polygons(points, polygons.limit(0), cell).count() == 0 and L.points_in_polygons(points.limit(0), polygons, cell).count() == 0
+
+
+def test_points_on_a_slanted_edge_fall_as_in_sql(spark, tmp_path):
+    """Balances that lie on the edge but for the last bit of a sum."""
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE supplier AS SELECT i AS s_suppkey, (i % 25)::INTEGER AS s_nationkey, round(i * 7.31 - 900, 2)::DOUBLE AS s_acctbal FROM range(1000) r(i)")
+    duck.execute("CREATE TABLE customer AS SELECT i AS c_custkey, (i % 1000 % 25 + i // 1000)::INTEGER AS c_nationkey, round(i % 1000 * 7.31 - 900 + 250 + i // 1000 * 100, 2)::DOUBLE AS c_acctbal FROM range(2000) r(i)")
+    for name in ("customer", "supplier"):
+        duck.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    got = QUERIES["points_in_polygons"](spark, f"file://{tmp_path}").collect()
+    assert sorted(map(tuple, got)) == duck.execute(f"SELECT * FROM ({SQL['points_in_polygons']}) ORDER BY ALL").fetchall()
